@@ -20,8 +20,8 @@ TREES = 32
 BITS = 48
 CHUNK = 16_384  #: vectors in a chunk, on average
 BLOCK = 4_096  #: queries in a block, on average
-CANDIDATES = 0.3  #: share of a chunk that the prefix matches of a query sum to in half at least; fixes recall (0.95 on unit vectors of 64 dimensions)
-LEAST = 400
+CANDIDATES = 0.4  #: share of a chunk that the prefix matches of a query sum to in half at least; fixes recall (0.95 on unit vectors of 64 dimensions)
+LEAST = 1000
 
 
 def planes(dim: int, seed: int = 17) -> np.ndarray:

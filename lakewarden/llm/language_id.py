@@ -79,7 +79,8 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                         fold(lang)
         for lang in list(counts):
             fold(lang)
-        yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     parts = docs.select("text", "lang").filter("lang is not null and text is not null").mapInPandas(bundle, "lang string, vector array<bigint>")
     rows = parts.select("lang", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))

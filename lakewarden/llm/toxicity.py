@@ -23,9 +23,11 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SYMBOLS = 64  #: symbols of the language model: 0 for non-letters, a-z, then other letters by code point
 FIT_ROWS = 20_000  #: labelled rows that the word evidence is fitted on at most
 FEATURES = 20_000  #: kept evidence features at most, the most significant ones
-PREFIXES = (4, 5)  #: letters of the word beginnings that count as features beside whole words
-LEET_COST = 1.5  #: nats for reading a sign as a letter
-DROP_COST = 4.0  #: nats for reading a sign inside a token as nothing
+PREFIXES = (4, 6, 7)  #: letters of the word beginnings that count as features beside whole words
+LEET_COST = 1.0  #: nats for reading a sign as a letter
+KEEP_COST = (3.0, 6.0, 0.0)  #: nats for reading a sign as itself before, among and after the token's letters
+DROP_COST = 7.0  #: nats for reading a sign as nothing
+LEAST_RATE = 0.8  #: least share of toxic documents among those with a feature
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = "".join(re.escape(c) for c in LEET)
 #: Tokens with signs among letters, a letter three times or more, or at least four single letters spaced out.
@@ -89,6 +91,7 @@ def decode(token: str, model: np.ndarray) -> str:
     """
     spaced = bool(re.fullmatch(r"[^\W_](?:[ .\-_*][^\W_]){3,}", token))
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    letters = [i for i, c in enumerate(token) if c.isalpha()] or [0]
     for m in re.finditer(r"([^\W\d_])\1*|.", token.lower(), re.S):
         run = m[0]
         c = run[0]
@@ -97,7 +100,9 @@ def decode(token: str, model: np.ndarray) -> str:
         elif spaced and c in " .-_*":
             options = [("", 0.0)]
         else:
-            options = [(c, 0.0 if m.end() == len(token) else 2.0), *((x, LEET_COST) for x in LEET.get(c, "")), ("", DROP_COST)]
+            where = 0 if m.start() < letters[0] else 1 if m.start() < letters[-1] else 2
+            keep = KEEP_COST[where] + 2.5 * (where == 2 and c in "$@€" or c.isdigit())
+            options = [(c, keep), *((x, LEET_COST) for x in LEET.get(c, "")), ("", DROP_COST)]
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
             for written, extra in options:
@@ -150,7 +155,9 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int =
                 seen[y].update(features(restore(text, shared.value, memo)))
                 seen[y][""] += 1
         keys = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"feature": keys, "n0": [seen[0][k] for k in keys], "n1": [seen[1][k] for k in keys]})
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            yield pd.DataFrame({"feature": part, "n0": [seen[0][k] for k in part], "n1": [seen[1][k] for k in part]})
 
     counts = train.mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     sums = stash(counts, "evidence")
@@ -158,7 +165,7 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int =
     base = (n1 + 0.5) / (n0 + n1 + 1)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("n0") + F.col("n1")) * p))).otherwise(0.0)
     gain = 2 * (part("n1", base) + part("n0", 1 - base))  # of likelihood; by chance the best of all features gains about twice the log of their number
-    strong = sums.filter((F.col("feature") != "") & (F.col("n1") >= F.col("n0"))).withColumn("gain", gain).filter(F.col("gain") >= 2 * np.log(max(2, sums.count())))
+    strong = sums.filter((F.col("feature") != "") & (F.col("n1") >= LEAST_RATE * (F.col("n0") + F.col("n1")))).withColumn("gain", gain).filter(F.col("gain") >= 2 * np.log(max(2, sums.count())))
     got = strong.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
     return {r["feature"]: (r["n1"] + 0.2 * base) / (r["n0"] + r["n1"] + 0.2) for r in got}, base
 
