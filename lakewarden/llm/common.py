@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
+
+    Shuffle files of finished steps go once the driver's garbage is collected, so that is asked for.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if it has at most so many rows; else leave the join to a shuffle. df should be cheap to count (a stashed table)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -59,3 +75,22 @@ def with_id(df: DataFrame, key: str, *columns: str, run, out: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).cast("string").alias(key), *columns).mapInPandas(run, f"{key} string, {out}")
     return rows.withColumn(key, F.col(key).cast(kind))
+
+
+FILTER_BITS = 1 << 26  #: of a membership filter: 8 MB at any input size; a fuller one lets more pass, which an exact join removes
+
+
+def membership(keys: DataFrame, column: str) -> np.ndarray:
+    """A one-hash Bloom filter of a long column, as FILTER_BITS bits in bytes; the driver gets FILTER_BITS / 64 words at most."""
+    at = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (as unsigned numbers) the filter lets pass."""
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return (bits.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0

@@ -3,7 +3,7 @@
 Ranks of prefixes start at ANCHOR bytes and grow to LENGTH. At the first offset only anchors are ranked: for each LENGTH-byte string,
 the position of its smallest ANCHOR-byte rank. All equal strings have equal anchors at equal places, so a string whose anchor is unique
 is unique, and drops out. The remaining anchors are ranked with the bytes of all strings that they stand for; an anchor equal to
-an earlier one in all of them is settled. The strings of the others are ranked at LENGTH, pairing the ranks of two
+an earlier one in all of them is settled. Those that share neither what precedes nor what follows with another drop out, and the strings of the others are ranked at LENGTH, pairing the ranks of two
 shorter prefixes; a rank here is the first position that holds the string, so a later one repeats it.
 Ranks are 128-bit hashes (two of 64 bits) of the bytes, doubled in the same way inside a document.
 """
@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import stash
+from lakewarden.llm.common import drop, may_hold, membership, stash
 
 LENGTH = 100
 ANCHOR = 32
+HALF = (LENGTH - ANCHOR) // 2  #: a string holds as many bytes before its anchor, or as many after it
 _SPAN = LENGTH - ANCHOR + 1  #: anchors that a string chooses from
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ADD = np.uint64(0xD1B54A32D192ED03)
 _BYTES = np.random.default_rng(3).integers(1, 2**64, 256, np.uint64)
+_FACTORS = {2**k: f | np.uint64(1) for k, f in enumerate(np.random.default_rng(4).integers(1, 2**64, 8, np.uint64))}
 NONE = 2**63 - 1  #: the order of a null doc_id: after all others
 
 
@@ -40,33 +42,48 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def doubled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of all ANCHOR-byte and all 2 * ANCHOR-byte strings of data."""
+    """Ranks of all ANCHOR-byte and all 2 * ANCHOR-byte strings of data. Up to ANCHOR bytes pairs are summed, with an odd factor for each size, and mixed once."""
     rank, size = _BYTES[np.frombuffer(data, np.uint8)], 1
     while size < ANCHOR:
-        rank, size = paired(rank[:-size], rank[size:]), 2 * size
+        rank, size = rank[:-size] * _FACTORS[size] + rank[size:], 2 * size
+    rank = mixed(rank)
     return rank, paired(rank[:-size], rank[size:])
 
 
-def smallest(rank: np.ndarray, span: int) -> np.ndarray:
-    """For each start of `span` neighbours, how far on the smallest is, the first of equals; by doubling."""
-    best, at, size = rank, np.zeros(len(rank), np.uint8), 1
+def sliding(x: np.ndarray, span: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) over each `span` neighbours, by doubling."""
+    size = 1
     while size < span:
         step = min(size, span - size)
-        a, b = best[:-step], best[step:]
-        later = b < a
-        best, at, size = np.where(later, b, a), np.where(later, at[step:] + np.uint8(step), at[:-step]), size + step
-    return at
+        x, size = pick(x[:-step], x[step:]), size + step
+    return x
+
+
+def smallest(rank: np.ndarray, span: int) -> np.ndarray:
+    """For each start of `span` neighbours, the place of the smallest, the first of equals."""
+    least = sliding(rank, span, np.minimum)
+    pad = np.zeros(span - 1, np.uint64)
+    chosen = sliding(np.concatenate((pad, least, pad)), span, np.maximum) == rank  # the smallest of some neighbours
+    places = np.flatnonzero(chosen)
+    at = np.cumsum(chosen)[: len(least)] - chosen[: len(least)]
+    while (off := np.flatnonzero(rank[places[at]] != least)).size:
+        at[off] += 1
+    return places[at]
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """For each anchor of data: the first string that it stands for, how many more, the anchor's rank, and that of all the bytes in them."""
+    """For each anchor of data: the first string that it stands for, how many more, the anchor's place and rank, the rank of all the
+    bytes in the strings, and of the anchor with HALF bytes before and after it."""
     short, long = doubled(data)
-    place = np.arange(len(data) - LENGTH + 1) + smallest(short, _SPAN)
+    place = smallest(short, _SPAN)
     cuts = np.flatnonzero(np.diff(place)) + 1
     lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(place)])) - 1
     end = hi + LENGTH - 2 * ANCHOR  # where the last 64 bytes begin
     whole = paired(paired(long[lo], long[np.minimum(lo + 52, end)]), paired(long[end], ((hi - lo) * 256 + place[lo] - lo).astype(np.uint64)))
-    return lo, hi - lo, short[place[lo]], whole
+    at = place[lo]
+    before, after = np.maximum(at - HALF, 0), np.minimum(at, len(data) - ANCHOR - HALF)
+    left, right = (paired(long[x], short[x + HALF]) for x in (before, after))
+    return lo, hi - lo, at, short[at], whole, left, right
 
 
 def _bytes(text: str | None) -> bytes:
@@ -78,7 +95,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """The anchors of all documents; those alone that a membership filter lets pass, if there is one."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[pd.DataFrame] = []
@@ -86,45 +106,68 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             for d, th, text in zip(pdf["d"], pdf["th"], pdf["text"]):
                 data = _bytes(text)
                 if len(data) >= LENGTH:
-                    lo, more, short, whole = anchors(data)
-                    out.append(pd.DataFrame({"d": d, "th": th, "lo": lo, "more": more, "a": short.view(np.int64), "w": whole.view(np.int64)}))
-                    size += len(lo)
+                    own = anchors(data)
+                    if shared.value is not None:
+                        keep = may_hold(shared.value, own[3])
+                        own = tuple(x[keep] for x in own)
+                    names = ("lo", "more", "at", "a", "w", "left", "right")
+                    out.append(pd.DataFrame({"d": d, "th": th} | {k: x.view(np.int64) for k, x in zip(names, own)}))
+                    size += len(own[0])
                     if size > 200_000:
                         yield pd.concat(out)
                         out, size = [], 0
             if out:
                 yield pd.concat(out)
 
-    return _keyed(docs).select("d", "th", "text").mapInPandas(run, "d long, th long, lo int, more int, a long, w long")
+    return _keyed(docs).select("d", "th", "text").mapInPandas(run, "d long, th long, lo int, more int, at int, a long, w long, left long, right long")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """d, th, spans: the union of a document's ranges [lo, hi), as maximal ranges. First within stretches of 64 kB, so that no long document is one task's sort."""
+
+    def union(rows: Column) -> Column:
+        last = lambda acc: F.element_at(acc, -1)
+        step = lambda acc, r: F.when(F.size(acc) == 0, F.array(r)).when(r["lo"] <= last(acc)["hi"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], r["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(r)))
+        return F.aggregate(F.sort_array(rows), F.expr("cast(array() as array<struct<lo:int,hi:int>>)"), step)
+
+    span = F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+    parts = spans.groupBy("d", "th", F.expr("lo div 65536").alias("part")).agg(union(F.collect_set(span)).alias("spans"))
+    return parts.select("d", "th", "spans")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """d, th, lo, hi: byte ranges of documents that strings found earlier cover; they overlap and touch, but their union is exact."""
+    """d, th, spans: byte ranges of documents that strings found earlier cover; several rows a document, whose union is exact."""
     counted = anchor_rows(docs).groupBy("a").agg(F.count("*").alias("n"), F.min("w").alias("w0"), F.max("w").alias("w1")).filter("n > 1")
     repeated = stash(counted.select("a", (F.col("w0") != F.col("w1")).alias("varied")), "repeats")
-    live = stash(anchor_rows(docs).join(repeated, "a"), "anchors")
+    found = anchor_rows(docs, membership(repeated, "a")).join(repeated, "a")
+    live = stash(found.select("d", "th", "lo", "more", "a", "w", "varied", *(F.when(F.col("varied"), F.col(c)).alias(c) for c in ("at", "left", "right"))), "anchors")
     where = F.struct("d", "th", "lo")
     first = live.groupBy("a", "w").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("varied").alias("varied"))
     later = live.select("d", "th", "lo", "more", "a", "w").join(first.filter("n > 1").select("a", "w", "first"), ["a", "w"]).filter(where != F.col("first"))
-    settled = later.select("d", "th", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("hi"))
+    settled = stash(merged(later.select("d", "th", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("hi"))), "settled")
     # what is left: strings of the first of each kind, where an anchor has several kinds
-    left = stash(live.filter("varied").join(first.filter("varied").select("a", "w", "first"), ["a", "w"]).filter(where == F.col("first")).select("d", "th", "lo", "more", "a"), "open")
-    asked = left.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "more", "a")).alias("asked"))
+    left = stash(live.filter("varied").join(first.filter("varied").select("a", "w", "first"), ["a", "w"]).filter(where == F.col("first")).select("d", "th", "lo", "more", "at", "a", "left", "right"), "open")
+    drop(repeated, live)
+    before, after = (left.groupBy("a", side).agg(F.count("*").alias("n")).filter("n > 1").select("a", side, F.lit(True).alias(f"on_{side}")) for side in ("left", "right"))
+    shared = left.join(before, ["a", "left"], "left").join(after, ["a", "right"], "left").filter("on_left or on_right")
+    asked = shared.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "more", "at", "a", F.coalesce("on_left", F.lit(False)).alias("on_left"), F.coalesce("on_right", F.lit(False)).alias("on_right"))).alias("asked"))
     texts = _keyed(docs).select("d", "th", "text")
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for d, th, text, asked in zip(pdf["d"], pdf["th"], pdf["text"], pdf["asked"]):
                 long = doubled(_bytes(text))[1]
-                rows = np.array([(r["lo"], r["more"] + 1, r["a"]) for r in asked], np.int64)
-                count = rows[:, 1]
-                at = np.repeat(rows[:, 0] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                yield pd.DataFrame({"d": d, "th": th, "lo": at.astype(np.int32), "a": np.repeat(rows[:, 2], count), "w": paired(long[at], long[at + LENGTH - 2 * ANCHOR]).view(np.int64)})
-
-    windows = stash(texts.join(asked, ["d", "th"]).mapInPandas(strings, "d long, th long, lo int, a long, w long").distinct(), "strings")
+                first, more, place, anchor, on_left, on_right = np.array([(r["lo"], r["more"], r["at"], r["a"], r["on_left"], r["on_right"]) for r in asked], np.int64).T
+                begin = np.where(on_left > 0, first, np.maximum(first, place - HALF + 1))
+                end = np.where(on_right > 0, first + more, np.minimum(first + more, place - HALF))
+                count = np.maximum(end - begin + 1, 0)
+                at = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                yield pd.DataFrame({"d": d, "th": th, "lo": at.astype(np.int32), "a": np.repeat(anchor, count), "w": paired(long[at], long[at + LENGTH - 2 * ANCHOR]).view(np.int64)})
+
+    windows = stash(texts.join(asked, ["d", "th"]).mapInPandas(strings, "d long, th long, lo int, a long, w long"), "strings")
     ranks = windows.groupBy("a", "w").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("a", "w", "first")
     found = windows.join(ranks, ["a", "w"]).filter(where != F.col("first")).select("d", "th", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return settled.unionByName(found)
+    return settled.unionByName(merged(found))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -136,8 +179,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     spans = stash(repeated_spans(docs), "spans")
-    each = spans.groupBy("d", "th", F.floor(F.col("lo") / 4096).alias("part")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    own = each.groupBy("d", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    own = spans.groupBy("d", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
