@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import stash
+from lakewarden.llm.common import drop, may_hold, membership, stash
 
 SHINGLE = 5
 PERCENT = 80  #: least Jaccard similarity, in hundredths
@@ -147,14 +147,33 @@ def set_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, sid long").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def join_keys(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """band, key, sid, n: what each document is joined on."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def common_keys(docs: DataFrame) -> np.ndarray:
+    """Keys of many documents, sorted: those that tasks met more than once, over HOT times in all. They order the others' prefixes, which changes speed alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: list[np.ndarray] = []
         for pdf in batches:
             for _, sets in _sets(pdf):
-                out = [(band, fingerprint(h), len(h), prefix(h, band, shared.value)) for h in sets if len(h) for band in bands(len(h))]
+                met += [prefix(h, band, np.empty(0, np.uint64)) for h in sets if len(h) for band in bands(len(h))]
+        if met:
+            keys, n = np.unique(np.concatenate(met), return_counts=True)
+            yield pd.DataFrame({"key": keys[n > 1].view(np.int64), "n": n[n > 1]})
+
+    counted = _texts(docs).mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+    return np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()], np.int64).view(np.uint64))
+
+
+def join_keys(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """band, key, sid, n: what each document is joined on, less what a membership filter says no other document has."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, wanted))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, wanted = shared.value
+        for pdf in batches:
+            for _, sets in _sets(pdf):
+                out = [(band, fingerprint(h), len(h), prefix(h, band, hot)) for h in sets if len(h) for band in bands(len(h))]
+                if wanted is not None:
+                    out = [(band, sid, n, k) for band, sid, n, keys in out if len(k := keys[may_hold(wanted, keys)])]
                 if out:
                     many = [len(k) for *_, k in out]
                     band, sid, n = (np.repeat([x[i] for x in out], many) for i in range(3))
@@ -206,7 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(now.join(least, "u").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        now = stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        old, now = now, stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        drop(old)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -216,12 +236,10 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> DataFrame:
     """a, b: enough similar pairs of classes to tell all components."""
     spark = docs.sparkSession
-    none = np.empty(0, np.uint64)
-    counted = join_keys(docs, none).groupBy("key", "sid").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
-    hot = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()], np.int64).view(np.uint64))
-    keys = join_keys(docs, hot)
-    shared = stash(keys.groupBy("key").agg(F.min("sid").alias("s0"), F.max("sid").alias("s1"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("s0 != s1").select("key"), "shared")
-    rows = stash(keys.join(shared, "key").distinct(), "candidates")
+    hot = common_keys(docs)
+    pairs = join_keys(docs, hot).select("key", F.col("sid").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("s"))
+    shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
+    rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
     sets = stash(candidate_sets(docs, rows.select("sid").distinct()), "sets")
     leader = rows.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("first")).select("key", F.col("first.sid").alias("a"), F.col("first.n").alias("n_a"))
     star = rows.join(leader, "key").filter((F.col("sid") != F.col("a")) & _near(F.col("n"), F.col("n_a"))).select("a", F.col("sid").alias("b"), "band").distinct()
