@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+import lakewarden.functions.scalars
+import lakewarden.operators.aggregations
+import lakewarden.operators.joins
+import lakewarden.operators.rules
+import lakewarden.plans.etl
+import lakewarden.plans.secure
+import lakewarden.streaming.alerts  # noqa: F401  modules register their queries
+from lakewarden.registry import ORACLES, QUERIES
+
+FLAGSHIP = "risk_composite"
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
