@@ -22,7 +22,7 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """A file with a header as text columns; malformed lines are dropped, empty fields stay empty texts."""
     sep = separator or sniff_separator(spark, path)
-    return spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", emptyValue="", nullValue="\0", inferSchema=False)
+    return spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", inferSchema=False).na.fill("")
 
 
 def clean_lines(spark: SparkSession, path: str) -> DataFrame:
