@@ -77,7 +77,7 @@ def slots(per: DataFrame, seed: int = 11) -> DataFrame:
         .withColumn("_epochs", F.expr("_words div source_size")).withColumn("_part", F.expr("_words % source_size"))
         .withColumn("_slots", F.expr(f"_epochs * _n + (_part + {BLOCK - 1}) div {BLOCK}")).filter("_slots > 0")
         .withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})")))
-        .repartition("_src", "_chunk")
+        .repartition(max(8, -(-int(total) // (8 * CHUNK))), "_src", "_chunk")
         .withColumn("slot", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least((_chunk + 1) * {CHUNK}, _slots) - 1)")))
         .withColumn("epoch", F.expr("slot div _n")).withColumn("_idx", F.expr("slot % _n"))
     )
@@ -96,7 +96,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     rows, per = streams(docs)
     pieces = rows.withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(start div {BLOCK}, (start + size - 1) div {BLOCK}), cast(null as array<bigint>))")))
-    joined = pieces.join(slots(per), ["_src", "block"], "left")
+    joined = pieces.join(slots(per).hint("merge"), ["_src", "block"], "left")
     lo = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * BLOCK, F.coalesce("want", F.lit(0)))
     rest = per.select("_src", "source_size", "target")
