@@ -108,11 +108,11 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 OR words IS NULL THEN [] WHEN len(words) < 5 THEN [list_aggregate(words, 'string_agg', ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> list_aggregate(words[i:i + 4], 'string_agg', ' ')) END) AS own FROM w
+    ELSE list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' ')) END) AS own FROM w
 ), classes AS (SELECT min(doc_id) AS c, own FROM s WHERE len(own) > 0 GROUP BY list_sort(own), own
 ), x AS (SELECT c, len(own) AS n, unnest(own) AS sh FROM classes
-), both AS (SELECT a.c AS a, b.c AS b, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.sh = b.sh AND a.c < b.c GROUP BY 1, 2
-), e AS (SELECT a, b FROM both WHERE 100 * k >= 80 * (n + m - k)
+), shared AS (SELECT a.c AS a, b.c AS b, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.sh = b.sh AND a.c < b.c GROUP BY 1, 2
+), e AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (n + m - k)
 ), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
 ), r(node, seen) AS (SELECT c, c FROM classes UNION SELECT g.b, r.seen FROM r JOIN g ON g.a = r.node
 ), k AS (SELECT node, min(seen) AS comp FROM r GROUP BY 1
@@ -122,13 +122,6 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, d.n AS n_shingles, coalesce(ck.comp, d.doc_id) AS component_id FROM d LEFT JOIN ck ON ck.own = d.own AND d.n > 0
 """
 
-OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
-"""
-
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_url_filter": OP2_SQL, "op9_ngram_join": OP9_SQL}
