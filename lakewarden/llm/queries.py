@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import ann, html_extract, language_id, mixing, ngram_join, packing, suffix_dedup, toxicity, url_filter
+from lakewarden.llm import ann, audio, html_extract, language_id, mixing, ngram_join, packing, suffix_dedup, toxicity, url_filter
 
 #: Fixed values of the URL query: rules, and hosts whose every URL is listed.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -57,6 +57,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", crc("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds sound, so each text's bytes are read as 8-bit samples: equal passages are equal sound. Queries: doc_ids divisible by 100."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("audio"))
+    return audio.search(docs, "doc_id", F.col("doc_id") % 100 == 0, "audio", "u8")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -83,7 +89,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_url_filter, op3_html_extract, op4_packing, op6_mixing, op7_language_id, op8_suffix_dedup, op9_ngram_join, op10_ann)
+    own = (op1_toxicity, op2_url_filter, op3_html_extract, op4_packing, op5_chroma_audio, op6_mixing, op7_language_id, op8_suffix_dedup, op9_ngram_join, op10_ann)
     return {f.__name__: f for f in own}
 
 

@@ -77,3 +77,29 @@ def dedup(rows, length=100):
         kept = bytes(b for b, g in zip(data, gone) if not g)
         out[d] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def aligned(codes, queries, rule):
+    """Matches of recordings by their codes: (query, other) -> offset, votes, frames of overlap, bit error."""
+    out = {}
+    for q in queries:
+        for d in codes:
+            if d == q:
+                continue
+            a, b = codes[q].tolist(), codes[d].tolist()
+            seeds = [[(i, c) for i, c in enumerate(x) if c and (i == 0 or x[i - 1] != c)] for x in (a, b)]
+            votes = {}
+            for i, c in seeds[0]:
+                for j, e in seeds[1]:
+                    if c == e:
+                        votes[j - i] = votes.get(j - i, 0) + 1
+            if not votes:
+                continue
+            o = max(votes, key=lambda o: (votes[o], -abs(o), -o))
+            pairs = [(a[i], b[i + o]) for i in range(len(a)) if 0 <= i + o < len(b)]
+            if votes[o] < rule.MIN_VOTES or len(pairs) < rule.MIN_ALIGNED:
+                continue
+            error = round(sum((x ^ y).bit_count() for x, y in pairs) / (32 * len(pairs)), 6)
+            if error <= rule.MAX_ERROR:
+                out[q, d] = (o, votes[o], len(pairs), error)
+    return out

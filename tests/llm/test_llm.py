@@ -156,3 +156,57 @@ def test_empty_tables(spark):
 
 def test_crc():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+def wav(x, rate=11025, channels=1):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(np.repeat(np.clip(x, -32767, 32767).astype("<i2"), channels).tobytes())
+    return out.getvalue()
+
+
+def melody(seed, notes=24, rate=11025):
+    rng = np.random.default_rng(seed)
+    t = np.arange(rate // 3) / rate
+    return np.concatenate([6000 * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) + 3000 * np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in rng.integers(0, 24, notes)])
+
+
+def test_audio(spark):
+    from lakewarden.llm import audio
+
+    base, rng = melody(1), np.random.default_rng(0)
+    noisy = base + rng.normal(0, 60, len(base))
+    lead = melody(9, 6)[: 40 * audio.HOP]
+    rows = [(100, wav(base)), (1, wav(base)), (2, wav(noisy)), (3, wav(np.concatenate([lead, base]))), (4, wav(base[30 * audio.HOP :], channels=2)), (5, wav(melody(2))), (6, wav(np.zeros(90_000))), (7, b""), (8, None), (9, b"no sound"), (None, wav(base)), (200, wav(melody(2))), (200, wav(melody(2)))]
+    df = spark.createDataFrame([(i, b, 1, "x") for i, b in rows], "rec long, sound binary, offset int, print string")
+    got = audio.search(df, "rec", audio.F.col("rec") % 100 == 0, "sound").collect()
+    own = [(r.id, r.class_id) for r in got if r.kind == "recording"]
+    assert sorted(own) == sorted([(100, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (200, 5), (200, 5)])
+    match = {(r.id, r.class_id): r for r in got if r.kind == "match"}
+    assert set(match) == {(1, 2), (1, 3), (1, 4)}
+    assert match[1, 3].offset == 40 and match[1, 4].offset == -30 and match[1, 2].offset == 0
+    # the pairs against a plain version
+    codes = {i: audio.codes_of(*audio.samples_of(b, "wav")) for i, b in rows if i in (1, 2, 3, 4, 5, 6)}
+    assert brute.aligned(codes, [1, 5], audio) == {(r.id, r.class_id): (r.offset, r.votes, r.aligned, r.bit_error) for r in match.values()}
+    assert audio.search(df.limit(0), "rec", audio.F.col("rec") % 100 == 0, "sound").count() == 0
+
+
+def test_audio_filters():
+    from lakewarden.llm import audio
+
+    chroma = np.rint(audio.pitch_classes(melody(4, 8), 11025) * audio.SCALE)
+    image = np.tile(np.concatenate([chroma, np.repeat(chroma[-1:], audio.REACH - 1, 0)]), 2)
+    codes = audio.codes_of(melody(4, 8), 11025)
+    for at in range(0, len(chroma), 7):
+        code = 0
+        for kind, p, h, w in audio.FILTERS:
+            box = image[at : at + w, p : p + h]
+            part = {"pitch": box[:, : h // 2], "time": box[: w // 2], "mid": box[:, h // 4 : h // 4 + h // 2]}.get(kind)
+            a = part.sum() if part is not None else box[: w // 2, : h // 2].sum() + box[w // 2 :, h // 2 :].sum()
+            share = h // 2 / h if kind == "mid" else 0.5
+            code = code << 2 | int(audio.GRAY[np.searchsorted(audio.LEVELS, (a - share * box.sum()) / max(box.sum(), 1))])
+        assert code == codes[at]
