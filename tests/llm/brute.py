@@ -87,7 +87,7 @@ def aligned(codes, queries, rule):
             if d == q:
                 continue
             a, b = codes[q].tolist(), codes[d].tolist()
-            seeds = [[(i, c) for i, c in enumerate(x) if c and (i == 0 or x[i - 1] != c)] for x in (a, b)]
+            seeds = [[(i, c) for i, c in enumerate(zip(x, x[1:])) if c[0] and (i == 0 or (x[i - 1], x[i]) != c)] for x in (a, b)]
             votes = {}
             for i, c in seeds[0]:
                 for j, e in seeds[1]:
