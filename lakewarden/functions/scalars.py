@@ -122,3 +122,24 @@ def bool_parse_variants(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey AS id, format('{:,.2f}', c_acctbal) AS amount FROM customer")
 def number_format(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.format_number("c_acctbal", 2).alias("amount"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^\\w\\s.,;:?-]', '', 'g') AS url FROM pages")
+def strip_special_text(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "pages").select("page_id", strip_special(F.col("url")).alias("url"))
+
+
+def first_number(c: Column) -> Column:
+    """The first number in a text, a comma read as a decimal point; null if there is none."""
+    return F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit(".")), r"(-?\d+)", 1), F.lit("")).try_cast("long")
+
+
+@query("SELECT event_id, TRY_CAST(nullif(regexp_extract(replace(props, ',', '.'), '(-?\\d+)', 1), '') AS BIGINT) AS k FROM events")
+def numeric_extract(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select("event_id", first_number(F.col("props")).alias("k"))
+
+
+@query("SELECT c_custkey, list_aggregate(list_sort(list_distinct(list_filter([trim(x) FOR x IN string_split(c_mktsegment || ', a@x.org,, ' || c_mktsegment || ' ,b@x.org', ',')], lambda x: x <> ''))), 'string_agg', ', ') AS emails FROM customer")
+def email_list_norm(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.col("c_mktsegment"), F.lit(", a@x.org,, "), F.col("c_mktsegment"), F.lit(" ,b@x.org"))
+    return load(spark, d, "customer").select("c_custkey", emails(raw).alias("emails"))
