@@ -1,9 +1,10 @@
 """Similarity join of documents on 5-word shingles by parity sketches.
 
-Every shingle of a document flips one of P parts of a sketch. Two documents whose sets differ in d shingles differ in at most d
-parts, so by pigeonhole similar ones agree on most; a part's key is the XOR of its shingles' hashes, and the parity of its shingles is one
-bit of a sketch whose Hamming distance is at most d. Per size band, documents are joined on the first D + 1 parts in one
-global order (common keys last), which two similar ones must share; size, Hamming distance and then the sets themselves verify.
+Every shingle of a document flips one bit of a sketch, so the Hamming distance of two documents whose sets differ in d shingles is at
+most d. For the join, the shingles are dealt to blocks as well, a few to each; at most d blocks differ, so by pigeonhole similar
+documents agree on the others. A block's key is the XOR of its shingles' hashes. Per size band, documents are joined on the first D + 1
+blocks in one global order (common keys last), of which two similar ones must share one; a passage that two other documents share seldom
+fills a block. Size, Hamming distance and then the sets themselves verify.
 Documents with equal sets are one class throughout. Large groups are linked to a leader first, and only members that are in
 different components after that are tried against each other.
 """
@@ -17,11 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import drop, may_hold, membership, stash
+from lakewarden.llm.common import broadcast_if_small, drop, may_hold, membership, stash
 
 SHINGLE = 5
 PERCENT = 80  #: least Jaccard similarity, in hundredths
-LEAST_PARTS = 64
+LEAST_PARTS = 64  #: bits of a sketch
+LEAST_BLOCKS = 8
+LOAD = 3  #: shingles that a block holds on average at a band's upper end; over 3.9, a set would have too few occupied blocks
 HOT = 64  #: classes with a key from which it comes last in the global order
 HOT_KEYS = 200_000  #: hot keys told to all tasks; further ones keep their place, which changes speed alone
 ROUNDS = 3
@@ -69,13 +72,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         h, of = h[own], doc[own]
     else:
         h, of = np.empty(0, np.uint64), np.empty(0, np.int64)
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[keep], of[keep]
     edges = np.searchsorted(of, np.arange(len(data) + 1))
-    sets = [h[edges[i] : edges[i + 1]] for i in range(len(data))]
+    sets = [np.unique(h[edges[i] : edges[i + 1]]) for i in range(len(data))]
     word_edges = np.concatenate(([0], np.cumsum(count)))
     for i in np.flatnonzero((count > 0) & (count < SHINGLE)):
         whole = np.full(1, count[i], np.uint64)
@@ -96,32 +94,32 @@ def bands(n: int) -> list[int]:
     return [k, k + 1] if 100 * n >= PERCENT * 2 ** (k + 1) else [k]
 
 
-def parts_of(h: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """The occupied parts' keys in a band and the parity of every part."""
-    parts = max(LEAST_PARTS, 2 ** (band + 1))
-    at = (h >> np.uint64(7)) & np.uint64(parts - 1)
-    order = np.argsort(at, kind="stable")
-    at, own = at[order], h[order]
+def blocks_in(band: int) -> int:
+    return max(LEAST_BLOCKS, -(-(2 ** (band + 1)) // LOAD))
+
+
+def block_keys(h: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The occupied blocks of a sorted set in a band, and their keys. Blocks are ranges of hashes, so that a sorted set needs no other order."""
+    at = ((h >> np.uint64(32)) * np.uint64(blocks_in(band))) >> np.uint64(32)
     begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    parity = np.zeros(parts, np.uint8)
-    parity[at[begin].astype(np.int64)] = np.diff(np.append(begin, len(at))) & 1
-    keys = paired(mixed(np.bitwise_xor.reduceat(own, begin)), at[begin] + np.uint64(band << 40))
-    return keys, parity
+    at = at[begin]
+    return at, paired(mixed(np.bitwise_xor.reduceat(h, begin)), at + np.uint64(band << 40))
 
 
-def sketch(parity: np.ndarray) -> list[int]:
-    return np.packbits(parity).view(">i8").tolist()
+def sketch(h: np.ndarray, band: int) -> list[int]:
+    """A bit for each part, the parity of its shingles, as 64-bit numbers."""
+    parts = max(LEAST_PARTS, 2 ** (band + 1))
+    parity = np.bincount(((h >> np.uint64(7)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(parity.astype(np.uint8)).view(">i8").tolist()
 
 
 def prefix(h: np.ndarray, band: int, hot: np.ndarray) -> np.ndarray:
     """The keys that a set is joined on in a band."""
-    keys, _ = parts_of(h, band)
+    at, keys = block_keys(h, band)
     need = (100 - PERCENT) * len(h) // PERCENT + 1  # as |A ^ B| <= 0.25 |A| if |B| <= 1.25 |A| and the similarity is 0.8
-    if len(keys) < need:  # so few occupied parts that empty ones may be all that two sets share
-        parts = max(LEAST_PARTS, 2 ** (band + 1))
-        taken = np.zeros(parts, bool)
-        taken[((h >> np.uint64(7)) & np.uint64(parts - 1)).astype(np.int64)] = True
-        return np.concatenate((keys, paired(np.zeros(int((~taken).sum()), np.uint64), np.flatnonzero(~taken).astype(np.uint64) + np.uint64(band << 40))))
+    if len(keys) < need:  # so few occupied blocks that empty ones may be all that two sets share
+        empty = np.setdiff1d(np.arange(blocks_in(band), dtype=np.uint64), at)
+        return np.concatenate((keys, paired(np.zeros(len(empty), np.uint64), empty + np.uint64(band << 40))))
     common = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
     return keys[np.lexsort((keys, common))[:need]]
 
@@ -136,30 +134,26 @@ def _sets(pdf: pd.DataFrame, step: int = 300) -> Iterator[tuple[pd.DataFrame, li
         yield part, shingle_sets(part["text"].tolist())
 
 
-def set_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid: each document's set size and class."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, sets in _sets(pdf):
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(h) for h in sets], "sid": [fingerprint(h) for h in sets]})
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, sid long").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
-
-
-def common_keys(docs: DataFrame) -> np.ndarray:
-    """Keys of many documents, sorted: those that tasks met more than once, over HOT times in all. They order the others' prefixes, which changes speed alone."""
+def first_pass(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sid: each document's set size and class. Besides, rows key, met: a key that a task met in several documents, and in how many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: list[np.ndarray] = []
         for pdf in batches:
-            for _, sets in _sets(pdf):
+            for part, sets in _sets(pdf):
                 met += [prefix(h, band, np.empty(0, np.uint64)) for h in sets if len(h) for band in bands(len(h))]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(h) for h in sets], "sid": [fingerprint(h) for h in sets], "key": 0, "met": 0})
         if met:
             keys, n = np.unique(np.concatenate(met), return_counts=True)
-            yield pd.DataFrame({"key": keys[n > 1].view(np.int64), "n": n[n > 1]})
+            yield pd.DataFrame({"doc_id": None, "n": 0, "sid": 0, "key": keys[n > 1].view(np.int64), "met": n[n > 1]})
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, sid long, key long, met long")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
-    counted = _texts(docs).mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+
+def common_keys(first: DataFrame) -> np.ndarray:
+    """Keys of many documents, sorted: those that tasks met more than once, over HOT times in all. They order the others' prefixes, which changes speed alone."""
+    counted = first.filter("met > 0").groupBy("key").agg(F.sum("met").alias("n")).filter(F.col("n") > HOT)
     return np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -190,7 +184,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for pdf in batches:
             for _, sets in _sets(pdf):
                 own = [h for h in sets if len(h)]
-                yield pd.DataFrame({"sid": [fingerprint(h) for h in own], "n": [len(h) for h in own], "h": [h.view(np.int64) for h in own], "sketches": [{b: sketch(parts_of(h, b)[1]) for b in bands(len(h))} for h in own]})
+                yield pd.DataFrame({"sid": [fingerprint(h) for h in own], "n": [len(h) for h in own], "h": [h.view(np.int64) for h in own], "sketches": [{b: sketch(h, b) for b in bands(len(h))} for h in own]})
 
     sets = _texts(docs).mapInPandas(run, "sid long, n long, h array<bigint>, sketches map<int,array<bigint>>")
     return sets.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "h", "sketches")))
@@ -208,11 +202,15 @@ def _hamming_fits(s1: str, s2: str, n1: str, n2: str) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs(a, b, band), the distinct (a, b) that are similar."""
-    one, two = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("h").alias(f"h_{s}"), F.col("sketches").alias(f"k_{s}")) for s in "ab")
-    first = pairs.join(one.drop("h_a"), "a").join(two.drop("h_b"), "b").withColumn("s_a", F.col("k_a")[F.col("band")]).withColumn("s_b", F.col("k_b")[F.col("band")])
-    close = first.filter(_near(F.col("n_a"), F.col("n_b")) & _hamming_fits("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct()
+    one, two = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketches").alias(f"k_{s}")) for s in "ab")
+    first = pairs.join(one, "a").join(two, "b").withColumn("s_a", F.col("k_a")[F.col("band")]).withColumn("s_b", F.col("k_b")[F.col("band")])
+    close = stash(first.filter(_near(F.col("n_a"), F.col("n_b")) & _hamming_fits("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct(), "close")
+    # few sets of all are in close pairs, and those alone are shuffled
+    wanted = broadcast_if_small(close.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), 500_000)
+    own = sets.select("sid", "n", "h").join(wanted, "sid", "left_semi")
+    one, two = (own.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("h").alias(f"h_{s}")) for s in "ab")
     both = F.size(F.array_intersect("h_a", "h_b"))
-    return close.join(one.drop("k_a"), "a").join(two.drop("k_b"), "b").filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select("a", "b")
+    return close.join(one, "a").join(two, "b").filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,10 +231,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """a, b: enough similar pairs of classes to tell all components."""
-    spark = docs.sparkSession
-    hot = common_keys(docs)
+def links(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """a, b: enough similar pairs of classes to tell all components. hot: common keys, which come last."""
     pairs = join_keys(docs, hot).select("key", F.col("sid").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("s"))
     shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
     rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
@@ -268,8 +264,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Texts without words have an empty set and are linked with nothing; a component's id is its smallest doc_id, null if
     all are null; rows alike in doc_id give a row each; other columns are ignored; an empty table gives an empty result.
     """
-    ids = stash(set_ids(docs), "setids")
-    comp = components(links(docs))
+    first = stash(first_pass(docs), "setids")
+    ids = first.filter("met = 0").select("doc_id", "n", "sid")
+    comp = components(links(docs, common_keys(first)))
     least = ids.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("comp", "sid").alias("comp"))
     least = stash(least, "classes")
     top = least.groupBy("comp").agg(F.min("least").alias("component_id"))
