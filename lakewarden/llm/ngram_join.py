@@ -33,12 +33,23 @@ _BYTE = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x2545F4914F6CDD1D)
+_KEPT: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
 
 
 def _inverse(x: int) -> int:
     return pow(x, -1, 2**64)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the word hash's base, and of its inverse; kept for the next texts, but for very long ones."""
+    if len(_KEPT[0]) >= n:
+        return _KEPT[0], _KEPT[1]
+    made = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 18), base, np.uint64)))) for base in (_P, _inverse(int(_P))))
+    if n <= 1 << 22:
+        _KEPT[:] = made
+    return made
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -56,10 +67,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     space = _SPACE[code]
     first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     last = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    one = np.ones(1, np.uint64)
-    power = np.cumprod(np.concatenate((one, np.full(len(code), _P))))
-    back = np.cumprod(np.concatenate((one, np.full(len(code), _inverse(int(_P)), np.uint64))))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[code] * power[:-1], dtype=np.uint64)))
+    power, back = _powers(len(code))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(_BYTE[code] * power[: len(code)], out=total[1:])
     word = mixed((total[last] - total[first]) * back[first])
     doc = np.searchsorted(starts, first, "right") - 1
     count = np.bincount(doc, minlength=len(data))
@@ -121,14 +131,15 @@ def prefix(h: np.ndarray, band: int, hot: np.ndarray) -> np.ndarray:
         empty = np.setdiff1d(np.arange(blocks_in(band), dtype=np.uint64), at)
         return np.concatenate((keys, paired(np.zeros(len(empty), np.uint64), empty + np.uint64(band << 40))))
     common = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
-    return keys[np.lexsort((keys, common))[:need]]
+    order = (keys >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
+    return keys[np.argpartition(order, need - 1)[:need]]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text")
 
 
-def _sets(pdf: pd.DataFrame, step: int = 300) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+def _sets(pdf: pd.DataFrame, step: int = 100) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     for i in range(0, len(pdf), step):
         part = pdf.iloc[i : i + step]
         yield part, shingle_sets(part["text"].tolist())
