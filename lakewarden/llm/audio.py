@@ -1,8 +1,8 @@
 """Chroma audio fingerprints, and alignment of recordings by them.
 
 A recording's samples become frames of energy per pitch class; box filters over an integral image of the frames give 16 values of
-two bits each, packed into one 32-bit code a frame. Two recordings are aligned at the offset where most pairs of successive codes
-are equal (the peak of an offset histogram), and match when few bits differ over their overlap there.
+two bits each, packed into one 32-bit code a frame. Two recordings are aligned at the offset where most codes are equal (the
+peak of an offset histogram), and match when few bits differ over their overlap there.
 """
 
 from __future__ import annotations
@@ -147,18 +147,18 @@ def search(recordings: DataFrame, key: str, is_query, audio: str, encoding: str
 
     Recordings of equal codes form a class, named by its smallest key. The result has two kinds of rows: `recording` (id, class_id:
     membership, one per input row with a key) and `match` (id: the class of a query, class_id: another class, offset: frames
-    by which the other is late, votes: equal pairs of successive codes at that offset, aligned: frames of overlap, bit_error: share of differing bits there).
+    by which the other is late, votes: equal codes at that offset, aligned: frames of overlap, bit_error: share of differing bits there).
     The offset is that of most votes (ties: the smallest shift, then the smaller offset); a pair matches with min_votes votes,
-    min_aligned frames and a bit error of max_error at most. Pairs that begin in silence, and pairs of equal codes that repeat the pair before, give no vote.
+    min_aligned frames and a bit error of max_error at most. Silent frames, and frames that repeat the code before, give no vote.
+    Recordings of fewer than min_aligned frames cannot match and are not voted on.
     Recordings without codes match nothing and are classes of their own. An empty table gives an empty result.
     """
     prints = stash(fingerprint(recordings.filter(F.col(key).isNotNull()), key, audio, encoding), "prints")
     named = prints.filter("size(codes) > 0")
     classes = named.groupBy("print").agg(F.min(key).alias("class_id"), F.first("codes").alias("codes"), F.max(is_query).alias("_query"))
     classes = stash(classes, "print-classes")
-    votes_at = "c != 0 AND i + 1 < size(codes) AND (i = 0 OR get(codes, i - 1) != c OR c != get(codes, i + 1))"
-    seed = f"filter(transform(codes, (c, i) -> CASE WHEN {votes_at} THEN struct(i AS pos, shiftleft(c, 32) | get(codes, i + 1) AS code) END), s -> s IS NOT NULL)"
-    seeds = classes.select("class_id", "_query", F.explode(F.expr(seed)).alias("s")).select("class_id", "_query", "s.pos", "s.code")
+    seed = "filter(transform(codes, (c, i) -> struct(i AS pos, c AS code)), s -> s.code != 0 AND (s.pos = 0 OR get(codes, s.pos - 1) != s.code))"
+    seeds = classes.filter(F.size("codes") >= min_aligned).select("class_id", "_query", F.explode(F.expr(seed)).alias("s")).select("class_id", "_query", "s.pos", "s.code")
     asked = seeds.filter("_query").select(F.col("class_id").alias("id"), F.col("pos").alias("_at"), "code")
     hits = asked.join(seeds.select("class_id", "pos", "code"), "code").filter("id != class_id")
     votes = hits.groupBy("id", "class_id", (F.col("pos") - F.col("_at")).alias("offset")).agg(F.count("*").alias("votes"))

@@ -210,3 +210,15 @@ def test_audio_filters():
             share = h // 2 / h if kind == "mid" else 0.5
             code = code << 2 | int(audio.GRAY[np.searchsorted(audio.LEVELS, (a - share * box.sum()) / max(box.sum(), 1))])
         assert code == codes[at]
+
+
+def test_audio_noise(spark):
+    """A recording under strong noise, within the bounds of aligned frames and bit error, has few equal codes and hardly two in a row."""
+    from lakewarden.llm import audio
+
+    base, rng = melody(1), np.random.default_rng(0)
+    rows = [(100, wav(base)), (2, wav(base + rng.normal(0, 2000, len(base)))), (3, wav(base[: 5 * audio.HOP]))]
+    got = audio.search(spark.createDataFrame(rows, "rec long, sound binary"), "rec", audio.F.col("rec") % 100 == 0, "sound").filter("kind = 'match'").collect()
+    codes = {i: audio.codes_of(*audio.samples_of(b, "wav")) for i, b in rows}
+    assert {(r.id, r.class_id): (r.offset, r.votes, r.aligned, r.bit_error) for r in got} == brute.aligned(codes, [100], audio)
+    assert [(r.class_id, r.offset) for r in got] == [(2, 0)] and 0.1 < got[0].bit_error <= audio.MAX_ERROR
