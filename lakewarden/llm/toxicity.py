@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character language model (letter trigrams counted over all documents) scores the lattice of readings of every suspicious
-token (leetspeak, letters spaced out, repeated letters); Viterbi picks the likeliest reading, and the restored text is scored by
+token (leetspeak, words split by separators, repeated letters); Viterbi picks the likeliest reading, and the restored text is scored by
 word evidence learned from labels.
 """
 
@@ -30,9 +30,15 @@ DROP_COST = 7.0  #: nats for reading a sign as nothing
 LEAST_RATE = 0.8  #: least share of toxic documents among those with a feature
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = "".join(re.escape(c) for c in LEET)
-#: Tokens with signs among letters, a letter three times or more, or at least four single letters spaced out.
-SUSPECT = re.compile(rf"(?<!\S)(?=\S*[^\W\d_])(?:[{_SIGNS}]+[^\W\d_]\S*|[^\W\d_]+[{_SIGNS}]+[^\W\d_]\S*)|\S*([^\W\d_])\1\1\S*|(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){{3,}}(?![^\W_])")
-MAY = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1\1|(?<![^\W_])[^\W_][ .\-_*][^\W_][ .\-_*][^\W_](?![^\W_])")
+#: Single letters or signs, three at least, with one or two separators between them.
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:(?:[^\w\n{_SIGNS}]|[_*]){{1,2}}(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])")
+#: Tokens with a letter and a sign anywhere, a letter twice or more, or separators inside; what they mean is left to decode.
+TOKEN = re.compile(rf"(?<!\S)(?=\S*?[^\W\d_])(?:\S*?[{_SIGNS}]|\S*?([^\W\d_])\1|\S*?[^\W_](?:[^\w\s]|_)+[^\W_])\S*", re.I)
+_UNITS = re.compile(rf"([^\W\d_])\1*|(?:[^\w\s{_SIGNS}]|_)+|.", re.S)
+_DOUBLED = re.compile(r"([^\W\d_])\1+")
+JOIN_COST = 3.0  #: nats for reading separators among a token's letters as nothing
+SPLIT_COST = 2.0  #: nats for reading separators between single letters as themselves
+SINGLE_COST = 2.5  #: nats for reading a letter written twice as one
 
 
 def symbol(c: str) -> int:
@@ -83,55 +89,82 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a token under the model: a Viterbi pass over (two last symbols, written text) states.
+def decode(token: str, model: list[float], spaced: bool = False) -> str:
+    """The likeliest reading of a token under the model (flat): a Viterbi pass over (two last symbols, written text) states, all of which are kept.
 
-    A run of one letter may stand for one or two; separators between single letters stand for nothing; a sign may be itself, a
-    letter or nothing. Linear in the token's length.
+    A run of one letter may stand for one or two; separators among letters may stand for nothing, and between single letters
+    mostly do; a sign may be itself, a letter or nothing. Linear in the token's length.
     """
-    spaced = bool(re.fullmatch(r"[^\W_](?:[ .\-_*][^\W_]){3,}", token))
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     letters = [i for i, c in enumerate(token) if c.isalpha()] or [0]
-    for m in re.finditer(r"([^\W\d_])\1*|.", token.lower(), re.S):
+    for m in _UNITS.finditer(token.lower()):
         run = m[0]
         c = run[0]
+        where = 0 if m.start() < letters[0] else 1 if m.start() < letters[-1] else 2
         if c.isalpha():
-            options = [(c, 0.0)] + ([(c * 2, 0.5)] if len(run) > 1 else [])
-        elif spaced and c in " .-_*":
-            options = [("", 0.0)]
+            options = [(c, 0.0 if len(run) != 2 else SINGLE_COST)] + ([(c * 2, 0.5 if len(run) > 2 else 0.0)] if len(run) > 1 else [])
+        elif spaced and (c == "*" or c not in LEET and not c.isdigit()):
+            options = [("", 0.0), (run, SPLIT_COST)]
+        elif c not in LEET and not c.isdigit():
+            options = [(run, 0.0)] + ([("", JOIN_COST)] if where == 1 else [])
         else:
-            where = 0 if m.start() < letters[0] else 1 if m.start() < letters[-1] else 2
             keep = KEEP_COST[where] + 2.5 * (where == 2 and c in "$@€" or c.isdigit())
-            options = [(c, keep), *((x, LEET_COST) for x in LEET.get(c, "")), ("", DROP_COST)]
+            options = [(c, keep), *((x, LEET_COST) for x in LEET.get(c, "")), ("", JOIN_COST if c == "*" and where == 1 else DROP_COST)]
+        coded = [(written, extra, [symbol(x) for x in written]) for written, extra in options]
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, text) in states.items():
-            for written, extra in options:
+            for written, extra, zs in coded:
                 x, y, total = a, b, cost + extra
-                for letter in written:
-                    z = symbol(letter)
+                for z in zs:
                     if z or y:
-                        total -= float(model[x, y, z])
+                        total -= model[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
                     after[x, y] = (total, text + written)
-        states = dict(sorted(after.items(), key=lambda i: (i[1][0], i[1][1]))[:24])
-    return min((cost - (float(model[a, b, 0]) if b else 0), text) for (a, b), (cost, text) in states.items())[1]
+        states = after
+    return min((cost - (model[(a * SYMBOLS + b) * SYMBOLS] if b else 0), text) for (a, b), (cost, text) in states.items())[1]
 
 
-def restore(text: str, model: np.ndarray, memo: dict[str, str]) -> str:
+def undouble(token: str, model: list[float], memo: dict[str, str]) -> str:
+    """decode for a token of letters alone with one run of two: the reading depends on the two letters on either side."""
+    m = _DOUBLED.search(token.lower())
+    near = token[max(m.start() - 2, 0) : m.end() + 2].lower()
+    key = f"{'' if m.start() > 1 else '^'}{near}{'' if m.end() + 2 <= len(token) else '$'} {m.start() and min(m.start(), 2)}"
+    if key not in memo:
+        a, b = ([0, 0] + [symbol(c) for c in near[: m.start() if m.start() < 2 else 2]])[-2:]
+        c, tail = symbol(m[1]), [symbol(x) for x in near[min(m.start(), 2) + 2 :]]
+        tail += [0] * (len(tail) < 2)
+
+        def cost(run: list[int]) -> float:
+            x, y, total = a, b, 0.0
+            for z in run + tail:
+                total -= model[(x * SYMBOLS + y) * SYMBOLS + z]
+                x, y = y, z
+            return total
+
+        memo[key] = "1" if cost([c]) + SINGLE_COST < cost([c, c]) else "2"
+    return token.lower() if memo[key] == "2" else token[: m.start()].lower() + token[m.end() - 1 :].lower()
+
+
+def restore(text: str, model: list[float], memo: dict[str, str]) -> str:
     """text with its suspicious tokens read by decode."""
-    if not MAY.search(text):
-        return text
 
     def read(m: re.Match) -> str:
         token = m[0]
         if token not in memo:
-            if len(memo) > 50_000:
+            if len(memo) > 200_000:
                 memo.clear()
-            memo[token] = decode(token, model)
+            runs = _DOUBLED.findall(token.lower()) if token.isalpha() and len(token.lower()) == len(token) else []
+            if len(runs) == 1 and len(_DOUBLED.search(token.lower())[0]) == 2:
+                memo[token] = undouble(token, model, memo)
+            else:
+                memo[token] = decode(token, model)
         return memo[token]
 
-    return SUSPECT.sub(read, text)
+    def join(m: re.Match) -> str:
+        return decode(m[0], model, True) if any(c.isalpha() for c in m[0]) else m[0]
+
+    return TOKEN.sub(read, SPACED.sub(join, text))
 
 
 def features(text: str) -> set[str]:
@@ -150,9 +183,10 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int =
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         memo: dict[str, str] = {}
+        flat = shared.value.ravel().tolist()
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"]):
-                seen[y].update(features(restore(text, shared.value, memo)))
+                seen[y].update(features(restore(text, flat, memo)))
                 seen[y][""] += 1
         keys = list(seen[0].keys() | seen[1].keys())
         for i in range(0, len(keys), 50_000):
@@ -187,8 +221,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = False)
         memo: dict[str, str] = {}
         weight = weights.value
         names = weight.keys()
+        flat = shared.value.ravel().tolist()
         for pdf in batches:
-            texts = [restore(t, shared.value, memo) if t else "" for t in pdf["text"]]
+            texts = [restore(t, flat, memo) if t else "" for t in pdf["text"]]
             scores, counts = [], []
             for text in texts:
                 hits = sorted((weight[f] for f in names & features(text)), reverse=True)

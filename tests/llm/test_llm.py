@@ -222,3 +222,18 @@ def test_audio_noise(spark):
     codes = {i: audio.codes_of(*audio.samples_of(b, "wav")) for i, b in rows}
     assert {(r.id, r.class_id): (r.offset, r.votes, r.aligned, r.bit_error) for r in got} == brute.aligned(codes, [100], audio)
     assert [(r.class_id, r.offset) for r in got] == [(2, 0)] and 0.1 < got[0].bit_error <= audio.MAX_ERROR
+
+
+def test_toxicity_disguises(spark):
+    """Signs after quotes, dashes and slashes or in last place, words cut by any separators, and letters all doubled."""
+    rng = random.Random(4)
+    words = ["the", "quick", "brown", "house", "water", "letter", "some", "other", "people", "think"]
+    make = lambda extra: " ".join([*(rng.choice(words) for _ in range(30)), *extra])
+    rows = [(i, make([("moron", "hate")[i % 10 // 5]] if i % 5 == 0 else []), None, None) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    tokens = ['"m0ron"', "-m0ron", "water/m0ron", "some-m0ron", "(m0r0n)", "hat3", "mo.ron", "mor-on", "m.o.ron", "m..o..r..o..n", "m~o~r~o~n", "mo--ron", "(m o r o n)", "m  o  r  o  n", "mmoorroonn", "moroon"]
+    more = [(1000 + i, f"the {t} water", None, None) for i, t in enumerate(tokens)]
+    fine = [(2000 + i, f"the {t} water", None, None) for i, t in enumerate(['"house"', "brown-letter", "some/other", "(people)", "the 2nd letter", "1-2-3"])]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, rows + more + fine), labels).collect()}
+    assert [t for i, t in enumerate(tokens) if got[1000 + i] < 0.5] == []
+    assert all(got[2000 + i] < 0.5 for i in range(len(fine)))
