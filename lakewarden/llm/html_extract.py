@@ -23,11 +23,12 @@ SHARE = 0.95  #: of the selected text that the content element holds
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-SKIP = RAW | frozenset("head nav footer aside form button select option svg canvas object audio video dialog menu label fieldset input math map".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+SKIP = RAW | frozenset("head nav footer aside form button select option svg canvas object audio video dialog menu label fieldset input annotation annotation-xml map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label math mrow mi mo mn ms mtext mspace mstyle mpadded msup msub msubsup mfrac msqrt mroot munder mover munderover mmultiscripts semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt|dd", ("dl",)), "dd": ("dt|dd", ("dl",)), "tr": ("tr|td|th", ("table",)), "td": ("td|th", ("tr", "table")), "th": ("td|th", ("tr", "table")), "option": ("option", ("select",)), "thead": ("thead|tbody|tfoot", ("table",)), "tbody": ("thead|tbody|tfoot|tr|td|th", ("table",)), "tfoot": ("thead|tbody|tfoot|tr|td|th", ("table",))}
-#: Words of a class, id or role that mark boilerplate.
+MOST = 0.9  #: of a page's text; an element that holds it, or half of it with an article, main or h1, is no boilerplate by its marks
+#: Class names, ids and roles that mark boilerplate, as whole tokens.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay sidebar side aside rail widget widgets menu menubar nav navbar navigation navigationbar breadcrumb breadcrumbs topbar toolbar masthead header footer foot copyright legal comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox pagination pager tags tagcloud skip complementary contentinfo".split())
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[,.;:!?。，、！？…]")
@@ -37,11 +38,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("name", "path", "parent", "bad", "link", "container")
+    __slots__ = ("name", "path", "parent", "skip", "marked", "link", "container")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name, self.parent = name, parent
         words: set[str] = set()
+        tokens: set[str] = set()
         hidden = False
         if attributes:
             for k, v in ATTRIBUTE.findall(attributes):
@@ -50,14 +52,19 @@ class Element:
                     hidden |= v in ("", "true", "hidden")
                 else:
                     words.update(re.split(r"[^a-z0-9]+", v))
+                    tokens.update(v.split())
         mark = ".".join(sorted(words - {""}))
         self.path = (parent.path if parent else "") + "/" + name + ("." + mark if mark else "")
-        own = name in SKIP or hidden or bool(words & BOILERPLATE) and name not in ("html", "body")
-        own |= name == "header" and not (parent and parent.container)
-        self.bad = own or bool(parent and parent.bad)
+        own = name in SKIP or hidden or name == "header" and not (parent and parent.container)
+        self.skip = own or bool(parent and parent.skip)
+        self.marked = bool(tokens & BOILERPLATE) and name not in ("html", "body")
         self.link = name == "a" or bool(parent and parent.link)
         self.container = name in CONTAINERS or bool(parent and parent.container)
 
+    @property
+    def bad(self) -> bool:
+        return self.skip or self.marked or bool(self.parent and self.parent.bad)
+
 
 class Node:
     """A piece of text between two marks of markup; block counts the block boundaries before it."""
@@ -136,9 +143,30 @@ def path_ratios(nodes: list[Node]) -> dict[str, float]:
     return dict(zip(stats, np.sqrt(text_ratio * mark_ratio)))
 
 
+def unmark(nodes: list[Node]) -> None:
+    """Take the marks off elements that hold most of the page's text outside links."""
+    held: dict[int, list] = {}
+    total = 0
+    for n in nodes:
+        k = 0 if n.element.link or n.element.skip else len(n.text.strip())
+        total += k
+        e, head = n.element, False
+        while e and k:
+            head |= e.name == "h1" or e.name in CONTAINERS
+            if e.marked:
+                h = held.setdefault(id(e), [0, False, e])
+                h[0] += k
+                h[1] |= head
+            e = e.parent
+    for k, head, e in held.values():
+        if k > (0.5 if head else MOST) * total:
+            e.marked = False
+
+
 def extract(html: str | None) -> str:
     """The main text of a page."""
     nodes = [n for n in text_nodes(html or "") if n.text]
+    unmark(nodes)
     good = [n for n in nodes if not n.element.bad]
     ratios = path_ratios(good)
     if not ratios:
@@ -171,7 +199,9 @@ def extract(html: str | None) -> str:
             e = e.parent
         return False
 
-    kept = [n for n in good if inside(n.element) and (marked or n.element.path in chosen or n.element.name in ("h1", "h2", "h3", "h4", "h5", "h6") or not n.element.link)]
+    held_in = [n for n in good if inside(n.element)]
+    running = {n.block for n in held_in if not n.element.link and any(c.isalnum() for c in n.text)}  # blocks whose links are part of their text
+    kept = [n for n in held_in if n.block in running or n.element.path in chosen or n.element.name in ("h1", "h2", "h3", "h4", "h5", "h6") or not n.element.link]
     blocks: dict[int, list[str]] = {}
     for n in kept:
         blocks.setdefault(n.block, []).append(n.text)

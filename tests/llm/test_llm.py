@@ -237,3 +237,13 @@ def test_toxicity_disguises(spark):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, rows + more + fine), labels).collect()}
     assert [t for i, t in enumerate(tokens) if got[1000 + i] < 0.5] == []
     assert all(got[2000 + i] < 0.5 for i in range(len(fine)))
+
+
+def test_html_links_and_wrappers():
+    """Links inside paragraphs stay, wrappers that only mention boilerplate or hold the page's text stay, and so do formulas; link lists go."""
+    para = "<p>The committee met on Monday, and it agreed on most of the plan; details follow, as promised.</p>"
+    links = "<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li></ul>"
+    body = f"<h1>Title</h1>{para * 3}<p>For more, see <a href=x>the report</a> of last year, which is long.</p><p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>"
+    want = "Title " + (para[3:-4] + " ") * 3 + "For more, see the report of last year, which is long. Here x=2 holds."
+    for start, end in (("<div class='no-sidebar'>", "</div>"), ("<div class='content-sidebar-wrap'>", "</div>"), ("<div id='has-comments'>", "</div>"), ("<div class='sidebar'>", "</div>"), ("<div>", "</div>"), ("<article>" + links, "</article>")):
+        assert html_extract.extract(f"<body>{links}{start}{body}{end}<div class='sidebar'><p>Side text.</p></div>{links}</body>") == want, start
