@@ -32,16 +32,33 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
+def canonical_host(host: Column) -> Column:
+    """host without user part, port and trailing dots, A-Z lower-cased."""
+    return ascii_lower(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.*(:[0-9]*)?$", ""))
+
+
+def canonical_path(path: Column) -> Column:
+    """path, or / if it is empty."""
+    return F.when(path == "", "/").otherwise(path)
+
+
+def listed_key(url: Column) -> Column:
+    """Canonical host and path of a listed URL, whose scheme may be missing; its query does not count. Null if it has no host."""
+    full = F.when(F.instr(url, "://") > 0, url).otherwise(F.concat(F.lit("://"), url))
+    host = canonical_host(url_host(full))
+    return F.when(host != "", F.concat(host, canonical_path(url_path(full))))
+
+
 def entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
-    """(key, rule, verdict, labels, chars) of rules(rule, verdict) and listed(url); a rule beats a listing of the same key."""
-    own = rules.select(F.col("rule").alias("key"), F.col("rule"), F.col("verdict"))
-    more = listed.select(F.col("url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
+    """(key, own, rule, verdict, labels, chars) of rules(rule, verdict), as they are (own), and listed(url), made canonical."""
+    own = rules.select(F.col("rule").alias("key"), F.lit(True).alias("own"), F.col("rule"), F.col("verdict"))
+    more = listed.select(listed_key(F.col("url")).alias("key"), F.lit(False).alias("own"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
     host = F.substring_index("key", "/", 1)
     return (
         own.unionByName(more)
         .filter(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.max("rule").alias("rule"), F.expr("coalesce(max(verdict) filter (where rule is not null), max(verdict))").alias("verdict"))
+        .groupBy("key", "own")
+        .agg(F.max("rule").alias("rule"), F.max("verdict").alias("verdict"))
         .withColumn("labels", F.size(F.split(host, r"\.")))
         .withColumn("chars", F.length("key") - F.length(host))
     )
@@ -65,7 +82,8 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict, bloom_hit.
 
-    The longest fitting rule decides; without one, a listed URL blocks and any other is allowed. Null or malformed URLs have
+    The longest fitting rule decides; without one, a listed URL blocks and any other is allowed. Rules fit the host and path as
+    shown; listed URLs and pages are compared in canonical form (no user part, port or trailing dot, an empty path as /). Null or malformed URLs have
     empty host and path and are allowed; repeated rows each get their own row; other columns of pages are ignored; an empty
     table gives an empty result, an empty list allows all.
     """
@@ -77,19 +95,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFr
     blocks = -(-n // KEYS_PER_BLOCK)
     words = broadcast_if_small(stash(bloom(table, blocks), "urlbloom"), BROADCAST_BLOCKS)
     urls = own.select("host", "path").distinct()
-    n_labels = F.size(F.split("host", r"\."))
-    suffixes = F.array(*(F.when(n_labels >= k, F.substring_index("host", ".", -k)) for k in sorted(labels)))
-    prefixes = F.array(*(F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sorted(chars)))
+    forms = F.array(
+        F.struct(F.lit(True).alias("own"), F.col("host").alias("h"), F.col("path").alias("p")),
+        F.struct(F.lit(False).alias("own"), canonical_host(F.col("host")).alias("h"), canonical_path(F.col("path")).alias("p")),
+    )
+    n_labels = F.size(F.split("h", r"\."))
+    suffixes = F.array(*(F.when(n_labels >= k, F.substring_index("h", ".", -k)) for k in sorted(labels)))
+    prefixes = F.array(*(F.when(F.length("p") >= k, F.substring("p", 1, k)) for k in sorted(chars)))
     keys = (
-        urls.withColumn("_suffix", F.explode(suffixes)).withColumn("_prefix", F.explode(prefixes))
-        .select("host", "path", F.concat("_suffix", "_prefix").alias("key")).filter(F.col("key").isNotNull())
+        urls.select("host", "path", F.inline(forms)).withColumn("_suffix", F.explode(suffixes)).withColumn("_prefix", F.explode(prefixes))
+        .select("host", "path", "own", F.concat("_suffix", "_prefix").alias("key")).filter(F.col("key").isNotNull())
         .withColumn("block", _block(F.col("key"), blocks))
     )
     hit = F.lit(True)
     for i, mask in enumerate(_masks(F.col("key"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) != 0)
-    possible = keys.join(words, "block").filter(hit).select("host", "path", "key")
-    exact = broadcast_if_small(table.select("key", "rule", "verdict"), BROADCAST_LIST)
+    possible = keys.join(words, "block").filter(hit).select("host", "path", "own", "key")
+    exact = broadcast_if_small(table.select("key", "own", "rule", "verdict"), BROADCAST_LIST)
     order = F.struct(F.col("rule").isNotNull(), F.length("key"), F.col("key"))
-    found = possible.join(exact, "key", "left").groupBy("host", "path").agg(F.max_by(F.col("rule"), F.when(F.col("verdict").isNotNull(), order)).alias("rule"), F.max_by(F.col("verdict"), F.when(F.col("verdict").isNotNull(), order)).alias("verdict"), F.lit(True).alias("bloom_hit"))
+    found = possible.join(exact, ["key", "own"], "left").groupBy("host", "path").agg(F.max_by(F.col("rule"), F.when(F.col("verdict").isNotNull(), order)).alias("rule"), F.max_by(F.col("verdict"), F.when(F.col("verdict").isNotNull(), order)).alias("verdict"), F.lit(True).alias("bloom_hit"))
     return own.join(found, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.coalesce("bloom_hit", F.lit(False)).alias("bloom_hit"))

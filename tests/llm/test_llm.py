@@ -247,3 +247,13 @@ def test_html_links_and_wrappers():
     want = "Title " + (para[3:-4] + " ") * 3 + "For more, see the report of last year, which is long. Here x=2 holds."
     for start, end in (("<div class='no-sidebar'>", "</div>"), ("<div class='content-sidebar-wrap'>", "</div>"), ("<div id='has-comments'>", "</div>"), ("<div class='sidebar'>", "</div>"), ("<div>", "</div>"), ("<article>" + links, "</article>")):
         assert html_extract.extract(f"<body>{links}{start}{body}{end}<div class='sidebar'><p>Side text.</p></div>{links}</body>") == want, start
+
+
+def test_url_canonical(spark):
+    """Listed URLs and pages in any spelling; rules fit the host and path as they stand."""
+    rules = spark.createDataFrame([("net/", "allow"), ("bad.org/", "allow")], "rule string, verdict string")
+    listed = spark.createDataFrame([(u,) for u in ("HTTPS://u:p@Evil.COM.:443/X?q", "free.example.com", "http://odd.net", "http://bad.org", None, "", "/x")], "url string")
+    urls = ["http://evil.com/X/1", "http://www.EVIL.com.:80/X", "http://me@evil.com/X?y", "http://evil.com/x", "http://free.example.com", "http://free.example.com:8080?z", "http://odd.net", "http://odd.net/a", "http://bad.org/a", "http://bad.org", None, "x", "http:///x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules, listed).collect()}
+    assert [i for i in range(len(urls)) if got[i] == "block"] == [0, 1, 2, 4, 5, 6, 9] and len(got) == len(urls)
