@@ -94,19 +94,20 @@ def strategies(cap: int) -> np.ndarray:
 
 
 def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """min |ax - b| with x >= 0, by the active-set method on the normal equations."""
-    gram, rhs, x = a.T @ a, a.T @ b, np.zeros(a.shape[1])
+    """min |ax - b| with x >= 0, by the active-set method; the residual is kept, so nothing larger than a itself is formed."""
+    x, rest = np.zeros(a.shape[1]), b.astype(float)
     active: list[int] = []
+    most = max(1.0, np.abs(a.T @ rest).max())
     for _ in range(3 * len(b)):
-        w = rhs - gram[:, active] @ x[active] if active else rhs.copy()
+        w = a.T @ rest
         w[active] = -np.inf
         j = int(np.argmax(w))
-        if w[j] <= 1e-6 * max(1.0, np.abs(rhs).max()):
+        if w[j] <= 1e-6 * most:
             break
         active.append(j)
         while active:
             own = np.array(active)
-            s = np.linalg.lstsq(gram[np.ix_(own, own)], rhs[own], rcond=None)[0]
+            s = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
             if s.min() > 1e-12:
                 x[:] = 0
                 x[own] = s
@@ -116,6 +117,7 @@ def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x[own] += np.clip(step, 0, 1) * (s - x[own])
             active = [k for k in active if x[k] > 1e-12]
             x[[k for k in own if k not in active]] = 0
+        rest = b - a[:, active] @ x[active]
     return x
 
 
