@@ -5,8 +5,8 @@ most d. For the join, the shingles are dealt to blocks as well, a few to each; a
 documents agree on the others. A block's key is the XOR of its shingles' hashes. Per size band, documents are joined on the first D + 1
 blocks in one global order (common keys last), of which two similar ones must share one; a passage that two other documents share seldom
 fills a block. Size, Hamming distance and then the sets themselves verify.
-Documents with equal sets are one class throughout. Large groups are linked to a leader first, and only members that are in
-different components after that are tried against each other.
+Documents with equal sets are one class throughout, named by a 128-bit hash. Every member of a key's group is tried against the group's
+few leaders first; of the others, only members that are in different components after that are tried against each other.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ LEAST_BLOCKS = 8
 LOAD = 3  #: shingles that a block holds on average at a band's upper end; over 3.9, a set would have too few occupied blocks
 HOT = 64  #: classes with a key from which it comes last in the global order
 HOT_KEYS = 200_000  #: hot keys told to all tasks; further ones keep their place, which changes speed alone
-ROUNDS = 3
+LEADERS = 4  #: members of a key's group at most that all its others are tried against first
+BROADCAST = 250_000  #: classes told to all tasks at most; more are joined by a shuffle
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _BYTE = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -93,9 +94,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return sets
 
 
-def fingerprint(h: np.ndarray) -> int:
-    """Of a set, as a signed number."""
-    return int(np.bitwise_xor.reduce(mixed(h)).view(np.int64) ^ np.int64(len(h))) if len(h) else 0
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    if not len(h):
+        return 0, 0
+    m = mixed(h)
+    return int(np.bitwise_xor.reduce(m).view(np.int64) ^ np.int64(len(h))), int(np.add.reduce(mixed(m ^ _ADD)).view(np.int64))
 
 
 def bands(n: int) -> list[int]:
@@ -145,6 +149,10 @@ def _sets(pdf: pd.DataFrame, step: int = 100) -> Iterator[tuple[pd.DataFrame, li
         yield part, shingle_sets(part["text"].tolist())
 
 
+def _sid() -> Column:
+    return F.struct("s0", "s1").alias("sid")
+
+
 def first_pass(docs: DataFrame) -> DataFrame:
     """doc_id, n, sid: each document's set size and class. Besides, rows key, met: a key that a task met in several documents, and in how many."""
 
@@ -153,13 +161,14 @@ def first_pass(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             for part, sets in _sets(pdf):
                 met += [prefix(h, band, np.empty(0, np.uint64)) for h in sets if len(h) for band in bands(len(h))]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(h) for h in sets], "sid": [fingerprint(h) for h in sets], "key": 0, "met": 0})
+                s0, s1 = zip(*map(fingerprint, sets))
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(h) for h in sets], "s0": s0, "s1": s1, "key": 0, "met": 0})
         if met:
             keys, n = np.unique(np.concatenate(met), return_counts=True)
-            yield pd.DataFrame({"doc_id": None, "n": 0, "sid": 0, "key": keys[n > 1].view(np.int64), "met": n[n > 1]})
+            yield pd.DataFrame({"doc_id": None, "n": 0, "s0": 0, "s1": 0, "key": keys[n > 1].view(np.int64), "met": n[n > 1]})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, sid long, key long, met long")
-    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, s0 long, s1 long, key long, met long")
+    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n", _sid(), "key", "met")
 
 
 def common_keys(first: DataFrame) -> np.ndarray:
@@ -181,24 +190,23 @@ def join_keys(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray | None = None
                     out = [(band, sid, n, k) for band, sid, n, keys in out if len(k := keys[may_hold(wanted, keys)])]
                 if out:
                     many = [len(k) for *_, k in out]
-                    band, sid, n = (np.repeat([x[i] for x in out], many) for i in range(3))
-                    yield pd.DataFrame({"band": band.astype(np.int32), "key": np.concatenate([k for *_, k in out]).view(np.int64), "sid": sid, "n": n})
+                    band, s0, s1, n = (np.repeat(x, many) for x in zip(*((band, *sid, n) for band, sid, n, _ in out)))
+                    yield pd.DataFrame({"band": band.astype(np.int32), "key": np.concatenate([k for *_, k in out]).view(np.int64), "s0": s0, "s1": s1, "n": n})
 
-    return _texts(docs).mapInPandas(run, "band int, key long, sid long, n long")
+    return _texts(docs).mapInPandas(run, "band int, key long, s0 long, s1 long, n long").select("band", "key", _sid(), "n")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, n, h (the set), sketches (by band) of the classes in wanted(sid)."""
-    few = wanted.limit(500_001).count() <= 500_000
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, sets in _sets(pdf):
                 own = [h for h in sets if len(h)]
-                yield pd.DataFrame({"sid": [fingerprint(h) for h in own], "n": [len(h) for h in own], "h": [h.view(np.int64) for h in own], "sketches": [{b: sketch(h, b) for b in bands(len(h))} for h in own]})
+                s0, s1 = zip(*map(fingerprint, own)) if own else ((), ())
+                yield pd.DataFrame({"s0": s0, "s1": s1, "n": [len(h) for h in own], "h": [h.view(np.int64) for h in own], "sketches": [{b: sketch(h, b) for b in bands(len(h))} for h in own]})
 
-    sets = _texts(docs).mapInPandas(run, "sid long, n long, h array<bigint>, sketches map<int,array<bigint>>")
-    return sets.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "h", "sketches")))
+    sets = _texts(docs).mapInPandas(run, "s0 long, s1 long, n long, h array<bigint>, sketches map<int,array<bigint>>")
+    return sets.select(_sid(), "n", "h", "sketches").join(broadcast_if_small(wanted, BROADCAST), "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "h", "sketches")))
 
 
 def _near(n1: Column, n2: Column) -> Column:
@@ -217,7 +225,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     first = pairs.join(one, "a").join(two, "b").withColumn("s_a", F.col("k_a")[F.col("band")]).withColumn("s_b", F.col("k_b")[F.col("band")])
     close = stash(first.filter(_near(F.col("n_a"), F.col("n_b")) & _hamming_fits("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct(), "close")
     # few sets of all are in close pairs, and those alone are shuffled
-    wanted = broadcast_if_small(close.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), 500_000)
+    wanted = broadcast_if_small(close.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), BROADCAST)
     own = sets.select("sid", "n", "h").join(wanted, "sid", "left_semi")
     one, two = (own.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("h").alias(f"h_{s}")) for s in "ab")
     both = F.size(F.array_intersect("h_a", "h_b"))
@@ -225,10 +233,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> node, comp: the smallest node that each can reach, by large-star and small-star steps."""
+    """edges(a, b) -> node, comp: the smallest node that each can reach, by large-star and small-star steps until all are stars."""
     now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    mark = None
     while True:
+        # in stars, no node has two centres, and no centre has one
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e"))
+        open_ = ends.groupBy("e.x").agg(F.sum("e.out").alias("out"), F.max("e.in").alias("in")).filter("out + in > 1 and out > 0")
+        if open_.isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(now.join(least, "u").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
@@ -236,37 +248,43 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(small_least, "u")
         old, now = now, stash(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
         drop(old)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        mark = seen
 
 
-def links(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """a, b: enough similar pairs of classes to tell all components. hot: common keys, which come last."""
-    pairs = join_keys(docs, hot).select("key", F.col("sid").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("s"))
+def _pairs(found: DataFrame) -> DataFrame:
+    """The distinct pairs of (x, y, band), the smaller class first."""
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "band").distinct()
+
+
+def component_of_classes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """node, comp: for each class that is similar to another, the smallest class that it can reach. hot: common keys, which come last.
+
+    A key's leaders are tried against all its members, which settles small groups and those of near copies. What is left of a key, where it is of
+    several components, is joined with itself, less pairs of one component, of unfit sizes or of distant sketches.
+    """
+    pairs = join_keys(docs, hot).select("key", F.col("sid.s0").alias("s"))
     shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
     rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
     sets = stash(candidate_sets(docs, rows.select("sid").distinct()), "sets")
-    leader = rows.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("first")).select("key", F.col("first.sid").alias("a"), F.col("first.n").alias("n_a"))
-    star = rows.join(leader, "key").filter((F.col("sid") != F.col("a")) & _near(F.col("n"), F.col("n_a"))).select("a", F.col("sid").alias("b"), "band").distinct()
-    edges = stash(verified(star, sets), "links")
-    for r in range(ROUNDS):
-        comp = components(edges)
-        placed = rows.join(comp, rows["sid"] == comp["node"], "left").select("key", "band", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
-        placed = stash(placed.join(open_, "key"), "placed")
-        if r == ROUNDS - 1:
-            break
-        reps = placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(r))).alias("rep"))
-        main = reps.groupBy("key").agg(F.max_by(F.struct("comp", "rep"), F.struct("size", "comp")).alias("m")).select("key", F.col("m.comp").alias("c_a"), F.col("m.rep.sid").alias("a"), F.col("m.rep.n").alias("n_a"))
-        star = placed.join(main, "key").filter((F.col("comp") != F.col("c_a")) & _near(F.col("n"), F.col("n_a"))).select("a", F.col("sid").alias("b"), "band").distinct()
-        edges = stash(edges.unionByName(verified(star, sets)).distinct(), "links")
-    own = stash(placed.join(sets.select("sid", "sketches"), "sid").select("key", "band", "sid", "n", "comp", F.col("sketches")[F.col("band")].alias("s")), "rest")
-    one, two = own.select("key", *(F.col(c).alias(f"{c}_a") for c in ("band", "sid", "n", "comp", "s"))), own.select("key", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "comp", "s")))
-    fits = (F.col("comp_a") < F.col("comp_b")) & _near(F.col("n_a"), F.col("n_b")) & _hamming_fits("s_a", "s_b", "n_a", "n_b")
-    cross = one.join(two.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & fits).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), F.col("band_a").alias("band")).distinct()
-    return edges.unionByName(verified(cross, sets)).distinct()
+    drop(shared)
+    leaders = F.array_distinct(F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(LEADERS)))).alias("leaders")
+    led = stash(rows.join(rows.groupBy("key").agg(leaders), "key"), "led")
+    star = led.select("sid", "n", "band", F.explode("leaders").alias("l")).filter((F.col("sid") != F.col("l.sid")) & _near(F.col("n"), F.col("l.n")))
+    comp = stash(components(verified(_pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band")), sets)), "comp")
+    followers = led.filter(~F.exists("leaders", lambda x: x["sid"] == F.col("sid"))).select("key", "band", "sid", "n")
+    placed = followers.join(comp, followers["sid"] == comp["node"], "left").select("key", "band", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
+    own = placed.join(open_, "key").join(sets.select("sid", "sketches"), "sid").select("key", "band", "sid", "n", "comp", F.col("sketches")[F.col("band")].alias("s"))
+    rest = stash(own, "rest")
+    drop(rows, led)
+    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "s"))) for t in "xy")
+    fits = (F.col("comp_x") < F.col("comp_y")) & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y")
+    cross = one.join(two.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"), F.col("band_x").alias("band"))
+    late = verified(_pairs(cross), sets)
+    for c in "ab":  # between components, so the second graph is small
+        late = late.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(c, F.coalesce(f"c_{c}", c)).drop(f"c_{c}")
+    more = components(late).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    moved = comp.join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return moved.unionByName(more.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(comp, "node", "left_anti"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -277,7 +295,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     first = stash(first_pass(docs), "setids")
     ids = first.filter("met = 0").select("doc_id", "n", "sid")
-    comp = components(links(docs, common_keys(first)))
+    comp = component_of_classes(docs, common_keys(first))
     least = ids.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("comp", "sid").alias("comp"))
     least = stash(least, "classes")
     top = least.groupBy("comp").agg(F.min("least").alias("component_id"))
