@@ -11,7 +11,7 @@ Ranks are 128-bit hashes (two of 64 bits) of the bytes, doubled in the same way
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,10 @@ HALF = (LENGTH - ANCHOR) // 2  #: a string holds as many bytes before its anchor
 _SPAN = LENGTH - ANCHOR + 1  #: anchors that a string chooses from
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ADD = np.uint64(0xD1B54A32D192ED03)
+_LOW = np.uint64(0xFFFFFFFF)
 _BYTES = np.random.default_rng(3).integers(1, 2**64, 256, np.uint64)
 _FACTORS = {2**k: f | np.uint64(1) for k, f in enumerate(np.random.default_rng(4).integers(1, 2**64, 8, np.uint64))}
+CHUNK = 1 << 15  #: bytes of texts ranked at once; few enough for a processor's cache
 NONE = 2**63 - 1  #: the order of a null doc_id: after all others
 
 
@@ -41,58 +43,98 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _ADD + (b ^ (b >> np.uint64(32))))
 
 
-def doubled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of all ANCHOR-byte and all 2 * ANCHOR-byte strings of data. Up to ANCHOR bytes pairs are summed, with an odd factor for each size, and mixed once."""
-    rank, size = _BYTES[np.frombuffer(data, np.uint8)], 1
+def ranks(data: np.ndarray) -> np.ndarray:
+    """Ranks of all ANCHOR-byte strings of data. Pairs are summed, with an odd factor for each size, and mixed once."""
+    rank, size = _BYTES[data], 1
     while size < ANCHOR:
         rank, size = rank[:-size] * _FACTORS[size] + rank[size:], 2 * size
-    rank = mixed(rank)
-    return rank, paired(rank[:-size], rank[size:])
+    return mixed(rank)
 
 
-def sliding(x: np.ndarray, span: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over each `span` neighbours, by doubling."""
+def ranks_at(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of the 2 * ANCHOR-byte strings that begin at some places."""
+    return paired(rank[at], rank[at + ANCHOR])
+
+
+def smallest(rank: np.ndarray, span: int) -> np.ndarray:
+    """For each start of `span` neighbours, the place of the one whose rank's first half is smallest, the first of equals."""
+    x = (rank & ~_LOW) | np.arange(len(rank), dtype=np.uint64)
     size = 1
     while size < span:
         step = min(size, span - size)
-        x, size = pick(x[:-step], x[step:]), size + step
-    return x
+        x, size = np.minimum(x[:-step], x[step:]), size + step
+    return (x & _LOW).astype(np.int64)
 
 
-def smallest(rank: np.ndarray, span: int) -> np.ndarray:
-    """For each start of `span` neighbours, the place of the smallest, the first of equals."""
-    least = sliding(rank, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    chosen = sliding(np.concatenate((pad, least, pad)), span, np.maximum) == rank  # the smallest of some neighbours
-    places = np.flatnonzero(chosen)
-    at = np.cumsum(chosen)[: len(least)] - chosen[: len(least)]
-    while (off := np.flatnonzero(rank[places[at]] != least)).size:
-        at[off] += 1
-    return places[at]
-
-
-def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """For each anchor of data: the first string that it stands for, how many more, the anchor's place and rank, the rank of all the
-    bytes in the strings, and of the anchor with HALF bytes before and after it."""
-    short, long = doubled(data)
+def anchors(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each anchor of documents of LENGTH bytes or more, whose bytes follow each other in data: its document's number, the first
+    string that it stands for, how many more, the anchor's place and rank, the rank of all the bytes in the strings, and of the
+    anchor with HALF bytes before it and after it. Strings that cross documents are left out."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    short = ranks(data)
     place = smallest(short, _SPAN)
-    cuts = np.flatnonzero(np.diff(place)) + 1
-    lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(place)])) - 1
+    # the first string of a document, and those whose anchor is another than their neighbour's
+    first = np.zeros(len(place) + 1, bool)
+    first[1:-1] = place[1:] != place[:-1]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[begins] += 1
+    inside[ends - LENGTH + 1] -= 1
+    inside = np.cumsum(inside[: len(place)], dtype=np.int8) > 0
+    first[begins] = True
+    lo = np.flatnonzero(first[:-1] & inside)
+    doc = np.searchsorted(ends, lo, "right")
+    hi = np.minimum(np.concatenate((lo[1:], [len(data)])) - 1, ends[doc] - LENGTH)
     end = hi + LENGTH - 2 * ANCHOR  # where the last 64 bytes begin
-    whole = paired(paired(long[lo], long[np.minimum(lo + 52, end)]), paired(long[end], ((hi - lo) * 256 + place[lo] - lo).astype(np.uint64)))
     at = place[lo]
-    before, after = np.maximum(at - HALF, 0), np.minimum(at, len(data) - ANCHOR - HALF)
-    left, right = (paired(long[x], short[x + HALF]) for x in (before, after))
-    return lo, hi - lo, at, short[at], whole, left, right
+    whole = paired(paired(ranks_at(short, lo), ranks_at(short, np.minimum(lo + 52, end))), paired(ranks_at(short, end), ((hi - lo) * 256 + at - lo).astype(np.uint64)))
+    before, after = np.maximum(at - HALF, begins[doc]), np.minimum(at, ends[doc] - ANCHOR - HALF)
+    left, right = (paired(ranks_at(short, x), short[x + HALF]) for x in (before, after))
+    return doc, lo - begins[doc], hi - lo, at - begins[doc], short[at], whole, left, right
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def together(texts: Iterable[str | None], least: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """The numbers of texts of at least so many bytes, with their sizes and bytes one after the other, CHUNK or one text at a time."""
+    rows: list[int] = []
+    found: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        data = _bytes(text)
+        if len(data) < least:
+            continue
+        if rows and size + len(data) > CHUNK:
+            yield rows, np.array([len(x) for x in found]), np.frombuffer(b"".join(found), np.uint8)
+            rows, found, size = [], [], 0
+        rows.append(i)
+        found.append(data)
+        size += len(data)
+    if rows:
+        yield rows, np.array([len(x) for x in found]), np.frombuffer(b"".join(found), np.uint8)
+
+
+def gathered(parts: Iterable[tuple[np.ndarray, ...]], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Parts of a table, put together to about so many rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= rows:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """d and th: a document's order, and what tells documents of one doc_id apart."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    order = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id").bitwiseAND(F.lit(NONE - 1))
+    return docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), order).otherwise(F.lit(NONE)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
 def anchor_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -101,23 +143,18 @@ def anchor_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[pd.DataFrame] = []
-            size = 0
-            for d, th, text in zip(pdf["d"], pdf["th"], pdf["text"]):
-                data = _bytes(text)
-                if len(data) >= LENGTH:
-                    own = anchors(data)
+            d, th = pdf["d"].to_numpy(), pdf["th"].to_numpy()
+
+            def found() -> Iterator[tuple[np.ndarray, ...]]:
+                for rows, sizes, data in together(pdf["text"], LENGTH):
+                    doc, *own = anchors(sizes, data)
                     if shared.value is not None:
                         keep = may_hold(shared.value, own[3])
-                        own = tuple(x[keep] for x in own)
-                    names = ("lo", "more", "at", "a", "w", "left", "right")
-                    out.append(pd.DataFrame({"d": d, "th": th} | {k: x.view(np.int64) for k, x in zip(names, own)}))
-                    size += len(own[0])
-                    if size > 200_000:
-                        yield pd.concat(out)
-                        out, size = [], 0
-            if out:
-                yield pd.concat(out)
+                        doc, own = doc[keep], [x[keep] for x in own]
+                    yield np.array(rows)[doc], *own
+
+            for doc, *own in gathered(found()):
+                yield pd.DataFrame({"d": d[doc], "th": th[doc]} | {k: x.view(np.int64) for k, x in zip(("lo", "more", "at", "a", "w", "left", "right"), own)})
 
     return _keyed(docs).select("d", "th", "text").mapInPandas(run, "d long, th long, lo int, more int, at int, a long, w long, left long, right long")
 
@@ -142,54 +179,70 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = anchor_rows(docs, membership(repeated, "a")).join(repeated, "a")
     live = stash(found.select("d", "th", "lo", "more", "a", "w", "varied", *(F.when(F.col("varied"), F.col(c)).alias(c) for c in ("at", "left", "right"))), "anchors")
     where = F.struct("d", "th", "lo")
-    first = live.groupBy("a", "w").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("varied").alias("varied"))
-    later = live.select("d", "th", "lo", "more", "a", "w").join(first.filter("n > 1").select("a", "w", "first"), ["a", "w"]).filter(where != F.col("first"))
+    # tables of what repeats are written before they are joined, so that the join may split a hot key's rows
+    kinds = live.groupBy("a", "w").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("varied").alias("varied")).filter("n > 1 or varied")
+    kinds = stash(kinds, "kinds")
+    later = live.select("d", "th", "lo", "more", "a", "w").join(kinds.filter("n > 1").select("a", "w", "first"), ["a", "w"]).filter(where != F.col("first"))
     settled = stash(merged(later.select("d", "th", "lo", (F.col("lo") + F.col("more") + LENGTH).alias("hi"))), "settled")
     # what is left: strings of the first of each kind, where an anchor has several kinds
-    left = stash(live.filter("varied").join(first.filter("varied").select("a", "w", "first"), ["a", "w"]).filter(where == F.col("first")).select("d", "th", "lo", "more", "at", "a", "left", "right"), "open")
-    drop(repeated, live)
-    before, after = (left.groupBy("a", side).agg(F.count("*").alias("n")).filter("n > 1").select("a", side, F.lit(True).alias(f"on_{side}")) for side in ("left", "right"))
+    first = live.filter("varied").join(kinds.filter("varied").select("a", "w", "first"), ["a", "w"]).filter(where == F.col("first"))
+    left = stash(first.select("d", "th", "lo", "more", "at", "a", "left", "right"), "open")
+    drop(repeated, live, kinds)
+    before, after = (stash(left.groupBy("a", side).agg(F.count("*").alias("n")).filter("n > 1").select("a", side, F.lit(True).alias(f"on_{side}")), f"on-{side}") for side in ("left", "right"))
     shared = left.join(before, ["a", "left"], "left").join(after, ["a", "right"], "left").filter("on_left or on_right")
-    asked = shared.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "more", "at", "a", F.coalesce("on_left", F.lit(False)).alias("on_left"), F.coalesce("on_right", F.lit(False)).alias("on_right"))).alias("asked"))
+    flags = (F.coalesce(f"on_{side}", F.lit(False)).cast("int").alias(f"on_{side}") for side in ("left", "right"))
+    asked = shared.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "more", "at", "a", *flags)).alias("asked"))
+    names = ("lo", "more", "at", "a", "on_left", "on_right")
+    asked = stash(asked.select("d", "th", *(F.col("asked")[c].alias(c) for c in names)), "asked")
     texts = _keyed(docs).select("d", "th", "text")
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d, th, text, asked in zip(pdf["d"], pdf["th"], pdf["text"], pdf["asked"]):
-                long = doubled(_bytes(text))[1]
-                first, more, place, anchor, on_left, on_right = np.array([(r["lo"], r["more"], r["at"], r["a"], r["on_left"], r["on_right"]) for r in asked], np.int64).T
-                begin = np.where(on_left > 0, first, np.maximum(first, place - HALF + 1))
-                end = np.where(on_right > 0, first + more, np.minimum(first + more, place - HALF))
-                count = np.maximum(end - begin + 1, 0)
-                at = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                yield pd.DataFrame({"d": d, "th": th, "lo": at.astype(np.int32), "a": np.repeat(anchor, count), "w": paired(long[at], long[at + LENGTH - 2 * ANCHOR]).view(np.int64)})
+            d, th, own = pdf["d"].to_numpy(), pdf["th"].to_numpy(), [pdf[c].to_numpy() for c in names]
+
+            def found() -> Iterator[tuple[np.ndarray, ...]]:
+                for rows, sizes, data in together(pdf["text"], LENGTH):
+                    rank = ranks(data)
+                    doc = np.repeat(np.arange(len(rows)), [len(own[0][i]) for i in rows])
+                    start = (np.cumsum(sizes) - sizes)[doc]
+                    first, more, place, anchor, on_left, on_right = (np.concatenate([x[i] for i in rows]).astype(np.int64) for x in own)
+                    begin = np.where(on_left > 0, first, np.maximum(first, place - HALF + 1))
+                    end = np.where(on_right > 0, first + more, np.minimum(first + more, place - HALF))
+                    count = np.maximum(end - begin + 1, 0)
+                    at = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                    lo = at + np.repeat(start, count)
+                    yield np.array(rows)[np.repeat(doc, count)], at, np.repeat(anchor, count), paired(ranks_at(rank, lo), ranks_at(rank, lo + LENGTH - 2 * ANCHOR))
+
+            for doc, at, anchor, w in gathered(found()):
+                yield pd.DataFrame({"d": d[doc], "th": th[doc], "lo": at.astype(np.int32), "a": anchor, "w": w.view(np.int64)})
 
     windows = stash(texts.join(asked, ["d", "th"]).mapInPandas(strings, "d long, th long, lo int, a long, w long"), "strings")
-    ranks = windows.groupBy("a", "w").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("a", "w", "first")
-    found = windows.join(ranks, ["a", "w"]).filter(where != F.col("first")).select("d", "th", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return settled.unionByName(merged(found))
+    again = stash(windows.groupBy("a", "w").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("a", "w", "first"), "again")
+    found = windows.join(again, ["a", "w"]).filter(where != F.col("first")).select("d", "th", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    late = stash(merged(found), "late")
+    drop(left, before, after, asked, windows, again)
+    return settled.unionByName(late)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, removed (maximal byte ranges [lo, hi)), kept (the remaining bytes).
 
     A byte goes if a LENGTH-byte string covers it that starts earlier too, in a document of smaller doc_id or further
-    up in the same one. Null texts are empty; texts under LENGTH bytes stay; null doc_ids come after all others; rows alike in
+    up in the same one. Null texts are empty; texts under LENGTH bytes stay; null doc_ids come after all others, ids that are no whole numbers are ordered by a hash; rows alike in
     doc_id and text are one document and share its result, others of one doc_id are ordered by a hash; other columns are ignored;
     an empty table gives an empty result.
     """
     spans = stash(repeated_spans(docs), "spans")
-    own = spans.groupBy("d", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    own = spans.groupBy("d", "th").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
+            for doc_id, text, lo, hi in zip(pdf["doc_id"], pdf["text"], pdf["lo"], pdf["hi"]):
                 data = _bytes(text)
-                if spans is None or len(spans) == 0:
+                if lo is None or len(lo) == 0:
                     rows.append((doc_id, len(data), [], data))
                     continue
-                lo, hi = np.array(sorted((s["lo"], s["hi"]) for s in spans)).T
                 top = np.maximum.accumulate(hi)
                 begin = np.concatenate(([True], lo[1:] > top[:-1]))
                 end = np.concatenate((begin[1:], [True]))
@@ -199,7 +252,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType
-    joined = _keyed(docs).join(own, ["d", "th"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans")
+    joined = _keyed(docs).join(own, ["d", "th"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     return joined.mapInPandas(run, "doc_id string, n_bytes long, removed array<struct<lo:long,hi:long>>, kept binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
