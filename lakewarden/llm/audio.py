@@ -11,14 +11,13 @@ import functools
 import hashlib
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import stash, with_id
+from lakewarden.llm.common import map_column, stash
 
 FRAME, HOP = 2048, 512  #: samples
 RATE = 8000  #: of raw samples; WAV files name their own
@@ -133,13 +132,14 @@ def fingerprint(recordings: DataFrame, key: str, audio: str, encoding: str = "wa
     Null, empty and unreadable audio has no codes; a null key stays null; repeated rows stay; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            codes = [codes_of(*samples_of(b, encoding)) for b in pdf["_audio"]]
-            prints = [hashlib.blake2b(c.tobytes(), digest_size=16).hexdigest() for c in codes]
-            yield pd.DataFrame({key: pdf[key], "print": prints, "codes": codes})
+    def start() -> Callable[[list], dict]:
+        def step(audios: list[bytes | None]) -> dict:
+            codes = [codes_of(*samples_of(b, encoding)) for b in audios]
+            return {"print": [hashlib.blake2b(c.tobytes(), digest_size=16).hexdigest() for c in codes], "codes": codes}
 
-    return with_id(recordings.select(key, F.col(audio).alias("_audio")), key, "_audio", run=run, out="print string, codes array<bigint>")
+        return step
+
+    return map_column(recordings, [key], audio, start, "print string, codes array<bigint>")
 
 
 def search(recordings: DataFrame, key: str, is_query, audio: str, encoding: str = "wav", min_votes: int = MIN_VOTES, min_aligned: int = MIN_ALIGNED, max_error: float = MAX_ERROR) -> DataFrame:

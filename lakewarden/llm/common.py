@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,10 +25,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def text_hash(text: Column) -> Column:
+    """What tells apart the texts of rows of one doc_id; null and empty are alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark is one local process, as in tests, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lakewarden-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -73,11 +85,20 @@ def running_total(df: DataFrame, group: str, bucket: str, amount: str, out: str)
     return sums.select(group, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).cast("long").alias(out))
 
 
-def with_id(df: DataFrame, key: str, *columns: str, run, out: str) -> DataFrame:
-    """df(key, columns) through run, a function of pandas batches that passes key on; key travels as a string, for pandas has no long that may be null."""
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).cast("string").alias(key), *columns).mapInPandas(run, f"{key} string, {out}")
-    return rows.withColumn(key, F.col(key).cast(kind))
+def map_column(df: DataFrame, keep: Sequence[str], column: str, start: Callable[[], Callable[[list], dict]], out: str) -> DataFrame:
+    """The columns `keep` of df as they are, and those named in out: start() gives, once a task, the function from a batch's values of `column` to them."""
+    made = StructType.fromDDL(out)
+    schema = StructType([df.schema[c] for c in keep] + made.fields)
+    kinds = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            found = step(batch.column(len(keep)).to_pylist())
+            new = [pa.array(found[f.name], f.type) for f in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, *kinds.names])
+
+    return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, schema)
 
 
 FILTER_BITS = 1 << 26  #: of a membership filter: 8 MB at any input size; a fuller one lets more pass, which an exact join removes

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from lakewarden.llm.common import with_id
+from lakewarden.llm.common import map_column
 
 THRESHOLD = 0.5  #: of the mean fused ratio
 SHARE = 0.95  #: of the selected text that the content element holds
@@ -213,8 +212,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text. Null, empty and markup-free-of-text pages give an empty text; plain text
     without markup is its own content; repeated rows are handled alike; other columns are ignored."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [extract(h) for h in pdf["html"]]})
+    def start() -> Callable[[list], dict]:
+        return lambda htmls: {"text": [extract(h) for h in htmls]}
 
-    return with_id(pages, "page_id", "url", "html", run=run, out="url string, text string")
+    return map_column(pages, ["page_id", "url"], "html", start, "text string")

@@ -6,14 +6,14 @@ the sum of its trigrams' vectors, a language the sum of its texts. A text's lang
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import with_id
+from lakewarden.llm.common import map_column
 
 DIM = 1024
 LETTERS = 4096  #: rows of the table of letter vectors; a letter's row is its code point modulo this
@@ -101,14 +101,16 @@ def predict_language(docs: DataFrame, learned: DataFrame) -> DataFrame:
     norms = np.linalg.norm(bundle, axis=1, keepdims=True)
     shared = docs.sparkSession.sparkContext.broadcast((langs, bundle / np.where(norms == 0, 1, norms)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], dict]:
         names, proto = shared.value
         table = letter_vectors()
         row: dict[int, int] = {}  # of each trigram met, its row in vectors
         vectors = np.zeros((1024, DIM), np.float32)
-        for pdf in batches:
+
+        def step(texts: list[str | None]) -> dict:
+            nonlocal vectors
             out_lang, out_score = [], []
-            for text in pdf["text"]:
+            for text in texts:
                 grams, n = grams_of(text) if text else ((), ())
                 if not len(grams) or not names:
                     out_lang.append("und")
@@ -130,6 +132,8 @@ def predict_language(docs: DataFrame, learned: DataFrame) -> DataFrame:
                 best = int(np.argmax(cosine))
                 out_lang.append(names[best])
                 out_score.append(float(np.clip(cosine[best], 0, 1)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": out_lang, "score": out_score})
+            return {"lang_pred": out_lang, "score": out_score}
+
+        return step
 
-    return with_id(docs, "doc_id", "text", run=run, out="lang_pred string, score double")
+    return map_column(docs, ["doc_id"], "text", start, "lang_pred string, score double")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WORD, buckets_for, running_total, stash
+from lakewarden.llm.common import WORD, buckets_for, running_total, stash, text_hash
 
 BLOCK = 64  #: words in a block
 SHARD_SLOTS = 4096  #: slots of an output shard, on average
@@ -55,16 +55,16 @@ def permuted(index: str, size: str, *key: str) -> Column:
 
 
 def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text, source) -> rows (doc_id, source, size, start in the source's stream), and targets by source."""
-    sized = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mixsizes")
+    """docs(doc_id, text, source) -> rows (doc_id, source, text_hash, size, start in the source's stream), and targets by source."""
+    sized = stash(docs.select("doc_id", "source", text_hash(F.col("text")).alias("text_hash"), n_words(F.col("text")).alias("size")), "mixsizes")
     per = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixtargets")
     b = buckets_for(sized.count())
     rows = sized.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), F.lit(b)).cast("int"))
     base = running_total(rows, "_src", "_bucket", "size", "_base")
-    w = Window.partitionBy("_src", "_bucket").orderBy("doc_id", "size")
+    w = Window.partitionBy("_src", "_bucket").orderBy("doc_id", "size", "text_hash")
     inside = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     starts = rows.withColumn("_in", inside).join(base, ["_src", "_bucket"]).withColumn("start", F.col("_base") + F.col("_in"))
-    return starts.select("doc_id", "source", "_src", "size", "start"), per.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    return starts.select("doc_id", "source", "_src", "text_hash", "size", "start"), per.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
 
 
 def slots(per: DataFrame, seed: int = 11) -> DataFrame:
@@ -87,7 +87,7 @@ def slots(per: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source) -> the mix, one row for each piece of a document in a slot: doc_id, source, size, start
+    """docs(doc_id, text, source) -> the mix, one row for each piece of a document in a slot: doc_id, source, text_hash, size, start
     (of the document in its source's stream), source_size, target, shard, epoch, block, at (word of the document where the
     piece begins) and words. Documents of which the mix takes nothing have one row with words 0.
 
@@ -100,7 +100,7 @@ def mix(docs: DataFrame) -> DataFrame:
     lo = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * BLOCK, F.coalesce("want", F.lit(0)))
     rest = per.select("_src", "source_size", "target")
-    return joined.select("doc_id", "source", "_src", "size", "start", "shard", "epoch", "block", (F.col("block") * BLOCK + lo - F.col("start")).alias("at"), F.greatest(hi - lo, F.lit(0)).alias("words")).join(rest, "_src")
+    return joined.select("doc_id", "source", "_src", "text_hash", "size", "start", "shard", "epoch", "block", (F.col("block") * BLOCK + lo - F.col("start")).alias("at"), F.greatest(hi - lo, F.lit(0)).alias("words")).join(rest, "_src")
 
 
 def taken(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import broadcast_if_small, drop, may_hold, membership, stash
+from lakewarden.llm.common import broadcast_if_small, drop, may_hold, membership, stash, text_hash
 
 SHINGLE = 5
 PERCENT = 80  #: least Jaccard similarity, in hundredths
@@ -154,7 +154,7 @@ def _sid() -> Column:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid: each document's set size and class. Besides, rows key, met: a key that a task met in several documents, and in how many."""
+    """doc_id, th, n, sid: each document, a hash of its text, its set's size and class. Besides, rows key, met: a key that a task met in several documents, and in how many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: list[np.ndarray] = []
@@ -162,13 +162,13 @@ def first_pass(docs: DataFrame) -> DataFrame:
             for part, sets in _sets(pdf):
                 met += [prefix(h, band, np.empty(0, np.uint64)) for h in sets if len(h) for band in bands(len(h))]
                 s0, s1 = zip(*map(fingerprint, sets))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(h) for h in sets], "s0": s0, "s1": s1, "key": 0, "met": 0})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "th": part["th"], "n": [len(h) for h in sets], "s0": s0, "s1": s1, "key": 0, "met": 0})
         if met:
             keys, n = np.unique(np.concatenate(met), return_counts=True)
-            yield pd.DataFrame({"doc_id": None, "n": 0, "s0": 0, "s1": 0, "key": keys[n > 1].view(np.int64), "met": n[n > 1]})
+            yield pd.DataFrame({"doc_id": None, "th": 0, "n": 0, "s0": 0, "s1": 0, "key": keys[n > 1].view(np.int64), "met": n[n > 1]})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n long, s0 long, s1 long, key long, met long")
-    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n", _sid(), "key", "met")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_hash(F.col("text")).alias("th"), "text").mapInPandas(run, "doc_id string, th long, n long, s0 long, s1 long, key long, met long")
+    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "th", "n", _sid(), "key", "met")
 
 
 def common_keys(first: DataFrame) -> np.ndarray:
@@ -202,7 +202,9 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for pdf in batches:
             for _, sets in _sets(pdf):
                 own = [h for h in sets if len(h)]
-                s0, s1 = zip(*map(fingerprint, own)) if own else ((), ())
+                if not own:
+                    continue
+                s0, s1 = zip(*map(fingerprint, own))
                 yield pd.DataFrame({"s0": s0, "s1": s1, "n": [len(h) for h in own], "h": [h.view(np.int64) for h in own], "sketches": [{b: sketch(h, b) for b in bands(len(h))} for h in own]})
 
     sets = _texts(docs).mapInPandas(run, "s0 long, s1 long, n long, h array<bigint>, sketches map<int,array<bigint>>")
@@ -265,7 +267,6 @@ def component_of_classes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
     rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
     sets = stash(candidate_sets(docs, rows.select("sid").distinct()), "sets")
-    drop(shared)
     leaders = F.array_distinct(F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(LEADERS)))).alias("leaders")
     led = stash(rows.join(rows.groupBy("key").agg(leaders), "key"), "led")
     star = led.select("sid", "n", "band", F.explode("leaders").alias("l")).filter((F.col("sid") != F.col("l.sid")) & _near(F.col("n"), F.col("l.n")))
@@ -288,17 +289,17 @@ def component_of_classes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, class (of equal sets; null for an empty one), component_id.
+    """docs(doc_id, text) -> doc_id, text_hash, n_shingles, class (of equal sets; null for an empty one), component (the class that names it; null likewise), component_id.
 
     Texts without words have an empty set and are linked with nothing; a component's id is its smallest doc_id, null if
     all are null; rows alike in doc_id give a row each; other columns are ignored; an empty table gives an empty result.
     """
     first = stash(first_pass(docs), "setids")
-    ids = first.filter("met = 0").select("doc_id", "n", "sid")
+    ids = first.filter("met = 0").select("doc_id", "th", "n", "sid")
     comp = component_of_classes(docs, common_keys(first))
     least = ids.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("comp", "sid").alias("comp"))
     least = stash(least, "classes")
     top = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = least.join(top, "comp").select("sid", "component_id")
+    classes = least.join(top, "comp").select("sid", "comp", "component_id")
     out = ids.join(classes.withColumnRenamed("sid", "class"), (F.col("sid") == F.col("class")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "class", F.col("comp").alias("component"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -11,14 +11,14 @@ Ranks are 128-bit hashes (two of 64 bits) of the bytes, doubled in the same way
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import drop, may_hold, membership, stash
+from lakewarden.llm.common import drop, map_column, may_hold, membership, stash, text_hash
 
 LENGTH = 100
 ANCHOR = 32
@@ -130,11 +130,15 @@ def gathered(parts: Iterable[tuple[np.ndarray, ...]], rows: int = 100_000) -> It
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """d and th: a document's order, and what tells documents of one doc_id apart."""
+def _keyed_columns(docs: DataFrame) -> list[Column]:
+    """text, and d and th: a document's order, and what tells documents of one doc_id apart."""
     whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     order = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id").bitwiseAND(F.lit(NONE - 1))
-    return docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), order).otherwise(F.lit(NONE)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return [F.col("text"), F.when(F.col("doc_id").isNotNull(), order).otherwise(F.lit(NONE)).alias("d"), text_hash(F.col("text")).alias("th")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keyed_columns(docs))
 
 
 def anchor_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -224,36 +228,56 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return settled.unionByName(late)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, removed (maximal byte ranges [lo, hi)), kept (the remaining bytes).
+def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> the columns `keep`, n_bytes, removed (maximal byte ranges [lo, hi)), kept (the remaining bytes).
 
     A byte goes if a LENGTH-byte string covers it that starts earlier too, in a document of smaller doc_id or further
     up in the same one. Null texts are empty; texts under LENGTH bytes stay; null doc_ids come after all others, ids that are no whole numbers are ordered by a hash; rows alike in
     doc_id and text are one document and share its result, others of one doc_id are ordered by a hash; other columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. With whole_characters, a character that loses a byte goes whole. Texts of any length are read whole; each is one row of a task.
     """
     spans = stash(repeated_spans(docs), "spans")
     own = spans.groupBy("d", "th").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, text, lo, hi in zip(pdf["doc_id"], pdf["text"], pdf["lo"], pdf["hi"]):
-                data = _bytes(text)
-                if lo is None or len(lo) == 0:
-                    rows.append((doc_id, len(data), [], data))
-                    continue
-                top = np.maximum.accumulate(hi)
-                begin = np.concatenate(([True], lo[1:] > top[:-1]))
-                end = np.concatenate((begin[1:], [True]))
-                runs = list(zip(lo[begin].tolist(), top[end].tolist()))
-                edges = [0, *(x for r in runs for x in r), len(data)]
-                rows.append((doc_id, len(data), [{"lo": a, "hi": b} for a, b in runs], b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "removed", "kept"])
-
-    kind = docs.schema["doc_id"].dataType
-    joined = _keyed(docs).join(own, ["d", "th"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
-    return joined.mapInPandas(run, "doc_id string, n_bytes long, removed array<struct<lo:long,hi:long>>, kept binary").withColumn("doc_id", F.col("doc_id").cast(kind))
+    def start() -> Callable[[list], dict]:
+        def step(rows: list[dict]) -> dict:
+            sizes, removed, kept = [], [], []
+            for r in rows:
+                data = _bytes(r["text"])
+                sizes.append(len(data))
+                runs: list[list[int]] = []
+                for lo, hi in zip(r["lo"] or (), r["hi"] or ()):  # in order of lo
+                    if runs and lo <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], hi)
+                    else:
+                        runs.append([lo, hi])
+                if whole_characters:
+                    runs = widened(data, runs)
+                removed.append([{"lo": lo, "hi": hi} for lo, hi in runs])
+                edges = [0, *(x for run in runs for x in run), len(data)]
+                kept.append(b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+            return {"n_bytes": sizes, "removed": removed, "kept": kept}
+
+        return step
+
+    keyed = docs.select(*_keyed_columns(docs), *(F.col(c).alias(f"_{c}_") for c in keep))
+    joined = keyed.join(own, ["d", "th"], "left").select(*(F.col(f"_{c}_").alias(c) for c in keep), F.struct("text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi")).alias("_row"))
+    return map_column(joined, keep, "_row", start, "n_bytes bigint, removed array<struct<lo:bigint,hi:bigint>>, kept binary")
+
+
+def widened(data: bytes, runs: list[list[int]]) -> list[list[int]]:
+    """The byte ranges, made to begin and end between UTF-8 characters."""
+    out: list[list[int]] = []
+    for lo, hi in runs:
+        while lo and data[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return out
 
 
 def sha256(data: bytes) -> str:

@@ -9,20 +9,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import stash, with_id
+from lakewarden.llm.common import map_column, stash
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
 SYMBOLS = 64  #: symbols of the language model: 0 for non-letters, a-z, then other letters by code point
 FIT_ROWS = 20_000  #: labelled rows that the word evidence is fitted on at most
-FEATURES = 20_000  #: kept evidence features at most, the most significant ones
 PREFIXES = (4, 6, 7)  #: letters of the word beginnings that count as features beside whole words
 LEET_COST = 1.0  #: nats for reading a sign as a letter
 KEEP_COST = (3.0, 6.0, 0.0)  #: nats for reading a sign as itself before, among and after the token's letters
@@ -173,6 +172,14 @@ def features(text: str) -> set[str]:
     return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in PREFIXES))
 
 
+def word_evidence(text: str, weight: dict[str, float]) -> list[float]:
+    """P(toxic | feature) of restored text's words that are evidence, each by the strongest of its features, strongest first."""
+    if not weight.keys() & features(text):
+        return []
+    best = (max(weight.get(w, 0.0), *(weight.get(w[:k] + "*", 0.0) for k in PREFIXES if len(w) >= k), 0.0) for w in set(_LETTERS.findall(text.lower())))
+    return sorted((p for p in best if p), reverse=True)
+
+
 def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
     """Features that point to toxic documents, with P(toxic | feature); the base rate. Fitted on `rows` labelled rows at most, those of the smallest hashes."""
     own = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
@@ -200,16 +207,17 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int =
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("n0") + F.col("n1")) * p))).otherwise(0.0)
     gain = 2 * (part("n1", base) + part("n0", 1 - base))  # of likelihood; by chance the best of all features gains about twice the log of their number
     strong = sums.filter((F.col("feature") != "") & (F.col("n1") >= LEAST_RATE * (F.col("n0") + F.col("n1")))).withColumn("gain", gain).filter(F.col("gain") >= 2 * np.log(max(2, sums.count())))
-    got = strong.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
+    got = strong.orderBy(F.desc("gain"), "feature").collect()  # no more than the fitted rows, whose number is bounded, can bear out
     return {r["feature"]: (r["n1"] + 0.2 * base) / (r["n0"] + r["n1"] + 0.2) for r in got}, base
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score, n_evidence (and the restored text, if asked for), scored with evidence fitted on labels(doc_id, toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> the columns `keep`, score, n_evidence (and the restored text, if asked for), scored with evidence fitted on labels(doc_id, toxic).
 
-    The score is 1 - product of (1 - P(toxic | feature)) over the document's two strongest features, and half the base rate
-    at most without any. Null and empty texts have no evidence; repeated rows are scored alike; other columns are ignored; an
-    empty table gives an empty result; without labels nothing is toxic.
+    The score is 1 - product of (1 - P(toxic | feature)) over all the document's evidence, of which a word and its beginnings
+    count once, by the strongest; and half the base rate at most without any. Null and empty texts have no evidence; texts of any length are
+    read whole, in time linear in it; repeated rows are scored alike; null doc_ids are scored, but have no label; other columns are
+    ignored; an empty table gives an empty result; without labels nothing is toxic.
     """
     model = language_model(docs)
     found, base = evidence(docs, labels, model)
@@ -217,19 +225,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = False)
     shared, weights = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(found)
     floor = min(base, 0.5) / 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], dict]:
         memo: dict[str, str] = {}
         weight = weights.value
-        names = weight.keys()
         flat = shared.value.ravel().tolist()
-        for pdf in batches:
-            texts = [restore(t, flat, memo) if t else "" for t in pdf["text"]]
+
+        def step(texts: list[str | None]) -> dict:
+            restored = [restore(t, flat, memo) if t else "" for t in texts]
             scores, counts = [], []
-            for text in texts:
-                hits = sorted((weight[f] for f in names & features(text)), reverse=True)
-                scores.append(1 - float(np.prod([1 - p for p in hits[:2]])) if hits else floor)
+            for text in restored:
+                hits = word_evidence(text, weight)
+                scores.append(1 - float(np.prod([1 - p for p in hits])) if hits else floor)
                 counts.append(len(hits))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "n_evidence": counts})
-            yield out.assign(restored=texts) if with_text else out
+            return {"score": scores, "n_evidence": counts} | ({"restored": restored} if with_text else {})
+
+        return step
 
-    return with_id(docs, "doc_id", "text", run=run, out="score double, n_evidence int" + ", restored string" * with_text)
+    return map_column(docs, keep, "text", start, "score double, n_evidence int" + ", restored string" * with_text)
