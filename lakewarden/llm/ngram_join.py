@@ -27,7 +27,7 @@ LEAST_BLOCKS = 8
 LOAD = 3  #: shingles that a block holds on average at a band's upper end; over 3.9, a set would have too few occupied blocks
 HOT = 64  #: classes with a key from which it comes last in the global order
 HOT_KEYS = 200_000  #: hot keys told to all tasks; further ones keep their place, which changes speed alone
-LEADERS = 4  #: members of a key's group at most that all its others are tried against first
+LEADERS, BIG, BIG_LEADERS = 4, 64, 16  #: members of a key's group at most that all its others are tried against first; and in a group of more than BIG
 BROADCAST = 250_000  #: classes told to all tasks at most; more are joined by a shuffle
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _BYTE = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64)
@@ -267,8 +267,9 @@ def component_of_classes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
     rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
     sets = stash(candidate_sets(docs, rows.select("sid").distinct()), "sets")
-    leaders = F.array_distinct(F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(LEADERS)))).alias("leaders")
-    led = stash(rows.join(rows.groupBy("key").agg(leaders), "key"), "led")
+    chosen = F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(BIG_LEADERS)))
+    leaders = rows.groupBy("key").agg(F.count("*").alias("m"), chosen.alias("all")).select("key", F.array_distinct(F.when(F.col("m") > BIG, F.col("all")).otherwise(F.slice("all", 1, LEADERS))).alias("leaders"))
+    led = stash(rows.join(leaders, "key"), "led")
     star = led.select("sid", "n", "band", F.explode("leaders").alias("l")).filter((F.col("sid") != F.col("l.sid")) & _near(F.col("n"), F.col("l.n")))
     comp = stash(components(verified(_pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band")), sets)), "comp")
     followers = led.filter(~F.exists("leaders", lambda x: x["sid"] == F.col("sid"))).select("key", "band", "sid", "n")
