@@ -2,14 +2,16 @@
 
 The text nodes of a page are grouped by their root-to-leaf tag path. A path's text ratio is its text length by its number of
 nodes, its punctuation ratio the same with punctuation marks; both, times what is not link text, are smoothed over the
-path sequence, fused by a product and held against a threshold. Paths above it are content; content spreads to the innermost
-element that holds nearly all of it, and elements that name themselves boilerplate stay out.
+path sequence, fused by a product and held against a threshold. Elements that name themselves boilerplate lower their paths' ratios by a factor.
+Paths above the threshold are content; it spreads to the innermost element that holds nearly all of it, and there takes in
+headings and short texts that are neither links nor named boilerplate.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -19,10 +21,12 @@ from lakewarden.llm.common import map_column
 
 THRESHOLD = 0.5  #: of the mean fused ratio
 SHARE = 0.95  #: of the selected text that the content element holds
+PENALTY = 0.001  #: factor of the ratios of paths in elements that name themselves boilerplate
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-SKIP = RAW | frozenset("head nav footer aside form button select option svg canvas object audio video dialog menu label fieldset input annotation annotation-xml map".split())
+SKIP = RAW | frozenset("head form button select option svg canvas object audio video dialog label fieldset input annotation annotation-xml map".split())
+ASIDE = frozenset("nav footer aside menu header".split())  #: boilerplate by name; a header is none inside an article
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label math mrow mi mo mn ms mtext mspace mstyle mpadded msup msub msubsup mfrac msqrt mroot munder mover munderover mmultiscripts semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt|dd", ("dl",)), "dd": ("dt|dd", ("dl",)), "tr": ("tr|td|th", ("table",)), "td": ("td|th", ("tr", "table")), "th": ("td|th", ("tr", "table")), "option": ("option", ("select",)), "thead": ("thead|tbody|tfoot", ("table",)), "tbody": ("thead|tbody|tfoot|tr|td|th", ("table",)), "tfoot": ("thead|tbody|tfoot|tr|td|th", ("table",))}
@@ -32,37 +36,36 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising ads
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[,.;:!?。，、！？…]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("name", "path", "parent", "skip", "marked", "link", "container")
+    """path is the number of its tag path on the page; good says that neither it nor an element around it is named boilerplate."""
 
-    def __init__(self, name: str, attributes: str, parent: Element | None):
+    __slots__ = ("name", "path", "depth", "parent", "skip", "marked", "good", "link", "container", "held", "head")
+
+    def __init__(self, name: str, attributes: str, parent: Element | None, paths: dict[tuple[int, str], int]):
         self.name, self.parent = name, parent
         words: set[str] = set()
         tokens: set[str] = set()
         hidden = False
         if attributes:
             for k, v in ATTRIBUTE.findall(attributes):
-                v = v.strip("\"'").lower()
-                if k.lower() in ("hidden", "aria-hidden"):
+                k, v = k.lower(), v.strip("\"'").lower()
+                if k in ("hidden", "aria-hidden"):
                     hidden |= v in ("", "true", "hidden")
-                else:
+                elif k in ("class", "id", "role"):
                     words.update(re.split(r"[^a-z0-9]+", v))
                     tokens.update(v.split())
         mark = ".".join(sorted(words - {""}))
-        self.path = (parent.path if parent else "") + "/" + name + ("." + mark if mark else "")
-        own = name in SKIP or hidden or name == "header" and not (parent and parent.container)
-        self.skip = own or bool(parent and parent.skip)
-        self.marked = bool(tokens & BOILERPLATE) and name not in ("html", "body")
-        self.link = name == "a" or bool(parent and parent.link)
+        self.path = paths.setdefault((parent.path if parent else -1, f"{name}.{mark}"), len(paths))
+        self.depth = parent.depth + 1 if parent else 0
+        self.skip = name in SKIP or hidden or bool(parent and parent.skip)
         self.container = name in CONTAINERS or bool(parent and parent.container)
-
-    @property
-    def bad(self) -> bool:
-        return self.skip or self.marked or bool(self.parent and self.parent.bad)
+        self.marked = (bool(tokens & BOILERPLATE) or name in ASIDE and not (name == "header" and parent and parent.container)) and name not in ("html", "body")
+        self.link = name == "a" or bool(parent and parent.link)
+        self.good, self.held, self.head = True, 0, False
 
 
 class Node:
@@ -74,17 +77,26 @@ class Node:
         self.text, self.element, self.block = text, element, block
 
 
-def text_nodes(html: str) -> list[Node]:
-    """The page's text outside scripts, styles and comments, in page order. Unclosed and crossed tags are mended as browsers do."""
-    root = Element("html", "", None)
-    stack, nodes, block, at = [root], [], 0, 0
+def text_nodes(html: str) -> tuple[list[Node], list[Element], int]:
+    """The page's text outside scripts, styles and comments, in page order; its elements, outer ones first; the number of its tag paths.
+    Unclosed and crossed tags are mended as browsers do. Linear in the page: a path is a number, whatever its depth."""
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("html", "", None, paths)
+    stack, nodes, elements, block, at = [root], [], [root], 0, 0
+    opened: Counter = Counter()
+
+    def cut(i: int) -> None:
+        opened.subtract(e.name for e in stack[i:])
+        del stack[i:]
 
-    def close(names: tuple[str, ...] | frozenset[str], stop: tuple[str, ...] = ()) -> None:
+    def close(names: tuple[str, ...] | frozenset[str], stop: tuple[str, ...] = (), ends: bool = True) -> None:
+        if not any(opened[n] > 0 for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
-                del stack[i:]
+                cut(i)
                 return
-            if stack[i].name in stop or stack[i].name in CONTAINERS:
+            if ends and (stack[i].name in stop or stack[i].name in CONTAINERS):
                 return
 
     def text(raw: str) -> None:
@@ -100,10 +112,7 @@ def text_nodes(html: str) -> list[Node]:
         if name not in INLINE:
             block += 1
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            close((name,), ends=False)
         else:
             if name in CLOSES_P and stack[-1].name not in ("html", "body"):
                 close(("p",), ("td", "th", "li", "div", "section", "blockquote"))
@@ -112,98 +121,97 @@ def text_nodes(html: str) -> list[Node]:
                 close(tuple(own.split("|")), stop)
             if name == "body":
                 close(("head",))
-            element = Element(name, m[3] or "", stack[-1])
+            element = Element(name, m[3] or "", stack[-1], paths)
+            elements.append(element)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             elif name not in VOID and not (m[3] or "").endswith("/"):
                 stack.append(element)
+                opened[name] += 1
     text(html[at:])
-    return nodes
+    return nodes, elements, len(paths)
 
 
-def path_ratios(nodes: list[Node]) -> dict[str, float]:
-    """The fused, smoothed ratio of each tag path."""
-    stats: dict[str, list[float]] = {}
+def path_ratios(nodes: list[Node], paths: int) -> np.ndarray:
+    """The fused, smoothed ratio of each tag path, in the order in which they begin; 0 for those without text."""
+    count, length, marks, links, named = (np.zeros(paths) for _ in range(5))
     for n in nodes:
         size = len(n.text.strip())
         if size:
-            s = stats.setdefault(n.element.path, [0, 0, 0, 0])
-            s[0] += 1
-            s[1] += size
-            s[2] += len(PUNCTUATION.findall(n.text))
-            s[3] += size * n.element.link
-    if not stats:
-        return {}
-    count, length, marks, links = np.array(list(stats.values()), float).T
-    free = 1 - links / length
-    smooth = np.array([0.1, 0.8, 0.1])
-    text_ratio, mark_ratio = (np.convolve(np.pad(x, 1, mode="edge"), smooth, "valid") for x in (length / count * free, (marks + 0.1) / count * free))
-    return dict(zip(stats, np.sqrt(text_ratio * mark_ratio)))
-
-
-def unmark(nodes: list[Node]) -> None:
-    """Take the marks off elements that hold most of the page's text outside links."""
-    held: dict[int, list] = {}
-    total = 0
+            e = n.element
+            count[e.path] += 1
+            length[e.path] += size
+            marks[e.path] += len(PUNCTUATION.findall(n.text))
+            links[e.path] += size * e.link
+            named[e.path] += size * (not e.good)
+    out = np.zeros(paths)
+    used = np.flatnonzero(count)
+    if len(used):
+        count, length, marks, links, named = (x[used] for x in (count, length, marks, links, named))
+        free = 1 - links / length
+        smooth = np.array([0.1, 0.8, 0.1])
+        text_ratio, mark_ratio = (np.convolve(np.pad(x, 1, mode="edge"), smooth, "valid") for x in (length / count * free, (marks + 0.1) / count * free))
+        out[used] = np.sqrt(text_ratio * mark_ratio) * (1 - (1 - PENALTY) * named / length)
+    return out
+
+
+def hold(nodes: list[Node], elements: list[Element], sizes: list[int]) -> int:
+    """Sum the nodes' sizes up into all elements around them; the total."""
+    for e in elements:
+        e.held = 0
+    for n, k in zip(nodes, sizes):
+        n.element.held += k
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.held += e.held
+    return elements[0].held
+
+
+def judge(nodes: list[Node], elements: list[Element]) -> None:
+    """Set good: marks count, but for those of an element that holds most of the page's text outside links, or half of it with an article, main or h1."""
+    total = hold(nodes, elements, [0 if n.element.link or n.element.skip else len(n.text.strip()) for n in nodes])
     for n in nodes:
-        k = 0 if n.element.link or n.element.skip else len(n.text.strip())
-        total += k
-        e, head = n.element, False
-        while e and k:
-            head |= e.name == "h1" or e.name in CONTAINERS
-            if e.marked:
-                h = held.setdefault(id(e), [0, False, e])
-                h[0] += k
-                h[1] |= head
-            e = e.parent
-    for k, head, e in held.values():
-        if k > (0.5 if head else MOST) * total:
-            e.marked = False
+        n.element.head |= n.element.name == "h1" and bool(n.text.strip())
+    for e in reversed(elements):
+        e.head |= e.name in CONTAINERS and e.held > 0
+        if e.parent:
+            e.parent.head |= e.head
+    for e in elements:
+        named = e.marked and e.held <= (0.5 if e.head else MOST) * total
+        e.good = not named and (e.parent is None or e.parent.good)
 
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
-    nodes = [n for n in text_nodes(html or "") if n.text]
-    unmark(nodes)
-    good = [n for n in nodes if not n.element.bad]
-    ratios = path_ratios(good)
-    if not ratios:
+    nodes, elements, paths = text_nodes(html or "")
+    nodes = [n for n in nodes if n.text and not n.element.skip]
+    judge(nodes, elements)
+    ratios = path_ratios(nodes, paths)
+    if not ratios.any():
         return ""
-    size: dict[str, int] = {}
-    for n in good:
-        size[n.element.path] = size.get(n.element.path, 0) + len(n.text.strip())
-    limit = THRESHOLD * np.average([ratios[p] for p in ratios], weights=[size[p] for p in ratios])
-    chosen = {p for p, r in ratios.items() if r >= limit}
-    held: dict[int, list] = {}
-    total = 0
-    for n in good:
-        if n.element.path in chosen and (k := len(n.text.strip())):
-            total += k
-            e = n.element
-            depth = e.path.count("/")
-            while e:
-                held.setdefault(id(e), [0, depth, e])[0] += k
-                e, depth = e.parent, depth - 1
-    inner = [(d, e) for k, d, e in held.values() if k >= SHARE * total]
-    marked = [(d, e) for d, e in inner if e.name in CONTAINERS]
-    content = max(marked or inner, key=lambda x: x[0])[1] if inner else None
-    while content is not None and not marked and content.name in INLINE | {"p"}:
+    sizes = [len(n.text.strip()) for n in nodes]
+    weight = np.zeros(paths)
+    np.add.at(weight, [n.element.path for n in nodes], sizes)
+    chosen = ratios >= THRESHOLD * np.average(ratios, weights=weight)
+    total = hold(nodes, elements, [k if chosen[n.element.path] else 0 for n, k in zip(nodes, sizes)])
+    content = max((e for e in elements if e.held >= SHARE * total), key=lambda e: e.depth)
+    around = content
+    while around is not None and around.name not in CONTAINERS:
+        around = around.parent
+    content = around or content
+    while around is None and content.parent and content.name in INLINE | {"p"}:
         content = content.parent
-
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if e is content:
-                return True
-            e = e.parent
-        return False
-
-    held_in = [n for n in good if inside(n.element)]
+    inside = {id(content)}
+    for e in elements:
+        if e.parent and id(e.parent) in inside:
+            inside.add(id(e))
+    held_in = [n for n in nodes if id(n.element) in inside and (n.element.good or chosen[n.element.path])]
     running = {n.block for n in held_in if not n.element.link and any(c.isalnum() for c in n.text)}  # blocks whose links are part of their text
-    kept = [n for n in held_in if n.block in running or n.element.path in chosen or n.element.name in ("h1", "h2", "h3", "h4", "h5", "h6") or not n.element.link]
     blocks: dict[int, list[str]] = {}
-    for n in kept:
-        blocks.setdefault(n.block, []).append(n.text)
+    for n in held_in:
+        if n.block in running or chosen[n.element.path] or n.element.name in ("h1", "h2", "h3", "h4", "h5", "h6") or not n.element.link:
+            blocks.setdefault(n.block, []).append(n.text)
     parts = (SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
     return " ".join(p for p in parts if p)
 

@@ -257,3 +257,45 @@ def test_url_canonical(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules, listed).collect()}
     assert [i for i in range(len(urls)) if got[i] == "block"] == [0, 1, 2, 4, 5, 6, 9] and len(got) == len(urls)
+
+
+def test_html_by_ratios(monkeypatch):
+    """A page of unlabelled divs: the ratios find the text, and no others do. Attributes of other names mark nothing; deep nesting is no harm."""
+    para = "The committee met on Monday, and it agreed on most of the plan; details follow, as promised, in a week."
+    menu = "".join(f"<div><a href=x{i}>Item {i}</a></div>" for i in range(8))
+    box = "".join(f"<div><span>Tag {i}</span></div>" for i in range(12))
+    page = f"<body><div><div>{menu}</div></div><div><div><h1>Title</h1>{f'<p>{para}</p>' * 5}</div><div>{box}</div></div><div>{menu}</div></body>"
+    want = " ".join(["Title", *[para] * 5])
+    assert html_extract.extract(page) == want
+    ratios, rng = html_extract.path_ratios, np.random.default_rng(0)
+    monkeypatch.setattr(html_extract, "path_ratios", lambda nodes, paths: np.where(ratios(nodes, paths) > 0, rng.random(paths), 0))
+    assert sum(html_extract.extract(page) == want for _ in range(20)) < 10
+    monkeypatch.undo()
+    for marks in ("title='the hidden gems'", "data-id=legal", "class=side-effects", "alt='ads'"):
+        assert html_extract.extract(f"<body><div>{menu}</div><div {marks}>{f'<p>{para}</p>' * 3}</div></body>") == " ".join([para] * 3), marks
+    assert html_extract.extract(f"<body><div class='content has-sidebar'><article>{f'<p>{para}</p>' * 3}</article></div><div class=sidebar><p>{para}</p></div></body>") == " ".join([para] * 3)
+    assert html_extract.extract("<div>" * 50_000 + para + "</x></div>" * 50_000) == para
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>One, two.</p>", 5), (1, "u", "<p>One, two.</p>", 5), (None, None, None, 6), (3, "v", "", 7)], "page_id long, url string, html string, text int")
+    got = sorted(map(tuple, html_extract.extract_pages(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "One, two.")] * 2 + [(None, None, ""), (3, "v", "")], key=str)
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_toxicity_decoding_matters(spark, monkeypatch):
+    """Disguised words alone are evidence only once they are decoded, and addresses, keys and very long tokens are neither changed nor slow."""
+    rng = random.Random(5)
+    words = ["the", "quick", "brown", "house", "water", "letter", "some", "other", "people", "think"]
+    make = lambda extra: " ".join([*(rng.choice(words) for _ in range(30)), *extra])
+    rows = [(i, make(["moron"] if i % 5 == 0 else []), None, None) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    hidden = [(1000 + i, make([w]), None, None) for i, w in enumerate(["m0r0n", "mo.ron", "m o r o n", "mooooron", "m0ron!", "m*o*r*o*n"])]
+    long = [(2000, "a1b2" * 50_000, None, None), (2001, "ab" * 100_000, None, None)]
+    score = lambda: {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, rows + hidden + long), labels).collect()}
+    got = score()
+    assert sum(got[1000 + i] >= 0.5 for i in range(len(hidden))) == len(hidden) and got[2000] < 0.5 and got[2001] < 0.5
+    monkeypatch.setattr(toxicity, "LEET", {})
+    model = np.zeros(toxicity.SYMBOLS**3).tolist()
+    assert toxicity.decode("m0r0n", model) != "moron"  # without the readings of signs there is nothing to decode to
