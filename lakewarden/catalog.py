@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import lakewarden.functions.coercions
 import lakewarden.functions.scalars
 import lakewarden.operators.aggregations
 import lakewarden.operators.joins
 import lakewarden.operators.reports
 import lakewarden.operators.rules
+import lakewarden.operators.screening
+import lakewarden.operators.statements
 import lakewarden.plans.etl
+import lakewarden.plans.loads
+import lakewarden.plans.predicates
 import lakewarden.plans.secure
 import lakewarden.streaming.alerts  # noqa: F401  modules register their queries
 from lakewarden.registry import ORACLES, QUERIES

@@ -11,10 +11,14 @@ from lakewarden.registry import query
 from lakewarden.sources.tables import load
 
 #: Date formats in the order in which they are tried.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "MM-dd-yyyy", "dd.MM.yyyy", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy.MM.dd")
-#: Words that mean true.
-TRUE_WORDS = ("true", "t", "yes", "y", "1", "x", "on", "checked", "active")
-FALSE_WORDS = ("false", "f", "no", "n", "0", "off", "unchecked", "inactive")
+DATE_FORMATS = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%m-%d-%Y", "%Y/%m/%d", "%d.%m.%Y", "%m.%d.%Y", "%Y.%m.%d", "%b %d, %Y", "%d %b %Y", "%B %d, %Y", "%d %B %Y")
+#: Words of the four ways to read a boolean.
+ACTIVE_TRUE = ("true", "yes", "y", "1", "active", "on")
+ACTIVE_FALSE = ("false", "no", "n", "0", "inactive", "off")
+LISTED_TRUE = ("true", "yes", "y", "1", "x", "on", "checked")
+TYPED_TRUE = ("true", "t", "yes", "y", "1")
+TYPED_FALSE = ("false", "f", "no", "n", "0")
+_PARTS = {"%Y": ("yyyy", r"\d{4}"), "%m": ("M", r"\d{1,2}"), "%d": ("d", r"\d{1,2}"), "%b": ("MMM", "[A-Za-z]{3}"), "%B": ("MMMM", "[A-Za-z]{3,9}")}
 
 
 def clean(c: Column) -> Column:
@@ -33,17 +37,41 @@ def escape_html(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """The first of DATE_FORMATS that fits; a year alone or year-month is its first day; else null."""
-    tried = [F.try_to_date(c, f) for f in DATE_FORMATS]
-    year = F.when(c.rlike(r"^\d{4}$"), F.try_to_date(F.concat(c, F.lit("-01-01")), "yyyy-MM-dd"))
-    month = F.when(c.rlike(r"^\d{4}-\d{1,2}$"), F.try_to_date(F.concat(c, F.lit("-1")), "yyyy-M-d"))
-    return F.coalesce(year, month, *tried)
+    """The text as yyyy-MM-dd by the first of DATE_FORMATS that fits, of one or two digits; a year alone is its first day, a year and month the same with
+    -01 after it; any other text stays as it is, without white space at its ends. Null and empty are null."""
+    text = F.trim(c)
+    tried = []
+    for f in DATE_FORMATS:
+        form, shape = f, f.replace(".", r"\.")
+        for k, (letters, digits) in _PARTS.items():
+            form, shape = form.replace(k, letters), shape.replace(k, digits)
+        own = F.initcap(text) if "M" in form and "MMM" in form else text  # month names count in any case
+        tried.append(F.when(text.rlike(f"^{shape}$"), F.date_format(F.try_to_timestamp(own, F.lit(form)), "yyyy-MM-dd")))
+    year = F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01")))
+    month = F.when(text.rlike(r"^\d{4}-\d{1,2}$"), F.concat(text, F.lit("-01")))
+    return F.nullif(F.coalesce(*tried, year, month, text), F.lit(""))
 
 
-def parse_bool(c: Column, default: bool | None = None) -> Column:
-    """True and false words in any case; anything else is the default."""
+def bool_active(c: Column) -> Column:
+    """A flag that is true unless it says false."""
+    return ~F.coalesce(F.lower(F.trim(c)).isin(*ACTIVE_FALSE), F.lit(False))
+
+
+def bool_listed(c: Column) -> Column:
+    """True for the listed words, in any case but with no white space; else false."""
+    return F.coalesce(F.lower(c).isin(*LISTED_TRUE), F.lit(False))
+
+
+def bool_typed(c: Column) -> Column:
+    """True, false, or null for any other text."""
     word = F.lower(F.trim(c))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False)).otherwise(F.lit(default).cast("boolean"))
+    return F.when(word.isin(*TYPED_TRUE), True).when(word.isin(*TYPED_FALSE), False)
+
+
+def bool_quoted(c: Column) -> Column:
+    """The value of a condition's text: true and false, perhaps in quotes, in any case; else null."""
+    word = F.lower(F.btrim(F.trim(c), F.lit("'\"")))
+    return F.when(word == "true", True).when(word == "false", False)
 
 
 def integer_in(c: Column) -> Column:
@@ -97,14 +125,18 @@ def ws_collapse(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "conversations").select("conv_id", "turn", clean(F.col("text")).alias("text"))
 
 
-_RAW_DATE = "CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m') ELSE 'soon' END"
+_FORMS = ("%Y-%m-%d", "%d/%m/%Y", "%m.%d.%Y", "%b %d, %Y", "%d %B %Y", "%Y", "%Y-%m", "soon %d")
+_RAW = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_FORMS)) + " END"
+_TRIED = ", ".join(f"try_strptime(raw, '{f}')" for f in DATE_FORMATS)
 
 
-@query("SELECT o_orderkey AS id, CAST(CASE o_orderkey % 5 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate WHEN 2 THEN date_trunc('year', o_orderdate) WHEN 3 THEN date_trunc('month', o_orderdate) END AS DATE) AS day FROM orders")
+@query(f"WITH r AS (SELECT o_orderkey AS id, {_RAW} AS raw FROM orders) SELECT id, coalesce(strftime(coalesce({_TRIED}), '%Y-%m-%d'), CASE WHEN regexp_full_match(raw, '\\d{{4}}') THEN raw || '-01-01' WHEN regexp_full_match(raw, '\\d{{4}}-\\d{{1,2}}') THEN raw || '-01' ELSE raw END) AS day FROM r")
 def date_parse_multi(spark: SparkSession, d: str) -> DataFrame:
-    k, t = F.col("o_orderkey") % 5, F.col("o_orderdate")
-    raw = F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "yyyyMMdd")).when(k == 2, F.date_format(t, "yyyy")).when(k == 3, F.date_format(t, "yyyy-MM")).otherwise("soon")
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw")).select("id", parse_date(F.col("raw")).alias("day"))
+    """Dates written in eight ways and read back; what is no date stays."""
+    k, t = F.col("o_orderkey") % 8, F.col("o_orderdate")
+    written = (F.date_format(t, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM.dd.yyyy", "MMM dd, yyyy", "dd MMMM yyyy", "yyyy", "yyyy-MM", "'soon' dd"))
+    raw = F.coalesce(*(F.when(k == i, w) for i, w in enumerate(written)))
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), parse_date(raw).alias("day"))
 
 
 @query("SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS first, CASE WHEN len(string_split(p_type, ' ')) > 1 THEN list_extract(string_split(p_type, ' '), -1) ELSE 'Unknown' END AS last, CAST(regexp_extract(p_brand, '(-?\\d+)', 1) AS BIGINT) AS number FROM part")
@@ -113,10 +145,22 @@ def name_split(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), first.alias("first"), last.alias("last"), integer_in(F.col("p_brand")).alias("number"))
 
 
-@query("SELECT event_type, CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false END AS flag, count(*) AS n FROM events GROUP BY 1, 2")
+_WORDS = (" Yes", "OFF", "x", "t", "maybe", '"True"', "", "inactive", "checked", "1")
+_word_sql = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(
+    f"""WITH r AS (SELECT event_type, list_extract([{_word_sql(_WORDS)[1:-1]}], CAST(event_id % 10 + 1 AS INT)) AS raw FROM events)
+    SELECT event_type, raw, coalesce(NOT lower(trim(raw)) IN {_word_sql(ACTIVE_FALSE)}, true) AS active, coalesce(lower(raw) IN {_word_sql(LISTED_TRUE)}, false) AS listed,
+      CASE WHEN lower(trim(raw)) IN {_word_sql(TYPED_TRUE)} THEN true WHEN lower(trim(raw)) IN {_word_sql(TYPED_FALSE)} THEN false END AS typed,
+      CASE lower(trim(trim(raw), '"')) WHEN 'true' THEN true WHEN 'false' THEN false END AS quoted, count(*) AS n FROM r GROUP BY ALL"""
+)
 def bool_parse_variants(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 3 == 0, " Yes").when(F.col("event_id") % 3 == 1, "OFF").otherwise("maybe")
-    return load(spark, d, "events").groupBy("event_type", parse_bool(raw).alias("flag")).agg(F.count("*").alias("n"))
+    """The four ways to read a boolean, on words of all kinds."""
+    raw = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("event_id") % 10 + 1).cast("int"))
+    read = load(spark, d, "events").select("event_type", raw.alias("raw"))
+    kinds = {"active": bool_active, "listed": bool_listed, "typed": bool_typed, "quoted": bool_quoted}
+    return read.groupBy("event_type", "raw", *(f(F.col("raw")).alias(k) for k, f in kinds.items())).agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey AS id, format('{:,.2f}', c_acctbal) AS amount FROM customer")
@@ -131,12 +175,15 @@ def strip_special_text(spark: SparkSession, d: str) -> DataFrame:
 
 def first_number(c: Column) -> Column:
     """The first number in a text, a comma read as a decimal point; null if there is none."""
-    return F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit(".")), r"(-?\d+)", 1), F.lit("")).try_cast("long")
+    return F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit(".")), r"(-?\d+\.?\d*)", 1), F.lit("")).try_cast("double")
 
 
-@query("SELECT event_id, TRY_CAST(nullif(regexp_extract(replace(props, ',', '.'), '(-?\\d+)', 1), '') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, TRY_CAST(nullif(regexp_extract(raw, '(-?\\d+)', 1), '') AS BIGINT) AS whole, TRY_CAST(nullif(regexp_extract(replace(raw, ',', '.'), '(-?\\d+\\.?\\d*)', 1), '') AS DOUBLE) AS number FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN 'EUR -' || CAST(event_id AS VARCHAR) || ',25 due' ELSE event_type END AS raw FROM events)")
 def numeric_extract(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").select("event_id", first_number(F.col("props")).alias("k"))
+    """The first integer and the first decimal of a text."""
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("EUR -"), F.col("event_id").cast("string"), F.lit(",25 due"))).otherwise(F.col("event_type"))
+    return load(spark, d, "events").select("event_id", integer_in(raw).alias("whole"), first_number(raw).alias("number"))
 
 
 @query("SELECT c_custkey, list_aggregate(list_sort(list_distinct(list_filter([trim(x) FOR x IN string_split(c_mktsegment || ', a@x.org,, ' || c_mktsegment || ' ,b@x.org', ',')], lambda x: x <> ''))), 'string_agg', ', ') AS emails FROM customer")

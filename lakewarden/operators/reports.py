@@ -221,7 +221,7 @@ def log_level_hist(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey FROM orders")
 def surrogate_row_number(spark: SparkSession, d: str) -> DataFrame:
     """Row numbers by a total order, without one task for all rows: numbers within ranges of the key, plus the totals of earlier ranges."""
-    o = load(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 10000").alias("range"))
+    o = load(spark, d, "orders").select("o_orderkey", F.coalesce(F.expr("o_orderkey div 10000"), F.lit(-1)).alias("range"))
     sizes = o.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("range").orderBy("o_orderkey"))
@@ -276,10 +276,11 @@ def month_label(spark: SparkSession, d: str) -> DataFrame:
     return accounts(spark, d).select("account_id", F.date_format(o, "MMMM yyyy").alias("label"), F.date_format(o, "MM").alias("mm"), F.date_format(o, "yy").alias("yy"), F.dayofyear(o).alias("doy"))
 
 
-@query(SQL + f"SELECT account_id, ((dayofyear(opened) - dayofyear(DATE '{AS_OF}') + 365) % 365)::INT AS days FROM acct WHERE (dayofyear(opened) - dayofyear(DATE '{AS_OF}') + 365) % 365 BETWEEN 0 AND 15")
+@query(SQL + f"SELECT account_id, days::INT AS days FROM (SELECT account_id, (dayofyear(opened) - dayofyear(DATE '{AS_OF}') + dayofyear(make_date(year(DATE '{AS_OF}'), 12, 31))) % dayofyear(make_date(year(DATE '{AS_OF}'), 12, 31)) AS days FROM acct) WHERE days BETWEEN 0 AND 15")
 def doy_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Anniversaries in the next 15 days, across the end of the year."""
-    days = F.pmod(F.dayofyear("opened") - F.dayofyear(F.lit(AS_OF).cast("date")), F.lit(365))
+    """Anniversaries in the next 15 days, across the end of the year, whatever its length."""
+    today = F.lit(AS_OF).cast("date")
+    days = F.pmod(F.dayofyear("opened") - F.dayofyear(today), F.dayofyear(F.make_date(F.year(today), F.lit(12), F.lit(31))))
     return accounts(spark, d).select("account_id", days.alias("days")).filter("days BETWEEN 0 AND 15")
 
 

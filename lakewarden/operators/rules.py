@@ -27,12 +27,13 @@ class Rule:
     condition: str
     score: float = 0.0
     universe: str | None = None
+    subject: str | None = None
 
 
 def hits(rules: list[Rule]) -> Column:
     """The array of rules that hold for a row, by priority, then id."""
     ordered = sorted(rules, key=lambda r: (r.priority, r.id))
-    each = [F.when(F.expr(r.condition), F.struct(F.lit(r.id).alias("rule"), F.lit(r.level).alias("level"), F.lit(RANK[r.level]).alias("rank"), F.lit(r.score).alias("score"), F.lit(r.universe).cast("string").alias("universe"))) for r in ordered]
+    each = [F.when(F.expr(r.condition), F.struct(F.lit(r.id).alias("rule"), F.lit(r.level).alias("level"), F.lit(RANK[r.level]).alias("rank"), F.lit(r.score).alias("score"), F.lit(r.universe).cast("string").alias("universe"), F.lit(r.subject).cast("string").alias("subject"))) for r in ordered]
     return F.array_compact(F.array(*each))
 
 
@@ -50,18 +51,22 @@ def combine(scores: str, how: str) -> Column:
     return F.coalesce({"max": F.array_max(scores), "sum": total, "avg": F.try_divide(total, F.size(positive))}[how], F.lit(0.0))
 
 
-def composite(hits_column: str, weights: dict[str, float], how: str = "avg") -> Column:
-    """The weighted composite: per universe the combined scores of its hits, times its weight in percent; rounded to cents."""
+def composite(hits_column: str, rules: list[Rule], weights: dict[str, float], how: str = "avg") -> Column:
+    """The weighted composite of an array of hits. Scores add up by universe and subject; a universe's score is the mean, maximum or sum of its subjects' sums above
+    0, times its weight in percent. Hits without a subject and universes without a weight above 0 add nothing; rounded half up to cents.
+    """
 
     def part(universe: str, weight: float) -> Column:
-        own = F.transform(F.filter(hits_column, lambda h: h["universe"] == universe), lambda h: h["score"])
-        positive = F.filter(own, lambda x: x > 0)
+        subjects = sorted({r.subject for r in rules if r.universe == universe and r.subject})
+        of = lambda subject: F.filter(hits_column, lambda h: (h["universe"] == universe) & (h["subject"] == subject))
+        own = [F.aggregate(of(s), F.lit(0.0), lambda a, h: a + h["score"]) for s in subjects]
+        positive = F.filter(F.array(*own), lambda x: x > 0)
         total = F.aggregate(positive, F.lit(0.0), lambda a, x: a + x)
         value = {"sum": total, "avg": F.try_divide(total, F.size(positive)), "max": F.array_max(positive)}[how]
         return F.coalesce(value, F.lit(0.0)) * weight / 100
 
-    first, *rest = (part(u, w) for u, w in weights.items())
-    return F.round(sum(rest, first), 2)
+    parts = [part(u, w) for u, w in weights.items() if w > 0]
+    return F.round(sum(parts[1:], parts[0]), 2) if parts else F.lit(0.0)
 
 
 def band(score: Column, limits: tuple[float, float]) -> Column:
@@ -70,9 +75,13 @@ def band(score: Column, limits: tuple[float, float]) -> Column:
 
 
 TXN_RULES = [Rule(1, 1, "high", "amount > 50000"), Rule(2, 2, "medium", "quantity > 45"), Rule(3, 3, "low", "discount >= 0.09"), Rule(4, 4, "high", "flag = 'R' and amount > 20000")]
-PLANS = [Rule(1, 1, "high", "score > 8000", 9.0, "customer"), Rule(2, 2, "medium", "score > 4000", 5.0, "customer"), Rule(3, 3, "low", "sector = 'BUILDING'", 2.0, "product"), Rule(4, 4, "high", "n_accounts > 15", 7.0, "product"), Rule(5, 5, "high", "score > 1000000", 10.0, "customer")]
+PLANS = [
+    Rule(1, 1, "high", "score > 8000", 9.0, "customer", "wealth"), Rule(2, 2, "medium", "score > 4000", 5.0, "customer", "wealth"), Rule(3, 3, "low", "sector = 'BUILDING'", 2.0, "product", "sector"),
+    Rule(4, 4, "high", "n_accounts > 15", 7.0, "product", "accounts"), Rule(5, 5, "high", "score > 1000000", 10.0, "customer", "wealth"), Rule(6, 6, "medium", "score < 0", 4.0, "customer", "debt"), Rule(7, 7, "low", "branch_id = 3", 6.0, "customer"),
+]
 _COND = ["amount > 50000", "quantity > 45", "discount >= 0.09", "flag = 'R' AND amount > 20000"]
-_PLANS = SQL + ", n AS (SELECT customer_id, count(*) AS n_accounts FROM acct GROUP BY 1), p AS (SELECT customer_id, CASE WHEN score > 8000 THEN 9.0::DOUBLE END AS a, CASE WHEN score > 4000 THEN 5.0::DOUBLE END AS b, CASE WHEN sector = 'BUILDING' THEN 2.0::DOUBLE END AS c, CASE WHEN n_accounts > 15 THEN 7.0::DOUBLE END AS d FROM cust LEFT JOIN n USING (customer_id))"
+_HITS = " UNION ALL ".join(f"SELECT customer_id, {p.score}::DOUBLE AS s, '{p.universe}' AS universe, {repr(p.subject) if p.subject else 'NULL'} AS subject FROM base WHERE {p.condition}" for p in PLANS)
+_PLANS = SQL + f", n AS (SELECT customer_id, count(*) AS n_accounts FROM acct GROUP BY 1), base AS (SELECT * FROM cust LEFT JOIN n USING (customer_id)), h AS ({_HITS})"
 
 
 @query(SQL + f", h AS (SELECT account_id, line, {', '.join(f'({c}) AS h{i + 1}' for i, c in enumerate(_COND))} FROM txn) SELECT account_id, line, CASE WHEN h4 THEN 4 WHEN h3 THEN 3 WHEN h2 THEN 2 WHEN h1 THEN 1 END AS rule_id, CASE WHEN h1 OR h4 THEN 'high' WHEN h2 THEN 'medium' ELSE 'low' END AS level, h1::INT + h2::INT + h3::INT + h4::INT AS n_hits FROM h")
@@ -92,16 +101,19 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("scores", F.transform("hits", lambda h: h["score"]))
 
 
-@query(_PLANS + ", s AS (SELECT customer_id, coalesce(greatest(a, b, c, d), 0) AS score_max, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) AS score_sum, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT + (d IS NOT NULL)::INT AS n FROM p) SELECT customer_id, score_max, score_sum, coalesce(score_sum / nullif(n, 0), 0) AS score_avg, CASE WHEN score_max <= 3 THEN 'low' WHEN score_max <= 6 THEN 'medium' ELSE 'high' END AS band FROM s")
+@query(_PLANS + """, s AS (SELECT customer_id, coalesce(max(h.s), 0) AS score_max, coalesce(sum(h.s) FILTER (WHERE h.s > 0), 0) AS score_sum, coalesce(avg(h.s) FILTER (WHERE h.s > 0), 0) AS score_avg FROM cust LEFT JOIN h USING (customer_id) GROUP BY 1)
+SELECT customer_id, score_max, score_sum, score_avg, CASE WHEN score_max <= 3 THEN 'low' WHEN score_max <= 6 THEN 'medium' ELSE 'high' END AS band FROM s""")
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
     """The customers' plan scores combined by maximum, sum and mean, and the band of the maximum."""
     s = _scored(spark, d).select("customer_id", combine("scores", "max").alias("score_max"), combine("scores", "sum").alias("score_sum"), combine("scores", "avg").alias("score_avg"))
     return s.withColumn("band", band(F.col("score_max"), (3.0, 6.0)))
 
 
-@query(_PLANS + ", s AS (SELECT customer_id, coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 0) AS u1, coalesce((coalesce(c, 0) + coalesce(d, 0)) / nullif((c IS NOT NULL)::INT + (d IS NOT NULL)::INT, 0), 0) AS u2 FROM p) SELECT customer_id, round(u1 * 60 / 100 + u2 * 40 / 100, 2) AS composite, CASE WHEN round(u1 * 60 / 100 + u2 * 40 / 100, 2) <= 2 THEN 'low' WHEN round(u1 * 60 / 100 + u2 * 40 / 100, 2) <= 4 THEN 'medium' ELSE 'high' END AS band FROM s")
+@query(_PLANS + """, t AS (SELECT customer_id, universe, subject, sum(s) AS s FROM h WHERE subject IS NOT NULL GROUP BY ALL HAVING sum(s) > 0), u AS (SELECT customer_id, universe, avg(s) AS s FROM t GROUP BY ALL),
+c AS (SELECT customer_id, round(coalesce(sum(s * CASE universe WHEN 'customer' THEN 60 ELSE 40 END / 100), 0), 2) AS composite FROM cust LEFT JOIN u USING (customer_id) GROUP BY 1)
+SELECT customer_id, composite, CASE WHEN composite <= 2 THEN 'low' WHEN composite <= 4 THEN 'medium' ELSE 'high' END AS band FROM c""")
 def risk_composite(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d).select("customer_id", composite("hits", {"customer": 60.0, "product": 40.0}).alias("composite"))
+    s = _scored(spark, d).select("customer_id", composite("hits", PLANS, {"customer": 60.0, "product": 40.0}).alias("composite"))
     return s.withColumn("band", band(F.col("composite"), (2.0, 4.0)))
 
 
@@ -118,19 +130,21 @@ def normal(name: Column) -> Column:
 
 
 def screen_names(people: DataFrame, listed: DataFrame) -> DataFrame:
-    """people(id, first, last) against listed(entry, name, first, last): equal full names, or equal first and last; the smallest entry of each.
+    """people(id, first, last) against listed(entry, name, first, last): equal full names, or equal first and last; the smallest entry of each. Empty names match nothing.
 
-    The either-or match is two hash joins, for one join on a disjunction would compare all pairs.
+    The either-or match is two hash joins, for one join on a disjunction would compare all pairs; the list has one row per name, so a common name multiplies nothing.
     """
     p = people.select("id", normal(F.concat("first", "last")).alias("full"), normal(F.col("first")).alias("f"), normal(F.col("last")).alias("l"))
     e = listed.select("entry", normal(F.col("name")).alias("full"), normal(F.col("first")).alias("f"), normal(F.col("last")).alias("l"))
-    both = p.join(e.select("entry", "full"), "full").select("id", "entry").unionByName(p.join(e.select("entry", "f", "l"), ["f", "l"]).select("id", "entry"))
+    by_full = e.filter("full != ''").groupBy("full").agg(F.min("entry").alias("entry"))
+    by_parts = e.filter("f != '' and l != ''").groupBy("f", "l").agg(F.min("entry").alias("entry"))
+    both = p.join(by_full, "full").select("id", "entry").unionByName(p.join(by_parts, ["f", "l"]).select("id", "entry"))
     return both.groupBy("id").agg(F.min("entry").alias("entry"))
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, split_part(c_name, '#', 1) AS first, split_part(c_name, '#', 2) AS last FROM customer),
 e AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 2 = 0 THEN upper(replace(c_name, '#', ' ')) ELSE 'x' END AS name, split_part(c_name, '#', 1) AS first, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' || split_part(c_name, '#', 2) || ' ' END AS last FROM customer WHERE c_custkey % 37 = 0)
-SELECT p.id, min(e.entry) AS entry FROM p JOIN e ON replace(lower(p.first || p.last), ' ', '') = replace(lower(e.name), ' ', '') OR (replace(lower(p.first), ' ', '') = replace(lower(e.first), ' ', '') AND replace(lower(p.last), ' ', '') = replace(lower(e.last), ' ', '')) GROUP BY 1""")
+SELECT p.id, min(e.entry) AS entry FROM p JOIN e ON (replace(lower(p.first || p.last), ' ', '') = replace(lower(e.name), ' ', '') AND trim(e.name) <> '') OR (trim(e.first) <> '' AND trim(e.last) <> '' AND replace(lower(p.first), ' ', '') = replace(lower(e.first), ' ', '') AND replace(lower(p.last), ' ', '') = replace(lower(e.last), ' ', '')) GROUP BY 1""")
 def screen_name_or(spark: SparkSession, d: str) -> DataFrame:
     c = customers(spark, d)
     first, last = F.split_part("name", F.lit("#"), F.lit(1)), F.split_part("name", F.lit("#"), F.lit(2))

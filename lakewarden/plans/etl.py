@@ -11,9 +11,10 @@ from lakewarden.registry import query
 from lakewarden.sources.tables import SQL, accounts, load
 
 
-def fingerprint(columns: Sequence[str]) -> Column:
-    """sha256 of a row's trimmed values as text; nulls are told apart from empty texts."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("NULL")) for c in columns)), 256)
+def fingerprint(columns: Sequence[str], trimmed: bool = False) -> Column:
+    """sha256 of a row as JSON text: its values as text by column name in order; null is no text, and no value runs into its neighbour."""
+    text = lambda c: F.trim(F.col(c).cast("string")) if trimmed else F.col(c).cast("string")
+    return F.sha2(F.to_json(F.struct(*(text(c).alias(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 
 
 def project(source: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -33,8 +34,17 @@ def classify(source: DataFrame, target: DataFrame, keys: Sequence[str], order: s
     return both.withColumn("op", F.when(F.col("_old").isNull(), "new").when(F.col("_old") != F.col("_new"), "updated").otherwise("unchanged")).drop("_old", "_new")
 
 
-def merge(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The upsert of source into target: its rows, and target's rows of other keys."""
+def last_of_key(source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by `order`, then the largest."""
+    by = [*order, *(c for c in source.columns if c not in (*keys, *order))]
+    if not by:
+        return source.dropDuplicates(list(keys))
+    return source.groupBy(*keys).agg(F.max(F.struct(*by)).alias("_last")).select(*keys, "_last.*").select(*source.columns)
+
+
+def merge(source: DataFrame, target: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The upsert of source into target: its rows, of a repeated key the last by `order` (then the largest), and target's rows of other keys."""
+    source = last_of_key(source, keys, order)
     return source.unionByName(target.join(source.select(*keys), list(keys), "left_anti"))
 
 
@@ -62,7 +72,7 @@ def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     return merge(*_cdc(spark, d), ["id"])
 
 
-@query("SELECT o_orderkey AS id, sha256(concat_ws('|', o_orderkey::VARCHAR, coalesce(trim(o_orderstatus), 'NULL'), coalesce(trim(o_orderpriority), 'NULL'))) AS hash FROM orders")
+@query("SELECT o_orderkey AS id, sha256(CAST(to_json({'o_orderkey': CAST(o_orderkey AS VARCHAR), 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus}) AS VARCHAR)) AS hash FROM orders")
 def row_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), fingerprint(["o_orderkey", "o_orderstatus", "o_orderpriority"]).alias("hash"))

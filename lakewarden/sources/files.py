@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 SEPARATORS = (",", ";", "\t", "|")
 #: Record tags in the order in which ties are settled.
-RECORD_TAGS = ("record", "entity", "individual", "person", "row", "item", "entry", "designation", "sdnEntry")
+RECORD_TAGS = ("sdnEntry", "record", "entity", "individual", "person", "party", "target", "entry", "item")
+SAMPLE = 10_240  #: bytes of a file from which its record tag is told
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -31,14 +32,21 @@ def clean_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ").alias("value"))
 
 
-def record_tag(sample: str) -> str:
-    """The most frequent record tag in the beginning of an XML file."""
-    return max(RECORD_TAGS, key=lambda t: (len(re.findall(rf"<{t}[\s>]", sample)), -RECORD_TAGS.index(t)))
+def record_tag(sample: str) -> str | None:
+    """The most frequent record tag in the beginning of an XML file, in any case; the first of equals; None if there is none."""
+    counts = {t: sample.lower().count(f"<{t.lower()}") for t in RECORD_TAGS}
+    best = max(RECORD_TAGS, key=lambda t: counts[t])
+    return best if counts[best] else None
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    sample = "\n".join(r[0] for r in spark.read.text(path).limit(200).collect())
-    return spark.read.format("xml").option("rowTag", record_tag(sample)).load(path)
+    """The records of an XML file. The driver sees the file's first SAMPLE bytes alone, and takes the tag in the case that it has there."""
+    head = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, 1, {SAMPLE})").alias("head")).first()
+    sample = bytes(head[0]).decode("utf-8", "replace") if head else ""
+    tag = record_tag(sample)
+    if tag is None:
+        raise ValueError(f"no record tag in {path}")
+    return spark.read.format("xml").option("rowTag", re.search(f"<({tag})", sample, re.I)[1]).load(path)
 
 
 READERS = {"csv": read_csv, "txt": read_csv, "xml": read_xml, "json": lambda spark, path: spark.read.json(path), "parquet": lambda spark, path: spark.read.parquet(path), "orc": lambda spark, path: spark.read.orc(path)}

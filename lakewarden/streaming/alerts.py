@@ -28,6 +28,27 @@ def windowed_counts(rows: DataFrame, time: str, key: str, size: str, late: str =
     return rows.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
+def since_last_run(rows: DataFrame, last: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that the last run had not, and the state to keep: last(fingerprint) holds the rows of the last run with news alone, so a row that leaves and
+    comes back is news again. The state is replaced when there is news, emptied when there are no rows, and else stays."""
+    marked = rows.withColumn("fingerprint", fingerprint(columns or rows.columns)).dropDuplicates(["fingerprint"])
+    new = marked.join(last.select("fingerprint"), "fingerprint", "left_anti")
+    any_, news = marked.limit(1).select(F.lit(1).alias("_any")), new.limit(1).select(F.lit(1).alias("_news"))
+    stays = last.select("fingerprint").join(any_, how="left_semi").join(news, how="left_anti")
+    return new, marked.select("fingerprint").join(news, how="left_semi").unionByName(stays)
+
+
+@query("WITH r AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) SELECT user_id, event_type FROM r WHERE day = DATE '2024-01-11' EXCEPT SELECT user_id, event_type FROM r WHERE day = DATE '2024-01-10'")
+def alert_last_run(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs of an alert on one day each: what came back on the third day after a day's absence is told again."""
+    e = load(spark, d, "events")
+    on = lambda day: e.filter(F.to_date("ts") == F.lit(day).cast("date")).select("user_id", "event_type")
+    state = spark.createDataFrame([], "fingerprint string")
+    for day in ("2024-01-09", "2024-01-10", "2024-01-11"):
+        new, state = since_last_run(on(day), state)
+    return new.select("user_id", "event_type")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15'")
 def except_rows(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events")
