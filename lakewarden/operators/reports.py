@@ -78,12 +78,12 @@ def risk_band_bulk(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("customer_id", F.when(s <= 3000, "low").when(s <= 6000, "medium").when(s <= 9000, "high").otherwise("low").alias("band"))
 
 
-_LIST_SQL = ", listed AS (SELECT customer_id AS list_id, CASE WHEN customer_id % 2 = 0 THEN upper(name) ELSE '  ' || name || ' ' END AS entry, ' ' || CAST(customer_id AS VARCHAR) || ' ' AS number FROM cust WHERE customer_id % 37 = 0) "
+_LIST_SQL = ", listed AS (SELECT customer_id AS list_id, CASE WHEN customer_id % 2 = 0 THEN upper(name) ELSE '  ' || name || ' ' END AS entry, ' ' || CAST(customer_id AS VARCHAR) || ' ' AS number FROM cust WHERE score > 9000) "
 
 
 def watchlist(spark: SparkSession, d: str) -> DataFrame:
-    """Every 37th customer, with noise of case and space in name and number."""
-    c = customers(spark, d).filter("customer_id % 37 = 0")
+    """Stand-in for a watch list: the customers of the largest balances, with noise of case and space in name and number."""
+    c = customers(spark, d).filter("score > 9000")
     name = F.when(F.col("customer_id") % 2 == 0, F.upper("name")).otherwise(F.concat(F.lit("  "), "name", F.lit(" ")))
     return c.select(F.col("customer_id").alias("list_id"), name.alias("entry"), F.concat(F.lit(" "), F.col("customer_id").cast("string"), F.lit(" ")).alias("number"))
 
@@ -104,11 +104,11 @@ def screen_bvn_trim(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("customer_id", "list_id", (F.col("key") == F.col("number")).alias("exact"))
 
 
-@query(SQL + _LIST_SQL + "SELECT customer_id, NOT EXISTS (SELECT 1 FROM listed WHERE list_id = customer_id) AS stale FROM cust WHERE customer_id % 10 = 7")
+@query(SQL + _LIST_SQL + "SELECT customer_id, NOT EXISTS (SELECT 1 FROM listed WHERE list_id = customer_id) AS stale FROM cust")
 def stale_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded matches (every tenth customer), stale where the list's row has disappeared."""
+    """Recorded matches (here of all customers), stale where the list's row has disappeared."""
     still = watchlist(spark, d).select(F.col("list_id").alias("customer_id"), F.lit(True).alias("on"))
-    return customers(spark, d).filter("customer_id % 10 = 7").join(still, "customer_id", "left").select("customer_id", F.col("on").isNull().alias("stale"))
+    return customers(spark, d).join(still, "customer_id", "left").select("customer_id", F.col("on").isNull().alias("stale"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 50) DESC, ts DESC, event_id) AS i FROM events) WHERE i = 1")
@@ -120,14 +120,14 @@ def dedupe_keep_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH jobs AS (SELECT event_id, user_id, event_type AS state, '["' || (event_id + 1) || '","' || (event_id + 7) || '"]' AS children FROM events WHERE event_id % 5 = 0),
+WITH jobs AS (SELECT event_id, user_id, event_type AS state, '["' || (event_id + 1) || '","' || (event_id + 7) || '"]' AS children FROM events),
 links AS (SELECT event_id AS parent, CAST(json_extract_string(x, '$') AS BIGINT) AS child FROM jobs, unnest(CAST(children::JSON AS JSON[])) AS u(x))
 SELECT parent, count(*) AS n_children, bool_and(e.event_type = 'view') AS all_view FROM links JOIN events e ON e.event_id = child GROUP BY 1""")
 def json_array_lateral(spark: SparkSession, d: str) -> DataFrame:
     """Jobs and the children named in their JSON array, exploded and joined; whether all children are in one state."""
     e = load(spark, d, "events").select("event_id", "event_type")
     children = F.concat(F.lit('["'), F.col("event_id") + 1, F.lit('","'), F.col("event_id") + 7, F.lit('"]'))
-    jobs = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("parent"), children.alias("children"))
+    jobs = e.select(F.col("event_id").alias("parent"), children.alias("children"))
     links = jobs.select("parent", F.explode(F.from_json("children", "array<string>")).alias("child")).select("parent", F.col("child").cast("long").alias("event_id"))
     return links.join(e, "event_id").groupBy("parent").agg(F.count("*").alias("n_children"), F.bool_and(F.col("event_type") == "view").alias("all_view"))
 

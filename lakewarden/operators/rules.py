@@ -143,14 +143,14 @@ def screen_names(people: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, split_part(c_name, '#', 1) AS first, split_part(c_name, '#', 2) AS last FROM customer),
-e AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 2 = 0 THEN upper(replace(c_name, '#', ' ')) ELSE 'x' END AS name, split_part(c_name, '#', 1) AS first, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' || split_part(c_name, '#', 2) || ' ' END AS last FROM customer WHERE c_custkey % 37 = 0)
+e AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 2 = 0 THEN upper(replace(c_name, '#', ' ')) ELSE 'x' END AS name, split_part(c_name, '#', 1) AS first, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' || split_part(c_name, '#', 2) || ' ' END AS last FROM customer WHERE c_acctbal > 9000)
 SELECT p.id, min(e.entry) AS entry FROM p JOIN e ON (replace(lower(p.first || p.last), ' ', '') = replace(lower(e.name), ' ', '') AND trim(e.name) <> '') OR (trim(e.first) <> '' AND trim(e.last) <> '' AND replace(lower(p.first), ' ', '') = replace(lower(e.first), ' ', '') AND replace(lower(p.last), ' ', '') = replace(lower(e.last), ' ', '')) GROUP BY 1""")
 def screen_name_or(spark: SparkSession, d: str) -> DataFrame:
     c = customers(spark, d)
     first, last = F.split_part("name", F.lit("#"), F.lit(1)), F.split_part("name", F.lit("#"), F.lit(2))
     people = c.select(F.col("customer_id").alias("id"), first.alias("first"), last.alias("last"))
     even = F.col("customer_id") % 2 == 0
-    listed = c.filter("customer_id % 37 = 0").select(F.col("customer_id").alias("entry"), F.when(even, F.upper(F.replace("name", F.lit("#"), F.lit(" ")))).otherwise("x").alias("name"), first.alias("first"), F.when(even, "").otherwise(F.concat(F.lit(" "), last, F.lit(" "))).alias("last"))
+    listed = c.filter("score > 9000").select(F.col("customer_id").alias("entry"), F.when(even, F.upper(F.replace("name", F.lit("#"), F.lit(" ")))).otherwise("x").alias("name"), first.alias("first"), F.when(even, "").otherwise(F.concat(F.lit(" "), last, F.lit(" "))).alias("last"))
     return screen_names(people, listed)
 
 

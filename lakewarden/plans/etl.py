@@ -53,13 +53,15 @@ def key_pages(df: DataFrame, key: str, after, size: int) -> DataFrame:
     return df.filter(F.col(key) > after).orderBy(key).limit(size)
 
 
-_CDC = """WITH old AS (SELECT o_orderkey AS id, o_orderstatus AS state, o_orderpriority AS product FROM orders WHERE o_orderkey % 5 <> 0),
-src AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS state, o_orderpriority AS product FROM orders WHERE o_orderkey % 7 <> 0)"""
+_CDC = """WITH old AS (SELECT o_orderkey AS id, o_orderstatus AS state, o_orderpriority AS product FROM orders WHERE o_orderstatus <> 'P'),
+src AS (SELECT o_orderkey AS id, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS state, o_orderpriority AS product FROM orders WHERE o_orderpriority <> '5-LOW')"""
 
 
 def _cdc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("product"))
-    return o.filter("id % 7 <> 0").withColumn("state", F.when(F.col("id") % 3 == 0, "X").otherwise(F.col("state"))), o.filter("id % 5 <> 0")
+    """Stand-in for a delivery and the table it goes to: orders but those of low priority, some changed, and orders but those in process."""
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("product"), "o_totalprice")
+    changed = F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("state"))
+    return o.filter("product <> '5-LOW'").select("id", changed.alias("state"), "product"), o.filter("state <> 'P'").select("id", "state", "product")
 
 
 @query(_CDC + " SELECT src.id, CASE WHEN old.id IS NULL THEN 'new' WHEN src.state IS DISTINCT FROM old.state OR src.product IS DISTINCT FROM old.product THEN 'updated' ELSE 'unchanged' END AS op FROM src LEFT JOIN old USING (id)")
