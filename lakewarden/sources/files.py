@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.sources.sheets import read_sheet
+
 SEPARATORS = (",", ";", "\t", "|")
 #: Record tags in the order in which ties are settled.
 RECORD_TAGS = ("sdnEntry", "record", "entity", "individual", "person", "party", "target", "entry", "item")
 SAMPLE = 10_240  #: bytes of a file from which its record tag is told
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
+def head_of(spark: SparkSession, path: str) -> bytes:
+    """The first SAMPLE bytes of a file, or of one of a folder's; empty if there is none."""
+    head = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, 1, {SAMPLE})").alias("head")).first()
+    return bytes(head[0]) if head else b""
+
+
+def sniff_encoding(head: bytes) -> str:
+    """By byte-order mark, else UTF-8 if the bytes are, but for a character cut at their end, else ISO-8859-1."""
+    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return "UTF-16"
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "ISO-8859-1"
+
+
+def sniff_separator(text: str) -> str:
     """The first separator that gives the header line more than one column; a comma if none does."""
-    line = spark.read.text(path).limit(1).first()
-    return next((s for s in SEPARATORS if line and len(line[0].split(s)) > 1), ",")
+    line = text.splitlines()[0] if text else ""
+    return next((s for s in SEPARATORS if len(line.split(s)) > 1), ",")
 
 
-def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A file with a header as text columns; malformed lines are dropped, empty fields stay empty texts."""
-    sep = separator or sniff_separator(spark, path)
-    return spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", inferSchema=False).na.fill("")
+def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A file with a header as text columns; malformed lines are dropped, empty fields stay empty texts. Encoding and separator are told from the file's
+    beginning if they are not given. Fields may hold line ends if the beginning has any that do; such a file is not split, as is one in UTF-16."""
+    head = head_of(spark, path)
+    if not head.strip():
+        raise ValueError(f"{path} is missing or empty")
+    encoding = encoding or sniff_encoding(head)
+    text = head.decode(encoding, "ignore").removeprefix("\ufeff")
+    whole = encoding == "UTF-16" or any(line.count('"') % 2 for line in text.splitlines()[:-1])
+    sep = separator or sniff_separator(text)
+    df = spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", inferSchema=False, encoding=encoding, multiLine=whole, escape='"')
+    return df.toDF(*(c.removeprefix("\ufeff") for c in df.columns)).na.fill("")
 
 
 def clean_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a text file without a byte-order mark, with control characters as blanks."""
-    lines = spark.read.text(path)
+    """The lines of a text file without a byte-order mark and carriage returns at their ends, with control characters (NUL among them) as blanks."""
+    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r+$", "").alias("value"))
     return lines.select(F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ").alias("value"))
 
 
@@ -41,25 +69,51 @@ def record_tag(sample: str) -> str | None:
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """The records of an XML file. The driver sees the file's first SAMPLE bytes alone, and takes the tag in the case that it has there."""
-    head = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, 1, {SAMPLE})").alias("head")).first()
-    sample = bytes(head[0]).decode("utf-8", "replace") if head else ""
+    sample = head_of(spark, path).decode("utf-8", "replace")
     tag = record_tag(sample)
     if tag is None:
         raise ValueError(f"no record tag in {path}")
     return spark.read.format("xml").option("rowTag", re.search(f"<({tag})", sample, re.I)[1]).load(path)
 
 
-READERS = {"csv": read_csv, "txt": read_csv, "xml": read_xml, "json": lambda spark, path: spark.read.json(path), "parquet": lambda spark, path: spark.read.parquet(path), "orc": lambda spark, path: spark.read.orc(path)}
+READERS = {"csv": read_csv, "txt": read_csv, "xml": read_xml, "xlsx": read_sheet, "ods": read_sheet, "json": lambda spark, path: spark.read.json(path), "parquet": lambda spark, path: spark.read.parquet(path), "orc": lambda spark, path: spark.read.orc(path)}
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """A reader by the file's extension; one that has none is an error."""
+    """A reader by the file's extension; one that has none is an error, and so is a missing or empty file."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind not in READERS:
         raise ValueError(f"no reader of {kind} files")
     return READERS[kind](spark, path)
 
 
+def read_feed(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A feed of quoted values with no header, in any encoding, as named text columns: further values are dropped, missing ones null, white space at ends is cut, and `-0-` and empty are null."""
+    lines = spark.read.csv(path, header=False, encoding=sniff_encoding(head_of(spark, path)), inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema=", ".join(f"`{c}` string" for c in columns), mode="PERMISSIVE", escape='"')
+    return lines.select(*(F.when(~F.trim(c).isin("-0-", ""), F.trim(c)).alias(c) for c in columns))
+
+
+def tail_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """The log lines of a folder as a stream: Spark's checkpoint holds how far it was read, so only new files' lines come."""
+    return parse_logs(spark.readStream.text(folder))
+
+
+def write_report(df: DataFrame, path: str, root: str, row: str) -> None:
+    """A report in XML, a row an element."""
+    df.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(path)
+
+
+def html_table(df: DataFrame, rows: int = 100) -> DataFrame:
+    """One row: an HTML table of a message's rows, of which the first `rows` in the order given are shown, with their texts escaped."""
+    from lakewarden.functions.scalars import escape_html
+
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(escape_html(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;"))), F.lit("")), F.lit("</td>"))
+    head = "".join(f"<th>{c}</th>" for c in df.columns)
+    lines = df.limit(rows).select(F.monotonically_increasing_id().alias("_i"), F.concat(F.lit("<tr>"), *(cell(c) for c in df.columns), F.lit("</tr>")).alias("_r"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_r"))), lambda x: x["_r"]), "")
+    return lines.agg(F.concat(F.lit(f"<table><tr>{head}</tr>"), body, F.lit("</table>")).alias("html"))
+
+
 def match_columns(have: Sequence[str], want: dict[str, str]) -> dict[str, str]:
     """want maps fields to labels; the result maps a column to each field that it fits: by name, by name without separators, or by label."""
     plain = lambda s: re.sub(r"[\s_\-.]+", "", s).lower()

@@ -178,3 +178,65 @@ def test_stream_unseen(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("unseen").count() == 2
+
+
+def test_csv_forms(spark, tmp_path):
+    """Encodings, separators, fields with line ends, missing and empty files."""
+    (tmp_path / "a.csv").write_bytes("\ufeffid;name\n1;Zoë\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("id,name\n1,Zoë\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes('id\tname\n1\t"a\nb ""c"""\n'.encode())
+    (tmp_path / "d.csv").write_bytes("id,name\n1,Zoë\n".encode("utf-16"))
+    (tmp_path / "e.csv").write_bytes(b"")
+    got = [files.read_file(spark, str(tmp_path / f"{x}.csv")) for x in "abcd"]
+    assert [df.columns for df in got] == [["id", "name"]] * 4
+    assert [tuple(df.first()) for df in got] == [("1", "Zoë"), ("1", "Zoë"), ("1", 'a\nb "c"'), ("1", "Zoë")]
+    with pytest.raises(ValueError):
+        files.read_file(spark, str(tmp_path / "e.csv"))
+    (tmp_path / "f.csv").write_text('36, "AERO", "-0- "\n37,"B ""x""",Cuba,more\n')
+    assert sorted(map(tuple, files.read_feed(spark, str(tmp_path / "f.csv"), ["n", "name", "land"]).collect())) == [("36", "AERO", None), ("37", 'B "x"', "Cuba")]
+    (tmp_path / "g.txt").write_bytes(b"\xef\xbb\xbfa\x00b\r\r\nc\r\n")
+    assert [r[0] for r in files.clean_lines(spark, str(tmp_path / "g.txt")).collect()] == ["a b", "c"]
+
+
+def test_sheets(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>id</t></si><si><r><t>na</t></r><r><t>me</t></r></si><si><t>Ann</t></si></sst>")
+        rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="inlineStr"><is><t>ok</t></is></c></row><row r="2"><c r="A2"><v>1.5</v></c><c r="B2" t="s"><v>2</v></c><c r="D2" t="b"><v>1</v></c></row><row r="3"><c r="A3"><v>2</v></c></row>'
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+    df = files.read_file(spark, str(tmp_path / "a.xlsx"))
+    assert df.columns == ["id", "name", "column_3", "ok"] and sorted(map(tuple, df.collect())) == [("1.5", "Ann", None, "true"), ("2", None, None, None)]
+    from lakewarden.sources.sheets import read_sheet
+
+    assert read_sheet(spark, str(tmp_path / "a.xlsx"), rows=1).count() == 1 and read_sheet(spark, str(tmp_path / "a.xlsx"), skip=1).columns[1] == "Ann"
+    cell = lambda t, n=1: f'<t:table-cell t:number-columns-repeated="{n}">' + (f"<x:p>{t}</x:p>" if t else "") + "</t:table-cell>"
+    with zipfile.ZipFile(tmp_path / "b.ods", "w") as z:
+        body = f'<t:table-row>{cell("id")}{cell("v", 2)}{cell("", 900)}</t:table-row><t:table-row t:number-rows-repeated="2">{cell("1")}{cell("")}{cell("z")}</t:table-row><t:table-row t:number-rows-repeated="99999">{cell("", 9)}</t:table-row>'
+        z.writestr("content.xml", f'<d xmlns:t="urn:t" xmlns:x="urn:x"><t:table>{body}</t:table><t:table><t:table-row>{cell("other")}</t:table-row></t:table></d>')
+    from lakewarden.sources.sheets import sheet_rows
+
+    assert [r.cells for r in sheet_rows(spark, str(tmp_path / "b.ods")).orderBy("row").collect()] == [["id", "v", "v"], ["1", None, "z"], ["1", None, "z"]]
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a<b & c"), (2, None)], "id int, s string")
+    assert files.html_table(df.orderBy("id")).first()[0] == "<table><tr><th>id</th><th>s</th></tr><tr><td>1</td><td>a&lt;b &amp; c</td></tr><tr><td>2</td><td></td></tr></table>"
+    files.write_report(df, str(tmp_path / "r.xml"), "reports", "record")
+    assert files.read_xml(spark, str(tmp_path / "r.xml") + "/part-*").count() == 2
+
+
+def test_log_tail(spark, tmp_path):
+    src = tmp_path / "logs"
+    src.mkdir()
+    (src / "1.log").write_text("2024-01-01 10:00:00,1 12 ERROR db: lost\nplain\n")
+
+    def run():
+        q = files.tail_logs(spark, str(src)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.level or "", r.message) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [("", "plain"), ("ERROR", "lost")]
+    (src / "2.log").write_text("2024-01-01 10:00:01,1 12 INFO db: back\n")
+    assert run() == [("", "plain"), ("ERROR", "lost"), ("INFO", "back")]  # after a restart only what is new is read
