@@ -117,11 +117,13 @@ def risk_composite(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("band", band(F.col("composite"), (2.0, 4.0)))
 
 
-@query(SQL + ", l AS (SELECT customer_id, balance, row_number() OVER (PARTITION BY customer_id ORDER BY opened DESC, account_id DESC) AS i FROM acct WHERE balance > 0) SELECT c.customer_id, CAST(coalesce(l.balance, c.score) AS DOUBLE) AS score FROM cust c LEFT JOIN l ON l.customer_id = c.customer_id AND l.i = 1")
+@query(SQL + """, r AS (SELECT customer_id, product, balance, row_number() OVER (PARTITION BY customer_id, product ORDER BY opened DESC, account_id DESC) AS i FROM acct WHERE product = '1-URGENT' AND balance > 50000 OR product = '2-HIGH' AND state = 'F')
+SELECT c.customer_id, CAST(coalesce(a.balance, e.balance, c.score) AS DOUBLE) AS score FROM cust c LEFT JOIN r a ON a.customer_id = c.customer_id AND a.product = '1-URGENT' AND a.i = 1 LEFT JOIN r e ON e.customer_id = c.customer_id AND e.product = '2-HIGH' AND e.i = 1""")
 def risk_override_latest(spark: SparkSession, d: str) -> DataFrame:
-    """The latest non-zero assessment of a customer overrides the score; max_by keeps the aggregate partial."""
-    last = accounts(spark, d).filter("balance > 0").groupBy("customer_id").agg(F.max_by("balance", F.struct("opened", "account_id")).alias("balance"))
-    return customers(spark, d).join(last, "customer_id", "left").select("customer_id", F.coalesce("balance", "score").cast("double").alias("score"))
+    """A customer's latest assessment overrides the score, else the latest approved due diligence does; urgent and high accounts stand in for them. max_by keeps the aggregate partial."""
+    latest = lambda on: F.max_by("balance", F.when(F.expr(on), F.struct("opened", "account_id")))
+    last = accounts(spark, d).groupBy("customer_id").agg(latest("product = '1-URGENT' and balance > 50000").alias("assessed"), latest("product = '2-HIGH' and state = 'F'").alias("diligence"))
+    return customers(spark, d).join(last, "customer_id", "left").select("customer_id", F.coalesce("assessed", "diligence", "score").cast("double").alias("score"))
 
 
 def normal(name: Column) -> Column:

@@ -17,7 +17,7 @@ from lakewarden.registry import query
 from lakewarden.sources.tables import EVENTS_AS_OF, SQL, accounts, branches, customers, load
 
 #: Functions that no user query may call.
-DENIED_FUNCTIONS = ("pg_sleep", "sleep", "waitfor", "xp_cmdshell", "java_method", "reflect", "try_reflect", "load_file", "benchmark", "input_file_name", "raise_error", "assert_true", "current_user", "session_user", "user")
+DENIED_FUNCTIONS = ("pg_sleep", "sleep", "waitfor", "xp_cmdshell", "java_method", "reflect", "try_reflect", "load_file", "benchmark", "input_file_name", "raise_error", "assert_true", "current_user", "session_user")
 #: Nodes of a parsed plan that a query may have; commands, table functions, transforms, unions and all else are refused.
 PLANS = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation Join LateralJoin UnresolvedWith UnresolvedHaving WithWindowDefinition OneRowRelation UnresolvedInlineTable Except Intersect Pivot UnresolvedHint UnresolvedOrderBy".split())
 QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`", re.S)
@@ -31,24 +31,34 @@ def _each(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _check(node, views: set[str] | None, known: frozenset[str]) -> None:
+#: Functions of the time of day, which a chart's query may not call.
+CLOCK = ("now", "current_timestamp", "current_date", "localtimestamp", "curdate")
+
+
+def _check(node, views: set[str] | None, known: frozenset[str], chart: bool) -> None:
     """Refuse what a parsed node and all below it may not hold. known: names of common table expressions in scope."""
     kind = node.getClass().getSimpleName()
     if kind == "UnresolvedWith":
         for cte in _each(node.cteRelations()):
-            _check(cte._2(), views, known)
+            _check(cte._2(), views, known, chart)
             known |= {cte._1().lower()}
-        return _check(node.child(), views, known)
+        return _check(node.child(), views, known, chart)
     if kind == "UnresolvedFunction":
         name = [str(x).lower() for x in _each(node.nameParts())]
-        if len(name) > 1 or name[0] in DENIED_FUNCTIONS:
+        if len(name) > 1 or name[0] in DENIED_FUNCTIONS or chart and name[0] in CLOCK:
             raise Refused(f"function {'.'.join(name)} is not allowed")
     elif kind == "UnresolvedRelation":
         name = [str(x).lower() for x in _each(node.multipartIdentifier())]
         if name[0] in ("information_schema", "pg_catalog", "sys") or views is not None and ".".join(name) not in views and not (len(name) == 1 and name[0] in known):
             raise Refused(f"unknown table {'.'.join(name)}")
+    elif kind == "UnresolvedAttribute":  # a function that needs no parentheses reads like a column
+        name = [str(x).lower() for x in _each(node.nameParts())]
+        if name[0] in ("current_user", "session_user") or chart and name[0] in CLOCK:
+            raise Refused(f"{name[0]} is not allowed")
     elif kind == "Or" and any(map(_constant, _each(node.children()))):
         raise Refused("a condition that is always true")
+    elif chart and kind in ("CaseWhen", "CurrentTimestamp", "CurrentDate", "Now"):
+        raise Refused(f"{kind} is not allowed in a chart")
     below = _each(node.children())
     if _is_plan(node):
         if kind not in PLANS:
@@ -59,7 +69,7 @@ def _check(node, views: set[str] | None, known: frozenset[str]) -> None:
     elif kind == "InSubquery":
         below.append(node.query())
     for x in below:
-        _check(x, views, known)
+        _check(x, views, known, chart)
 
 
 def _is_plan(node) -> bool:
@@ -73,20 +83,22 @@ def _constant(node) -> bool:
     return not kind.startswith("Unresolved") and kind not in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery") and all(map(_constant, _each(node.children())))
 
 
-def check_query(spark: SparkSession, sql: str, views: Sequence[str] | None = None) -> str:
+def check_query(spark: SparkSession, sql: str, views: Sequence[str] | None = None, chart: bool = False, prohibited: Sequence[str] = ()) -> str:
     """sql if it is a single SELECT over the allowed views, without comments, unions, always-true conditions or denied functions; else Refused.
 
-    What the query holds is read off Spark's parsed plan, so text in quotes, names of columns and common table expressions mislead nothing.
+    A chart's query may hold no CASE and no clock either; `prohibited` words may stand nowhere outside quotes. What the query holds is read off Spark's parsed plan, so text in quotes, names of columns and common table expressions mislead nothing.
     """
     text = sql.strip().rstrip("; \n\t")
     bare = QUOTED.sub("''", text)
     if ";" in bare or "--" in bare or "/*" in bare:
         raise Refused("several statements or a comment")
+    if found := {w.lower() for w in prohibited} & set(re.findall(r"\w+", bare.lower())):
+        raise Refused(f"{sorted(found)[0]} is prohibited")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as error:
         raise Refused(f"no valid SQL: {str(error).splitlines()[0]}") from None
-    _check(plan, None if views is None else {v.lower() for v in views}, frozenset())
+    _check(plan, None if views is None else {v.lower() for v in views}, frozenset(), chart)
     return text
 
 

@@ -55,6 +55,16 @@ def test_allowed(spark, sql):
     assert secure.check_query(spark, sql, ["v", "res_partner", "res_compliance_stat", "res_branch", "transactions"]) == sql
 
 
+def test_chart_gate(spark):
+    for sql in ("SELECT CASE WHEN a > 1 THEN 1 END FROM v", "SELECT now() FROM v", "SELECT current_date FROM v"):
+        assert secure.check_query(spark, sql, ["v"])
+        with pytest.raises(secure.Refused):
+            secure.check_query(spark, sql, ["v"], chart=True)
+    with pytest.raises(secure.Refused):
+        secure.check_query(spark, "SELECT salary FROM v", ["v"], prohibited=["Salary"])
+    assert secure.check_query(spark, "SELECT 'salary' FROM v", ["v"], prohibited=["salary"])
+
+
 def test_secured_needs_its_column(spark):
     df = spark.range(3)
     for wrong in ({"allowed": []}, {"asked": [1]}, {"period": (datetime.date(2024, 1, 1),) * 2}):
