@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -41,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MADE = threading.local()  #: paths of the tables that this thread has stashed and not deleted
+
+
+def _made() -> list[str]:
+    if not hasattr(_MADE, "paths"):
+        _MADE.paths = []
+    return _MADE.paths
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
 
@@ -54,16 +64,36 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _made().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(tables: Sequence[DataFrame]) -> set[str]:
+    return {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in tables for f in df.inputFiles()}
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    names = _folders(tables)
+    _delete(tables[0].sparkSession, [p for p in _made() if p.rsplit("/", 1)[1] in names])
+
+
+def mark() -> int:
+    """A place in the list of stashed tables, for drop_since."""
+    return len(_made())
+
+
+def drop_since(place: int, *keep: DataFrame) -> None:
+    """Delete the tables stashed since then, but for those that `keep` reads."""
+    names = _folders(keep)
+    _delete(keep[0].sparkSession, [p for p in _made()[place:] if p.rsplit("/", 1)[1] not in names])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made().remove(p)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

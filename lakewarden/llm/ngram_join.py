@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import broadcast_if_small, drop, may_hold, membership, stash, text_hash
+from lakewarden.llm.common import broadcast_if_small, drop, drop_since, mark, may_hold, membership, stash, text_hash
 
 SHINGLE = 5
 PERCENT = 80  #: least Jaccard similarity, in hundredths
@@ -295,11 +295,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Texts without words have an empty set and are linked with nothing; a component's id is its smallest doc_id, null if
     all are null; rows alike in doc_id give a row each; other columns are ignored; an empty table gives an empty result.
     """
+    place = mark()
     first = stash(first_pass(docs), "setids")
     ids = first.filter("met = 0").select("doc_id", "th", "n", "sid")
     comp = component_of_classes(docs, common_keys(first))
     least = ids.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("comp", "sid").alias("comp"))
     least = stash(least, "classes")
+    drop_since(place, first, least)
     top = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = least.join(top, "comp").select("sid", "comp", "component_id")
     out = ids.join(classes.withColumnRenamed("sid", "class"), (F.col("sid") == F.col("class")) & (F.col("n") > 0), "left")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import drop, map_column, may_hold, membership, stash, text_hash
+from lakewarden.llm.common import drop, drop_since, map_column, mark, may_hold, membership, stash, text_hash
 
 LENGTH = 100
 ANCHOR = 32
@@ -236,7 +236,9 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), whole_characters:
     doc_id and text are one document and share its result, others of one doc_id are ordered by a hash; other columns are ignored;
     an empty table gives an empty result. With whole_characters, a character that loses a byte goes whole. Texts of any length are read whole; each is one row of a task.
     """
+    place = mark()
     spans = stash(repeated_spans(docs), "spans")
+    drop_since(place, spans)
     own = spans.groupBy("d", "th").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def start() -> Callable[[list], dict]:

@@ -299,3 +299,16 @@ def test_toxicity_decoding_matters(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LEET", {})
     model = np.zeros(toxicity.SYMBOLS**3).tolist()
     assert toxicity.decode("m0r0n", model) != "moron"  # without the readings of signs there is nothing to decode to
+
+
+def test_suffix_dedup_against_doubling(spark, texts):
+    """The anchored ranks find what prefix doubling over all positions finds."""
+    import doubling
+
+    rows = [(i, t, None, None) for i, t in texts if t and t.isascii() and len(t) < 3000]
+    df = docs(spark, rows)
+    gone = {}
+    for r in doubling.repeated(df).collect():
+        gone.setdefault(r.d, set()).update(range(r.p, r.p + 100))
+    got = {r.doc_id: set(x for s in r.removed for x in range(s.lo, s.hi)) for r in suffix_dedup.dedup(df).collect()}
+    assert {i: s for i, s in got.items() if s} == gone and gone
