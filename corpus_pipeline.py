@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewarden.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
-from lakewarden.llm.common import WORD, broadcast_if_small, stash, text_hash
+from lakewarden.llm.common import WORD, broadcast_if_small, drop, drop_since, mark, stash, text_hash
 from lakewarden.llm.queries import fold, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,13 +25,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id stays (null last; of one doc_id, that of the smallest text hash, and of
     equal texts the row of the smallest lang, source and n_chars); documents without words are no group and all stay.
     """
+    place = mark()
     found = stash(ngram_join.similar_documents(docs).filter("component is not null"), "groups")
+    drop_since(place, found)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
     rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = kept.withColumn("first", F.lit(1))
     told = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"]), "left").select(rows["doc_id"].alias("_id"), rows["text_hash"].alias("_hash"), "n", F.coalesce("first", F.lit(0)).alias("first"))
     told = stash(told.filter("first = 0 or n > 1"), "told")  # rows to drop, and those to keep once
+    drop(found)
     keyed = docs.select(*COLUMNS, text_hash(F.col("text")).alias("_th"))
     same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_th"] == F.col("_hash"))
     out = keyed.join(broadcast_if_small(told.select("_id", "_hash"), ngram_join.BROADCAST), same, "left_anti").select(*COLUMNS)
@@ -59,10 +62,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = mixing.mix(docs).filter("words > 0")
     own = pieces.groupBy(*keys, "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "at", "words"))).alias("_parts"))
     own = own.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("start")))
-    rows = docs.select(*COLUMNS, text_hash(F.col("text")).alias("text_hash"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("_words"))
-    rows = rows.filter("size(_words) > 0").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("lang", "n_chars")))
+    rows = docs.select(*COLUMNS, text_hash(F.col("text")).alias("text_hash"), mixing.n_words(F.col("text")).alias("_n"))
+    rows = rows.filter("_n > 0").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("lang", "n_chars")))
     same = rows["doc_id"].eqNullSafe(own["doc_id"]) & rows["source"].eqNullSafe(own["source"]) & (rows["text_hash"] == own["text_hash"]) & (rows["_i"] == own["_i"])
-    words = rows.join(own, same).select(rows["doc_id"], "lang", rows["source"], "_words", "_parts")
+    words = rows.join(own, same).select(rows["doc_id"], "lang", rows["source"], F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("_words"), "_parts")
     parts = F.transform("_parts", lambda p: F.array_join(F.slice("_words", (p["at"] + 1).cast("int"), p["words"].cast("int")), " "))
     out = words.withColumn("text", F.array_join(parts, " ")).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*COLUMNS)
