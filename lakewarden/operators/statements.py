@@ -191,9 +191,9 @@ def chosen_measures(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sector", *(F.col(f"{b}_{c}").cast(t).alias(f"b{b}_{c}") for b in (1, 2, 3) for c, t in (("score_max", "double"), ("branch_id_sum", "bigint"))))
 
 
-@query(SQL + "SELECT account_id, line, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, lag(CAST(amount AS DOUBLE)) OVER v AS previous, lead(CAST(amount AS DOUBLE)) OVER v AS following, first_value(CAST(amount AS DOUBLE)) OVER v AS first FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY quantity DESC), v AS (PARTITION BY account_id ORDER BY date_created, line)")
+@query(SQL + "SELECT account_id, line, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, lag(CAST(amount AS DOUBLE)) OVER v AS previous, lead(CAST(amount AS DOUBLE)) OVER v AS following, first_value(CAST(amount AS DOUBLE)) OVER v AS first FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY quantity DESC), v AS (PARTITION BY account_id ORDER BY date_created, line, part_id, channel_id, amount)")
 def ranks_and_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    w, v = Window.partitionBy("account_id").orderBy(F.desc("quantity")), Window.partitionBy("account_id").orderBy("date_created", "line")
+    w, v = Window.partitionBy("account_id").orderBy(F.desc("quantity")), Window.partitionBy("account_id").orderBy("date_created", "line", "part_id", "channel_id", "amount")
     amount = F.col("amount").cast("double")
     return transactions(spark, d).select("account_id", "line", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense_rank"), F.lag(amount).over(v).alias("previous"), F.lead(amount).over(v).alias("following"), F.first(amount).over(v).alias("first"))
 
