@@ -145,25 +145,37 @@ def undouble(token: str, model: list[float], memo: dict[str, str]) -> str:
     return token.lower() if memo[key] == "2" else token[: m.start()].lower() + token[m.end() - 1 :].lower()
 
 
-def restore(text: str, model: list[float], memo: dict[str, str]) -> str:
-    """text with its suspicious tokens read by decode."""
-
-    def read(m: re.Match) -> str:
-        token = m[0]
-        if token not in memo:
-            if len(memo) > 200_000:
-                memo.clear()
+class Readings(dict):
+    """The readings of tokens and of the white space between them, made when first asked for; emptied when there are very many."""
+
+    def __init__(self, model: list[float]):
+        super().__init__()
+        self.model, self.near = model, {}
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+            self.near.clear()
+        out = token
+        if TOKEN.match(token):
             runs = _DOUBLED.findall(token.lower()) if token.isalpha() and len(token.lower()) == len(token) else []
-            if len(runs) == 1 and len(_DOUBLED.search(token.lower())[0]) == 2:
-                memo[token] = undouble(token, model, memo)
-            else:
-                memo[token] = decode(token, model)
-        return memo[token]
+            alone = len(runs) == 1 and len(_DOUBLED.search(token.lower())[0]) == 2
+            out = undouble(token, self.model, self.near) if alone else decode(token, self.model)
+        if len(token) <= 1_000:
+            self[token] = out
+        return out
+
+
+_PARTS = re.compile(r"(\s+)")
+
+
+def restore(text: str, readings: Readings) -> str:
+    """text with its suspicious tokens read by decode."""
 
     def join(m: re.Match) -> str:
-        return decode(m[0], model, True) if any(c.isalpha() for c in m[0]) else m[0]
+        return decode(m[0], readings.model, True) if any(c.isalpha() for c in m[0]) else m[0]
 
-    return TOKEN.sub(read, SPACED.sub(join, text))
+    return "".join(map(readings.__getitem__, _PARTS.split(SPACED.sub(join, text))))
 
 
 def features(text: str) -> set[str]:
@@ -189,11 +201,10 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int =
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        memo: dict[str, str] = {}
-        flat = shared.value.ravel().tolist()
+        readings = Readings(shared.value.ravel().tolist())
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"]):
-                seen[y].update(features(restore(text, flat, memo)))
+                seen[y].update(features(restore(text, readings)))
                 seen[y][""] += 1
         keys = list(seen[0].keys() | seen[1].keys())
         for i in range(0, len(keys), 50_000):
@@ -226,12 +237,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("d
     floor = min(base, 0.5) / 2
 
     def start() -> Callable[[list], dict]:
-        memo: dict[str, str] = {}
         weight = weights.value
-        flat = shared.value.ravel().tolist()
+        readings = Readings(shared.value.ravel().tolist())
 
         def step(texts: list[str | None]) -> dict:
-            restored = [restore(t, flat, memo) if t else "" for t in texts]
+            restored = [restore(t, readings) if t else "" for t in texts]
             scores, counts = [], []
             for text in restored:
                 hits = word_evidence(text, weight)
