@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -103,3 +104,59 @@ def aligned(codes, queries, rule):
             if error <= rule.MAX_ERROR:
                 out[q, d] = (o, votes[o], len(pairs), error)
     return out
+
+
+def bench_words(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def contaminated(docs, items, span=10):
+    """docs: (doc_id, text), items: (item_id, text) -> (doc_id, n_words, n_hit, n_items, item_ids) of each document"""
+    of = defaultdict(set)
+    for item, text in items:
+        w = bench_words(text)
+        n = min(len(w), span)
+        for i in range(len(w) - n + 1 if w else 0):
+            of[tuple(w[i : i + n])].add(item)
+    for doc, text in docs:
+        w, hit, found = bench_words(text), set(), set()
+        for n in range(1, span + 1):
+            for i in range(len(w) - n + 1):
+                if (g := tuple(w[i : i + n])) in of:
+                    hit |= set(range(i, i + n))
+                    found |= of[g]
+        names = sorted(str(i) for i in found if i is not None)
+        yield doc, len(w), len(hit), len(names), tuple(names)
+
+
+def fill_in_middle(doc_id, text, seed=42, rate=50, spm=80):
+    """(doc_id, n, form, prefix_chars, middle_chars, output)"""
+    text = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return doc_id, len(units), "plain", None, None, text
+    lo, hi = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    p, m, s = "".join(units[:lo]), "".join(units[lo:hi]), "".join(units[hi:])
+    if h4 % 100 < spm:
+        return doc_id, len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return doc_id, len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def hard_negatives(rows, is_anchor, positives=5, negatives=3, least=50, most=95, scale=256):
+    """rows: (vec_id, vector, label) -> (anchor_id, positive_id, rank, negative_id, positive_score, negative_score)"""
+    own = {}
+    for i, v, label in rows:
+        if i is None or label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        row = (label, [math.floor(scale * x) for x in v])
+        own[i] = min(own.get(i, row), row)
+    score = lambda a, b: sum(x * y for x, y in zip(own[a][1], own[b][1]))
+    for a in filter(is_anchor, own):
+        ranked = sorted((-score(a, b), b) for b in own if b != a)
+        kin = [(-s, b) for s, b in ranked if own[b][0] == own[a][0]][:positives]
+        for top, p in kin:
+            far = [(-s, b) for s, b in ranked if own[b][0] != own[a][0] and least * top <= -100 * s <= most * top][:negatives]
+            yield from ((a, p, k + 1, b, top, s) for k, (s, b) in enumerate(far))
