@@ -21,18 +21,22 @@ SIDE = SPAN - GRAM  #: words on either side of a k-gram that its windows can rea
 BROADCAST = 500_000  #: fingerprints of items (64 MB at most with their words) that are broadcast; more are joined by a shuffle
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased: runs of digits, letters and characters beyond ASCII; none in a null text."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)), F.array().cast("array<string>"))
+#: ASCII characters that are in no word.
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+def words_of(text: Column) -> Column:
+    """Words of a text as they are written: runs of digits, letters and characters beyond ASCII; none in a null text."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAPS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
 def with_gram_hashes(df: DataFrame) -> DataFrame:
-    """df(words, ..) and `hashes`: at i the hash of the GRAM words from i (meaningless where fewer are left)."""
-    out = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    """df(words, ..) and `hashes`: at i the hash of the GRAM words from i (meaningless where fewer are left).
+
+    Words are hashed in lower case of all letters: words that differ in A-Z alone have one hash, and what else has is told apart at the hits.
+    """
+    out = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     n = 1
     while n < GRAM:
         out = out.withColumn("hashes", F.zip_with("hashes", F.expr(f"slice(hashes, {n + 1}, greatest(size(hashes) - {n}, 0))"), lambda a, b: F.xxhash64(a, b)))
@@ -41,19 +45,25 @@ def with_gram_hashes(df: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """df(words, ..) -> its columns, `fp`, and `at`, the place of the k-gram: the leftmost least hash of each window, once for windows in a row."""
-    made = with_gram_hashes(df.filter(F.size("words") >= SPAN))
-    rows = made.select("*", F.posexplode(F.slice("hashes", 1, F.size("words") - (SPAN - 1))).alias("j", "_first"))
+    """df(words, ..) -> for each window whose leftmost least hash is at another place than the one's before: its columns, that hash `fp`, and the window's place `j`."""
+    made = with_gram_hashes(df)  # a filter on the number of words would have them split twice
+    rows = made.select("*", F.posexplode(F.slice("hashes", 1, F.greatest(F.size("words") - (SPAN - 1), F.lit(0)))).alias("j", "_first"))
     h = lambda i: F.get("hashes", F.col("j") + i)
     inner = F.least(*(h(i) for i in range(SIDE)))
-    new = (F.col("j") == 0) | (h(-1) <= inner) | (h(SIDE) < inner)  # the last window's choice has left, or is beaten
-    rows = rows.filter(new).withColumn("fp", F.least(inner, h(SIDE)))
-    return rows.withColumn("at", reduce(lambda found, i: F.when(h(i) == F.col("fp"), F.col("j") + i).otherwise(found), range(SIDE - 1, -1, -1), F.col("j") + SIDE)).drop("hashes", "_first", "j")
+    new = (F.col("j") == 0) | (h(-1) <= inner) | (h(SIDE) < inner)  # the last window's leftmost choice has left, or is beaten
+    return rows.filter(new).withColumn("fp", F.least(inner, h(SIDE)))
 
 
-def context(beyond: str) -> Column:
-    """The k-gram at `at` with SIDE words before and after it; `beyond`, which is no word, stands where the text has none."""
-    return F.array(*(F.coalesce(F.get("words", F.col("at") + i), F.lit(beyond)) for i in range(-SIDE, GRAM + SIDE)))
+def placed(rows: DataFrame, beyond: str) -> DataFrame:
+    """Rows of fingerprints -> `at`, the place of the leftmost k-gram of hash fp, and `own`, its context: the k-gram with SIDE words before and after
+    it in lower case; `beyond`, which is no word, stands where the text has none.
+    """
+    first = F.greatest(F.col("j") - SIDE, F.lit(0))
+    kept = [c for c in rows.columns if c not in ("words", "hashes", "_first", "j")]
+    near = rows.select(*kept, "j", F.slice("hashes", F.col("j") + 1, SIDE + 1).alias("_hashes"), F.slice("words", first + 1, F.col("j") + SPAN + SIDE - first).alias("_near"))
+    at = near.withColumn("at", (F.col("j") + F.array_position("_hashes", F.col("fp")) - 1).cast("int"))
+    own = F.transform(F.sequence(F.col("at") - SIDE, F.col("at") + (GRAM + SIDE - 1)), lambda i: F.coalesce(ascii_lower(F.get("_near", i - first)), F.lit(beyond)))
+    return at.select(*kept, "at", own.alias("own"))
 
 
 def extended(own: Column, other: Column) -> Column:
@@ -74,29 +84,31 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     lo and hi are counted in words; spans of one document may overlap. Rows of equal text and doc_id are one.
     """
+    low = lambda words: F.transform(words, ascii_lower)
     asked = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    grams = fingerprints(asked).select("fp", "item_id", context(" ").alias("key"))
+    grams = placed(fingerprints(asked), " ").select("fp", "item_id", F.col("own").alias("key"))
     whole = asked.filter(F.size("words") < SPAN)
-    short = whole.select(F.xxhash64(F.size("words"), F.xxhash64("words")).alias("fp"), "item_id", F.col("words").alias("key"))
+    short = whole.select(F.xxhash64(low("words")).alias("fp"), "item_id", low("words").alias("key"))
     index = stash(grams.unionByName(short).distinct(), "benchgrams")
     lengths = sorted(r[0] for r in index.filter(F.size("key") < SPAN).select(F.size("key")).distinct().collect())  # under SPAN values
     keys = stash(index.select("fp", "key").distinct(), "benchkeys")
     small = keys.limit(BROADCAST + 1).count() <= BROADCAST
     own = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), words_of(F.col("text")).alias("words"))
 
-    def meet(rows: DataFrame, found: DataFrame, seen: Column) -> DataFrame:
-        """rows(fp, at, words, ..) that meet keys; the words around a place are only taken after the first, small, join."""
-        if small:
-            rows = rows.join(F.broadcast(found.select("fp").distinct()), "fp", "left_semi")
-        return rows.select("doc_id", "text_hash", "fp", "at", seen.alias("own")).join(F.broadcast(found) if small else found, "fp")
+    def listed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(found.select("fp").distinct()), "fp", "left_semi") if small else rows
+
+    def meet(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(found) if small else found, "fp")
 
     long = keys.filter(F.size("key") >= SPAN)
-    met = meet(fingerprints(own), long, context("")).withColumn("x", extended(F.col("own"), F.col("key")))
+    met = meet(placed(listed(fingerprints(own), long), ""), long).withColumn("x", extended(F.col("own"), F.col("key")))
     out = met.filter(F.col("x.left") + F.col("x.right") >= SIDE).select("doc_id", "text_hash", "key", (F.col("at") - F.col("x.left")).alias("lo"), (F.col("at") + GRAM + F.col("x.right")).alias("hi"))
     for n in lengths:
-        rows = own.filter(F.size("words") >= n).select("*", F.posexplode(F.slice("words", 1, F.size("words") - (n - 1))).alias("at", "_word"))
-        rows = rows.withColumn("fp", F.xxhash64(F.lit(n), F.xxhash64(F.slice("words", F.col("at") + 1, n))))
-        same = meet(rows, keys.filter(F.size("key") == n), F.slice("words", F.col("at") + 1, n)).filter("own = key")
+        of_length = keys.filter(F.size("key") == n)
+        rows = own.select("*", F.posexplode(F.slice("words", 1, F.greatest(F.size("words") - (n - 1), F.lit(0)))).alias("at", "_word"))
+        rows = rows.withColumn("own", F.array(*(ascii_lower(F.get("words", F.col("at") + i)) for i in range(n)))).drop("words").withColumn("fp", F.xxhash64("own"))
+        same = meet(listed(rows, of_length), of_length).filter("own = key")
         out = out.unionByName(same.select("doc_id", "text_hash", "key", F.col("at").alias("lo"), (F.col("at") + n).alias("hi")))
     spans = out.groupBy("doc_id", "text_hash", "key", "lo").agg(F.max("hi").alias("hi"))
     found = index.select("key", "item_id").distinct()
@@ -121,6 +133,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     named = named.groupBy(*by).agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     key = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     both = marked.join(named, key(marked, named), "left").select(marked["doc_id"], marked["text_hash"], "n_hit", "item_ids")
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), n_words(F.col("text")).alias("n_words"))
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return rows.join(both, key(rows, both), "left").select(rows["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
