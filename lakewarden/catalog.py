@@ -5,6 +5,7 @@ from __future__ import annotations
 import lakewarden.functions.coercions
 import lakewarden.functions.scalars
 import lakewarden.operators.aggregations
+import lakewarden.operators.hierarchy
 import lakewarden.operators.joins
 import lakewarden.operators.reports
 import lakewarden.operators.rules

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,15 +22,18 @@ def template_hits(rows: DataFrame, rules: Sequence[Rule], tables: dict[str, Data
     """keys, rule, priority, level: the rules whose SQL (their condition, with placeholders for the row's values) returns any row. Each rule is one semi-join for
     all rows, a placeholder being the outer row's column; its SQL is checked like a user's query."""
     spark = rows.sparkSession
-    rows.createOrReplaceTempView("screened_rows")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    own_names = {name: f"rule_{uuid.uuid4().hex}" for name in [*tables, "screened_rows"]}  # views of this call alone
+    for name, df in {**tables, "screened_rows": rows}.items():
+        df.createTempView(own_names[name])
+    seen = ", ".join(f"`{name}` AS (TABLE {own_names[name]})" for name in tables)
     found = []
     for r in rules:
         sql = reduce(lambda s, p: s.replace(p, f"screened_row.{PLACEHOLDERS[p]}"), PLACEHOLDERS, r.condition)
         check_query(spark, sql, list(tables))
-        own = spark.sql(f"SELECT {', '.join(keys)} FROM screened_rows AS screened_row WHERE EXISTS ({sql})")
+        own = spark.sql(f"WITH {seen} SELECT {', '.join(keys)} FROM {own_names['screened_rows']} AS screened_row WHERE EXISTS ({sql})")
         found.append(own.select(*keys, F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.level).alias("level")))
+    for name in own_names.values():
+        spark.catalog.dropTempView(name)
     return reduce(DataFrame.unionByName, found)
 
 

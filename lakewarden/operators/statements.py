@@ -6,22 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewarden.operators.aggregations import mean_sql
+from lakewarden.operators.hierarchy import rollup
+from lakewarden.plans.secure import run_user_query, secured
 from lakewarden.registry import query
 from lakewarden.sources.tables import AS_OF, SQL, accounts, branches, customers, load, total, transactions
 
 
-def rollup_tree(leaves: DataFrame, edges: DataFrame, values: list[str], depth: int = 8) -> DataFrame:
-    """leaves(node, values) and edges(node, parent) -> node and the sums of all leaves under each node, itself included.
-
-    Every leaf is carried up one level at a time, summed by node at each step; a tree of more than `depth` levels is an error, and so is a ring.
-    """
-    every, now = leaves, leaves
-    for _ in range(depth):
-        now = now.join(edges, "node").filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(*(F.sum(v).alias(v) for v in values))
-        every = every.unionByName(now.select(leaves.columns))
-    return every.groupBy("node").agg(*(F.sum(v).alias(v) for v in values))
-
-
 _TREE_SQL = SQL + """, leaf AS (SELECT 'n' || branch_id AS node, count(*) AS n, sum(balance) AS s FROM acct JOIN cust USING (customer_id) GROUP BY 1),
 edge AS (SELECT 'n' || branch_id AS node, 'r' || region_id AS parent FROM branch UNION ALL SELECT 'r' || r_regionkey, 'all' FROM region),
 up AS (SELECT l.node AS top, l.n, l.s FROM leaf l UNION ALL SELECT e.parent, l.n, l.s FROM leaf l JOIN edge e ON e.node = l.node UNION ALL SELECT 'all', n, s FROM leaf)
@@ -34,7 +24,7 @@ def statement_rollup(spark: SparkSession, d: str) -> DataFrame:
     leaves = accounts(spark, d).join(customers(spark, d).select("customer_id", "branch_id"), "customer_id").groupBy(F.concat(F.lit("n"), F.col("branch_id").cast("string")).alias("node")).agg(F.count("*").alias("n"), F.sum("balance").alias("s"))
     b = branches(spark, d).select(F.concat(F.lit("n"), F.col("branch_id").cast("string")).alias("node"), F.concat(F.lit("r"), F.col("region_id").cast("string")).alias("parent"))
     r = load(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit("all").alias("parent"))
-    return rollup_tree(leaves, b.unionByName(r), ["n", "s"], 2).select("node", "n", (-F.col("s")).cast("double").alias("balance"))
+    return rollup(leaves, b.unionByName(r), ["n", "s"]).select("node", "n", (-F.col("s")).cast("double").alias("balance"))
 
 
 @query(SQL + f"""SELECT channel_id AS account, CASE WHEN channel_id % 4 = 0 THEN 'asset' WHEN channel_id % 4 = 1 THEN 'liability' WHEN channel_id % 4 = 2 THEN 'income' ELSE 'expense' END AS class,
@@ -153,8 +143,8 @@ def counts_per_key(spark: SparkSession, d: str) -> DataFrame:
 def kpi(df: DataFrame) -> DataFrame:
     """The value of an indicator's query as text, one row: the first column if the query is one aggregate over all rows, else its number of rows; null is 0."""
     plan = df._jdf.queryExecution().analyzed()
-    while plan.getClass().getSimpleName() in ("Project", "SubqueryAlias", "View", "Sort"):
-        plan = plan.child()
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "SubqueryAlias", "View", "Sort", "WithCTE"):
+        plan = plan.plan() if kind == "WithCTE" else plan.child()
     whole = plan.getClass().getSimpleName() == "Aggregate" and plan.groupingExpressions().isEmpty()
     value = F.coalesce(F.first(df[df.columns[0]]).cast("string"), F.lit("0")) if whole else F.count("*").cast("string")
     return df.agg(value.alias("value"))
@@ -166,8 +156,8 @@ _CARDS = (("open_cases", "SELECT count(*) AS n FROM acct WHERE state = 'O'"), ("
 @query(SQL + "SELECT 1 AS position, 'open_cases' AS card, CAST(count(*) AS VARCHAR) AS value FROM acct WHERE state = 'O' UNION ALL SELECT 2, 'failed', CAST(count(*) AS VARCHAR) FROM acct WHERE state = 'F' UNION ALL SELECT 3, 'none', '0' UNION ALL SELECT 4, 'largest', CAST(max(account_id) AS VARCHAR) FROM acct")
 def kpi_cards(spark: SparkSession, d: str) -> DataFrame:
     """An ordered list of indicators, each from a user's query over a secured view."""
-    accounts(spark, d).createOrReplaceTempView("acct")
-    rows = [kpi(spark.sql(sql)).select(F.lit(i + 1).alias("position"), F.lit(name).alias("card"), "value") for i, (name, sql) in enumerate(_CARDS)]
+    views = {"acct": secured(accounts(spark, d))}
+    rows = [kpi(run_user_query(spark, sql, views)).select(F.lit(i + 1).alias("position"), F.lit(name).alias("card"), "value") for i, (name, sql) in enumerate(_CARDS)]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

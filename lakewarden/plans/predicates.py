@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.operators.hierarchy import below
 from lakewarden.plans.secure import Refused, _each, domain
 from lakewarden.registry import query
 from lakewarden.sources.tables import AS_OF, EVENTS_AS_OF, SQL, accounts, branches, customers, load, transactions
@@ -40,7 +41,9 @@ def where_domain(spark: SparkSession, text: str) -> list:
         if kind == "Not":
             inner = walk(node.child())
             if len(inner) == 1 and inner[0][1] in ("=", "in", "ilike"):
-                return [(inner[0][0], {"=": "!=", "in": "not in", "ilike": "not ilike"}[inner[0][1]], inner[0][2])]
+                field_, op, value = inner[0]
+                negated = (field_, {"=": "!=", "in": "not in", "ilike": "not ilike"}[op], value)
+                return [negated] if value is None else ["&", negated, (field_, "!=", None)]  # a domain's negation keeps nulls, SQL's does not
             return ["!", *inner]
         if kind in _COMPARE:
             op = _COMPARE[kind]
@@ -70,6 +73,8 @@ def where_to_domain(spark: SparkSession, d: str) -> DataFrame:
 
 def with_paths(df: DataFrame, paths: Sequence[str], related: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """df with a column `a.b` for each dotted path: field b of the table that related names for a (table, key), null where a has no row there."""
+    if deep := [p for p in paths if p.count(".") != 1]:
+        raise ValueError(f"no path of two names: {deep[0]}")
     for link in sorted({p.split(".")[0] for p in paths}):
         table, key = related[link]
         own = table.select(F.col(key).alias("_key"), *(F.col(p.split(".")[1]).alias(p) for p in paths if p.split(".")[0] == link)).dropDuplicates(["_key"])
@@ -85,14 +90,10 @@ def dotted_paths(spark: SparkSession, d: str) -> DataFrame:
     return a.filter(domain(terms)).select("account_id")
 
 
-def under(df: DataFrame, field: str, roots: Sequence, edges: DataFrame, depth: int = 8) -> DataFrame:
-    """child_of: rows whose field is one of the roots or lies below one in edges(node, parent)."""
-    found = edges.sparkSession.createDataFrame([(r,) for r in roots], edges.select("node").schema)
-    every = found
-    for _ in range(depth):
-        found = edges.join(found.select(F.col("node").alias("parent")), "parent").select("node").distinct()
-        every = every.unionByName(found)
-    return df.join(every.distinct(), df[field] == every["node"], "left_semi")
+def under(df: DataFrame, field: str, roots: Sequence, edges: DataFrame) -> DataFrame:
+    """child_of: rows whose field is one of the roots or lies below one, at any depth, in edges(node, parent)."""
+    every = below(edges, edges.sparkSession.createDataFrame([(r,) for r in roots], edges.select("node").schema))
+    return df.join(every, df[field] == every["node"], "left_semi")
 
 
 @query(SQL + "SELECT customer_id FROM cust JOIN branch USING (branch_id) WHERE region_id IN (1, 3) OR branch_id = 5")
@@ -100,7 +101,7 @@ def child_of_branch(spark: SparkSession, d: str) -> DataFrame:
     """Customers of branches below two regions, or of one branch. Branches and regions share a tree of texts."""
     b = branches(spark, d).select(F.concat(F.lit("b"), F.col("branch_id").cast("string")).alias("node"), F.concat(F.lit("r"), F.col("region_id").cast("string")).alias("parent"))
     c = customers(spark, d).withColumn("node_id", F.concat(F.lit("b"), F.col("branch_id").cast("string")))
-    return under(c, "node_id", ["r1", "r3", "b5"], b, 1).select("customer_id")
+    return under(c, "node_id", ["r1", "r3", "b5"], b).select("customer_id")
 
 
 #: Origins of customers that reports show.

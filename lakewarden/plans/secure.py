@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,25 @@ from pyspark.sql import functions as F
 from lakewarden.registry import query
 from lakewarden.sources.tables import EVENTS_AS_OF, SQL, accounts, branches, customers, load
 
-#: Functions that no user query may call.
-DENIED_FUNCTIONS = ("pg_sleep", "sleep", "waitfor", "xp_cmdshell", "java_method", "reflect", "try_reflect", "load_file", "benchmark", "input_file_name", "raise_error", "assert_true", "current_user", "session_user")
+#: Functions that a user query may call; any other is refused. None makes rows, long texts or arrays, and none reaches outside the data.
+FUNCTIONS = frozenset(
+    "count count_if sum avg mean min max min_by max_by any_value first last median stddev stddev_pop stddev_samp variance var_pop var_samp bool_and bool_or every some approx_count_distinct corr grouping "
+    "row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value "
+    "lower lcase upper ucase trim ltrim rtrim btrim substring substr left right length char_length character_length octet_length concat concat_ws replace initcap instr position locate split_part translate startswith endswith contains like ilike rlike regexp regexp_like reverse "
+    "abs round bround floor ceil ceiling sqrt power pow mod pmod exp ln log log10 sign signum greatest least isnan "
+    "coalesce ifnull nullif nvl nvl2 if isnull isnotnull "
+    "year month day dayofmonth dayofweek dayofyear weekofyear weekday quarter hour minute second date date_trunc trunc date_add dateadd date_sub datediff date_diff months_between add_months last_day next_day to_date to_timestamp date_format extract date_part make_date "
+    "now current_timestamp current_date localtimestamp curdate int bigint double float string boolean decimal timestamp between struct named_struct".split()
+)
+#: Expressions of a parsed plan that a user query may hold.
+EXPRESSIONS = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedFunction UnresolvedAlias Alias Literal EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual And Or Not IsNull IsNotNull IsUnknown IsNotUnknown In InSubquery Between "
+    "Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Cast CaseWhen Add Subtract Multiply Divide Remainder IntegralDivide UnaryMinus UnaryPositive Concat StringTrim StringTrimLeft StringTrimRight "
+    "SortOrder UnresolvedOrdinal UnresolvedWindowExpression WindowExpression WindowSpecDefinition WindowSpecReference SpecifiedWindowFrame UnspecifiedFrame$ CurrentRow$ UnboundedPreceding$ UnboundedFollowing$ "
+    "ScalarSubquery Exists ListQuery LateralSubquery CreateNamedStruct NamePlaceholder$ UnresolvedExtractValue CurrentDate CurrentTimestamp LocalTimestamp Now Extract".split()
+)
+#: Names that Spark reads as functions where no column has them.
+NAMELESS = ("current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "grouping__id")
 #: Nodes of a parsed plan that a query may have; commands, table functions, transforms, unions and all else are refused.
 PLANS = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation Join LateralJoin UnresolvedWith UnresolvedHaving WithWindowDefinition OneRowRelation UnresolvedInlineTable Except Intersect Pivot UnresolvedHint UnresolvedOrderBy".split())
 QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`", re.S)
@@ -36,16 +54,19 @@ CLOCK = ("now", "current_timestamp", "current_date", "localtimestamp", "curdate"
 
 
 def _check(node, views: set[str] | None, known: frozenset[str], chart: bool) -> None:
-    """Refuse what a parsed node and all below it may not hold. known: names of common table expressions in scope."""
+    """Refuse what a parsed node and all below it may not hold: any plan, expression or function that is not listed. known: names of common table expressions in scope."""
     kind = node.getClass().getSimpleName()
     if kind == "UnresolvedWith":
         for cte in _each(node.cteRelations()):
             _check(cte._2(), views, known, chart)
             known |= {cte._1().lower()}
         return _check(node.child(), views, known, chart)
+    plan = _is_plan(node)
+    if kind not in (PLANS if plan else EXPRESSIONS):
+        raise Refused(f"{kind} is not allowed")
     if kind == "UnresolvedFunction":
         name = [str(x).lower() for x in _each(node.nameParts())]
-        if len(name) > 1 or name[0] in DENIED_FUNCTIONS or chart and name[0] in CLOCK:
+        if len(name) > 1 or name[0] not in FUNCTIONS or chart and name[0] in CLOCK:
             raise Refused(f"function {'.'.join(name)} is not allowed")
     elif kind == "UnresolvedRelation":
         name = [str(x).lower() for x in _each(node.multipartIdentifier())]
@@ -53,16 +74,14 @@ def _check(node, views: set[str] | None, known: frozenset[str], chart: bool) ->
             raise Refused(f"unknown table {'.'.join(name)}")
     elif kind == "UnresolvedAttribute":  # a function that needs no parentheses reads like a column
         name = [str(x).lower() for x in _each(node.nameParts())]
-        if name[0] in ("current_user", "session_user") or chart and name[0] in CLOCK:
+        if len(name) == 1 and (name[0] in NAMELESS or chart and name[0] in CLOCK):
             raise Refused(f"{name[0]} is not allowed")
-    elif kind == "Or" and any(map(_constant, _each(node.children()))):
-        raise Refused("a condition that is always true")
-    elif chart and kind in ("CaseWhen", "CurrentTimestamp", "CurrentDate", "Now"):
+    elif kind == "Or" and any(map(_idle, _each(node.children()))):
+        raise Refused("a condition that lets all rows pass")
+    elif chart and kind in ("CaseWhen", "CurrentTimestamp", "CurrentDate", "LocalTimestamp", "Now"):
         raise Refused(f"{kind} is not allowed in a chart")
     below = _each(node.children())
-    if _is_plan(node):
-        if kind not in PLANS:
-            raise Refused(f"{kind} is not allowed")
+    if plan:
         below += _each(node.expressions())
     elif kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
         below.append(node.plan())
@@ -83,8 +102,18 @@ def _constant(node) -> bool:
     return not kind.startswith("Unresolved") and kind not in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery") and all(map(_constant, _each(node.children())))
 
 
+def _idle(node) -> bool:
+    """Whether a branch of an OR judges no row by a value: a constant, a comparison of a term with itself, or one column equal to another."""
+    kind, below = node.getClass().getSimpleName(), _each(node.children())
+    if kind in ("And", "Or"):
+        return (all if kind == "And" else any)(map(_idle, below))
+    if kind in ("EqualTo", "EqualNullSafe", "LessThanOrEqual", "GreaterThanOrEqual") and below[0].equals(below[1]):
+        return True
+    return _constant(node) or kind in ("EqualTo", "EqualNullSafe") and all(x.getClass().getSimpleName() == "UnresolvedAttribute" for x in below)
+
+
 def check_query(spark: SparkSession, sql: str, views: Sequence[str] | None = None, chart: bool = False, prohibited: Sequence[str] = ()) -> str:
-    """sql if it is a single SELECT over the allowed views, without comments, unions, always-true conditions or denied functions; else Refused.
+    """sql if it is a single SELECT over the allowed views, of listed clauses, expressions and functions alone, without comments, unions and an OR that lets all rows pass; else Refused.
 
     A chart's query may hold no CASE and no clock either; `prohibited` words may stand nowhere outside quotes. What the query holds is read off Spark's parsed plan, so text in quotes, names of columns and common table expressions mislead nothing.
     """
@@ -116,12 +145,18 @@ def secured(df: DataFrame, branch: str | None = None, allowed: Sequence[int] | N
     return df
 
 
-def run_user_query(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
-    """A checked user query over secured views."""
-    text = check_query(spark, sql, list(views))
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+def run_user_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], chart: bool = False, most: int | None = None) -> DataFrame:
+    """A checked user query over secured views, of `most` rows at most if given. Each call has views of its own, so queries that run side by side never see another's."""
+    text = check_query(spark, sql, list(views), chart)
+    own = {name: f"user_{uuid.uuid4().hex}" for name in views}
+    for name, view in own.items():
+        views[name].createTempView(view)
+    try:
+        out = spark.sql(f"WITH {', '.join(f'`{name}` AS (TABLE {view})' for name, view in own.items())} SELECT * FROM (\n{text}\n)" if own else text)
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)
+    return out if most is None else out.limit(most)
 
 
 def period(days: int, today: datetime.date) -> tuple[datetime.date, datetime.date] | None:
