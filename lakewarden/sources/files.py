@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.sources.records import has_spanning, read_lines, read_spanning
 from lakewarden.sources.sheets import read_sheet
 
 SEPARATORS = (",", ";", "\t", "|")
@@ -42,15 +43,17 @@ def sniff_separator(text: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> DataFrame:
     """A file with a header as text columns; malformed lines are dropped, empty fields stay empty texts. Encoding and separator are told from the file's
-    beginning if they are not given. Fields may hold line ends if the beginning has any that do; such a file is not split, as is one in UTF-16."""
+    beginning if they are not given. Fields may hold line ends anywhere: files with any are put together from their lines in parallel. A file in UTF-16 is read whole."""
     head = head_of(spark, path)
     if not head.strip():
         raise ValueError(f"{path} is missing or empty")
     encoding = encoding or sniff_encoding(head)
-    text = head.decode(encoding, "ignore").removeprefix("\ufeff")
-    whole = encoding == "UTF-16" or any(line.count('"') % 2 for line in text.splitlines()[:-1])
-    sep = separator or sniff_separator(text)
-    df = spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", inferSchema=False, encoding=encoding, multiLine=whole, escape='"')
+    sep = separator or sniff_separator(head.decode(encoding, "ignore").removeprefix("\ufeff"))
+    whole = encoding == "UTF-16"
+    if not whole and has_spanning(read_lines(spark, path, encoding), sep):
+        df = read_spanning(spark, path, sep, encoding)
+    else:
+        df = spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", inferSchema=False, encoding=encoding, multiLine=whole, escape='"')
     return df.toDF(*(c.removeprefix("\ufeff") for c in df.columns)).na.fill("")
 
 

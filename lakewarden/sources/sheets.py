@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ def _name(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def xlsx_rows(data: bytes) -> Iterator[list[str | None]]:
-    """The first sheet's rows; a cell is its text, number or truth value as text, null if empty."""
+def xlsx_rows(data: bytes) -> Iterator[tuple[int, list[str | None]]]:
+    """The first sheet's rows with their numbers from 0, as the sheet counts them; a cell is its text, number or truth value as text, null if empty."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared: list[str] = []
@@ -32,9 +33,11 @@ def xlsx_rows(data: bytes) -> Iterator[list[str | None]]:
         sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]), default=None)
         if sheet is None:
             return
+        number = -1
         for _, e in ElementTree.iterparse(z.open(sheet)):
             if _name(e.tag) != "row":
                 continue
+            number = int(e.get("r", number + 2)) - 1
             row: list[str | None] = []
             for c in e:
                 letters = re.match("[A-Z]*", c.get("r", ""))[0]
@@ -52,11 +55,13 @@ def xlsx_rows(data: bytes) -> Iterator[list[str | None]]:
                     value = {"1": "true", "0": "false"}.get(value or "", value)
                 row[-1] = value or None
             e.clear()
-            yield row
+            if any(row):
+                yield number, row
 
 
-def ods_rows(data: bytes) -> Iterator[list[str | None]]:
-    """The first table's rows; repeated cells and rows are written out, but for the empty ones at an end."""
+def ods_rows(data: bytes) -> Iterator[tuple[int, list[str | None]]]:
+    """The first table's rows with their numbers from 0, blank ones counted but left out; repeated cells and rows are written out, but for the empty ones at an end."""
+    number = 0
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for _, e in ElementTree.iterparse(z.open("content.xml")):
             if _name(e.tag) == "table":
@@ -68,23 +73,25 @@ def ods_rows(data: bytes) -> Iterator[list[str | None]]:
             for k, v in e.attrib.items():
                 if _name(k) == "number-rows-repeated":
                     times = int(v)
+            blank = 0
             for c in e:
                 again = next((int(v) for k, v in c.attrib.items() if _name(k) == "number-columns-repeated"), 1)
                 text = "\n".join("".join(p.itertext()) for p in c if _name(p.tag) == "p") or None
-                row += [text] * (again if text else min(again, 1_000))
-            while row and row[-1] is None:
-                row.pop()
+                if text:
+                    row += [None] * blank + [text] * again
+                blank = 0 if text else blank + again
             e.clear()
             if row:
-                for _ in range(times):
-                    yield list(row)
+                for i in range(times):
+                    yield number + i, list(row)
+            number += times
 
 
 READERS = {"xlsx": xlsx_rows, "ods": ods_rows}
 
 
 def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """file, row (from 0), cells (array of text) of all files at path; files of other kinds are an error."""
+    """file, row (from 0, as the sheet counts), cells (array of text) of all files at path, but for blank rows; files of other kinds are an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -92,15 +99,9 @@ def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
                 reader = READERS.get(file.rsplit(".", 1)[-1].lower())
                 if reader is None:
                     raise ValueError(f"{file} is no spreadsheet")
-                held: list[list[str | None]] = []
-                start = 0
-                for row in reader(data):
-                    held.append(row)
-                    if len(held) == BATCH:
-                        yield pd.DataFrame({"file": file, "row": range(start, start + BATCH), "cells": held})
-                        held, start = [], start + BATCH
-                if held:
-                    yield pd.DataFrame({"file": file, "row": range(start, start + len(held)), "cells": held})
+                rows = reader(data)
+                while held := list(itertools.islice(rows, BATCH)):
+                    yield pd.DataFrame({"file": file, "row": [n for n, _ in held], "cells": [cells for _, cells in held]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, cells array<string>")
 

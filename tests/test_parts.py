@@ -231,6 +231,28 @@ def test_csv_forms(spark, tmp_path):
     assert [r[0] for r in files.clean_lines(spark, str(tmp_path / "g.txt")).collect()] == ["a b", "c"]
 
 
+def test_records_that_span_lines(spark, tmp_path):
+    """Quoted line ends far from the beginning, at the edges of splits, with doubled and stray quotes, blank lines and malformed records."""
+    import csv
+    import random
+
+    rng = random.Random(1)
+    texts = ["plain", 'say ""hi""', "two\nlines", 'a\n\n"",""\nb', "", ",", '5" pipe', "x" * 300, "\n", 'ends ""']
+    rows = [[str(i), rng.choice(texts[:1] if i < 800 else texts), rng.choice(texts[:1] if i < 800 else texts)] for i in range(2000)]
+    quoted = lambda t: t if t in ("plain", '5" pipe') or len(t) == 300 else f'"{t}"'
+    body = "".join(",".join([r[0], quoted(r[1]), quoted(r[2])]) + "\n" for r in rows)
+    (tmp_path / "a.csv").write_text("id,p,q\n" + body[: len(body) // 2].rsplit("\n", 1)[0] + body[len(body[: len(body) // 2].rsplit("\n", 1)[0]) :] + "\nbad,1\nbad,1,2,3\n")
+    want = sorted(tuple(r) for r in csv.reader((tmp_path / "a.csv").open(newline=""), doublequote=True) if len(r) == 3 and r[0] != "id")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = files.read_csv(spark, str(tmp_path / "a.csv"))
+            assert df.columns == ["id", "p", "q"] and sorted(map(tuple, df.collect())) == want and len(want) == 2000
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sheets(spark, tmp_path):
     import zipfile
 
@@ -246,11 +268,11 @@ def test_sheets(spark, tmp_path):
     assert read_sheet(spark, str(tmp_path / "a.xlsx"), rows=1).count() == 1 and read_sheet(spark, str(tmp_path / "a.xlsx"), skip=1).columns[1] == "Ann"
     cell = lambda t, n=1: f'<t:table-cell t:number-columns-repeated="{n}">' + (f"<x:p>{t}</x:p>" if t else "") + "</t:table-cell>"
     with zipfile.ZipFile(tmp_path / "b.ods", "w") as z:
-        body = f'<t:table-row>{cell("id")}{cell("v", 2)}{cell("", 900)}</t:table-row><t:table-row t:number-rows-repeated="2">{cell("1")}{cell("")}{cell("z")}</t:table-row><t:table-row t:number-rows-repeated="99999">{cell("", 9)}</t:table-row>'
+        body = f'<t:table-row>{cell("id")}{cell("v", 2)}{cell("", 5000)}{cell("far")}{cell("", 9000)}</t:table-row><t:table-row t:number-rows-repeated="3">{cell("", 4)}</t:table-row><t:table-row t:number-rows-repeated="2">{cell("1")}{cell("")}{cell("z")}</t:table-row><t:table-row t:number-rows-repeated="99999">{cell("", 9)}</t:table-row>'
         z.writestr("content.xml", f'<d xmlns:t="urn:t" xmlns:x="urn:x"><t:table>{body}</t:table><t:table><t:table-row>{cell("other")}</t:table-row></t:table></d>')
     from lakewarden.sources.sheets import sheet_rows
 
-    assert [r.cells for r in sheet_rows(spark, str(tmp_path / "b.ods")).orderBy("row").collect()] == [["id", "v", "v"], ["1", None, "z"], ["1", None, "z"]]
+    assert [(r.row, r.cells) for r in sheet_rows(spark, str(tmp_path / "b.ods")).orderBy("row").collect()] == [(0, ["id", "v", "v", *[None] * 5000, "far"]), (4, ["1", None, "z"]), (5, ["1", None, "z"])]
 
 
 def test_reports(spark, tmp_path):
