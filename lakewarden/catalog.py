@@ -15,6 +15,7 @@ import lakewarden.plans.etl
 import lakewarden.plans.loads
 import lakewarden.plans.predicates
 import lakewarden.plans.secure
+import lakewarden.plans.snippets
 import lakewarden.streaming.alerts  # noqa: F401  modules register their queries
 from lakewarden.registry import ORACLES, QUERIES
 
