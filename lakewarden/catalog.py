@@ -11,6 +11,7 @@ import lakewarden.operators.reports
 import lakewarden.operators.rules
 import lakewarden.operators.screening
 import lakewarden.operators.statements
+import lakewarden.plans.drill
 import lakewarden.plans.etl
 import lakewarden.plans.loads
 import lakewarden.plans.predicates

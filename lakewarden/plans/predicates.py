@@ -72,21 +72,23 @@ def where_to_domain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_paths(df: DataFrame, paths: Sequence[str], related: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """df with a column `a.b` for each dotted path: field b of the table that related names for a (table, key), null where a has no row there."""
-    if deep := [p for p in paths if p.count(".") != 1]:
-        raise ValueError(f"no path of two names: {deep[0]}")
+    """df with a column `a.b` (or `a.b.c`, ..) for each dotted path: field b of the table that related names for a (table, key), null where a has no row there. A table is joined once."""
     for link in sorted({p.split(".")[0] for p in paths}):
+        if link not in related:
+            raise ValueError(f"{link} leads to no table")
         table, key = related[link]
-        own = table.select(F.col(key).alias("_key"), *(F.col(p.split(".")[1]).alias(p) for p in paths if p.split(".")[0] == link)).dropDuplicates(["_key"])
+        inner = sorted({p.split(".", 1)[1] for p in paths if p.split(".")[0] == link})
+        table = with_paths(table, [p for p in inner if "." in p], related)
+        own = table.select(F.col(key).alias("_key"), *(F.col(f"`{p}`").alias(f"{link}.{p}") for p in inner)).dropDuplicates(["_key"])
         df = df.join(own, df[link] == F.col("_key"), "left").drop("_key")
     return df
 
 
 @query(SQL + "SELECT account_id FROM acct JOIN cust USING (customer_id) LEFT JOIN branch USING (branch_id) WHERE sector = 'BUILDING' AND region_id <> 2 OR customer_id < 20")
 def dotted_paths(spark: SparkSession, d: str) -> DataFrame:
-    c = with_paths(customers(spark, d), ["branch_id.region_id"], {"branch_id": (branches(spark, d), "branch_id")}).withColumnRenamed("branch_id.region_id", "region_id")
-    a = with_paths(accounts(spark, d), ["customer_id.sector", "customer_id.region_id"], {"customer_id": (c, "customer_id")})
-    terms = ["|", "&", ("`customer_id.sector`", "=", "BUILDING"), ("`customer_id.region_id`", "!=", 2), ("customer_id", "<", 20)]
+    paths = ["customer_id.sector", "customer_id.branch_id.region_id"]
+    a = with_paths(accounts(spark, d), paths, {"customer_id": (customers(spark, d), "customer_id"), "branch_id": (branches(spark, d), "branch_id")})
+    terms = ["|", "&", ("`customer_id.sector`", "=", "BUILDING"), ("`customer_id.branch_id.region_id`", "!=", 2), ("customer_id", "<", 20)]
     return a.filter(domain(terms)).select("account_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions import coercions, scalars
 from lakewarden.operators import hierarchy, rules, statements
-from lakewarden.plans import etl, loads, predicates, secure
+from lakewarden.plans import drill, etl, loads, predicates, secure
 from lakewarden.sources import files
 from lakewarden.streaming import alerts
 
@@ -169,8 +169,25 @@ def test_where_text(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "i int, s string")
     for text in ("NOT s = 'x'", "s NOT IN ('x')", "NOT s IS NULL", "NOT (s = 'x' OR i = 3)", "s <> 'x'", "NOT s ILIKE 'X'"):  # as SQL judges nulls
         assert df.filter(secure.domain(predicates.where_domain(spark, text))).collect() == df.filter(text).collect(), text
-    with pytest.raises(ValueError, match="two names"):
-        predicates.with_paths(df, ["i.s.t"], {"i": (df, "i")})
+    deep = predicates.with_paths(df, ["i.s", "i.i.s"], {"i": (df.filter("i < 3"), "i")}).orderBy("i")
+    assert [tuple(r)[2:] for r in deep.collect()] == [("x", "x"), (None, None), (None, None)]
+    with pytest.raises(ValueError, match="no table"):
+        predicates.with_paths(df, ["s.t"], {"i": (df, "i")})
+
+
+def test_drill_down(spark):
+    views = {"v": spark.createDataFrame([(1, 2, "x", True), (2, 9, None, False), (3, 2, "y", True)], "id int, w_id int, s string, ok boolean"), "w": spark.createDataFrame([(2, 5), (3, 6)], "id int, n int")}
+    keys = {"v": "id", "w": "id"}
+    ids = lambda sql: (lambda t, rows: (t, sorted(r.id for r in rows.collect())))(*drill.drill_down(spark, sql, views, keys))
+    assert ids("SELECT count(*) FROM v WHERE ok AND s <> 'x'") == ("v", [3])
+    assert ids("SELECT count(*) FROM v JOIN w ON v.w_id = w.id") == ("v", [1, 3]) and ids("SELECT count(*) FROM v LEFT JOIN w ON v.w_id = w.id WHERE n IS NULL") == ("v", [2])
+    assert ids("SELECT count(*) FROM v WHERE NOT s = 'x'") == ("v", [3]) and ids("SELECT s FROM (SELECT s, w_id AS k FROM v) t JOIN (SELECT * FROM w WHERE n > 5 OR n = 5) u ON t.k = u.id") == ("v", [1, 3])
+    assert ids("SELECT a.s, count(*) FROM v a, w b WHERE b.n = 5 AND b.id = a.w_id GROUP BY a.s HAVING count(*) > 9") == ("v", [1, 3])
+    for measure in ("sum(id)", "avg(id)", "1 + min(id)", "max(id) FILTER (WHERE ok)"):
+        assert drill.drill_down(spark, f"SELECT {measure} FROM v WHERE ok", views, keys) is None
+    for odd in ("SELECT count(*) FROM v JOIN w ON v.id = w.n", "SELECT count(*) FROM v, w", "SELECT count(*) FROM v FULL JOIN w ON v.w_id = w.id", "SELECT count(*) FROM v WHERE id + 1 = 2", "SELECT count(*) FROM v WHERE id IN (SELECT id FROM w)"):
+        with pytest.raises(secure.Refused):
+            drill.drill_down(spark, odd, views, keys)
     assert predicates.where_domain(spark, "(a = 1 OR b IS NULL) AND 3 < t.c") == ["&", "|", ("a", "=", 1), ("b", "=", None), ("t.c", ">", 3)]
     with pytest.raises(secure.Refused):
         predicates.where_domain(spark, "a = b")
