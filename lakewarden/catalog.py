@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lakewarden.functions.coercions
+import lakewarden.functions.phrases
 import lakewarden.functions.scalars
 import lakewarden.operators.aggregations
 import lakewarden.operators.hierarchy
