@@ -6,8 +6,11 @@ import lakewarden.functions.coercions
 import lakewarden.functions.phrases
 import lakewarden.functions.scalars
 import lakewarden.operators.aggregations
+import lakewarden.operators.calendars
 import lakewarden.operators.hierarchy
 import lakewarden.operators.joins
+import lakewarden.operators.ranges
+import lakewarden.operators.regulatory
 import lakewarden.operators.reports
 import lakewarden.operators.rules
 import lakewarden.operators.screening

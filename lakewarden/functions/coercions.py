@@ -116,10 +116,9 @@ def priority_and_deadline(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL + "SELECT account_id, list_contains(list(state), 'F') AS any_f, bool_and(quantity > 5) AS all_above, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS q FROM txn GROUP BY 1")
 def array_predicates(spark: SparkSession, d: str) -> DataFrame:
-    """any and all over an array, and its elements as rows again."""
-    a = transactions(spark, d).groupBy("account_id").agg(F.collect_list("state").alias("s"), F.collect_list("quantity").alias("q"))
-    tested = a.select("account_id", F.array_contains("s", "F").alias("any_f"), F.forall("q", lambda x: x > 5).alias("all_above"), F.explode("q").alias("x"))
-    return tested.groupBy("account_id", "any_f", "all_above").agg(F.count("*").alias("n"), F.sum("x").alias("q"))
+    """any and all over the values of a group, as partial aggregates: no group is gathered."""
+    any_, all_ = F.bool_or(F.col("state") == "F").alias("any_f"), F.bool_and(F.col("quantity") > 5).alias("all_above")
+    return transactions(spark, d).groupBy("account_id").agg(any_, all_, F.count("*").alias("n"), F.sum("quantity").alias("q"))
 
 
 @query("SELECT event_id, regexp_full_match(v, '[0-9]+') AS digits, NOT regexp_full_match(v, '[0-9]+') AS no_digits, regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?') AS number, regexp_matches(v, '[^A-Za-z0-9 ]') AS special FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '-' || user_id || '.5' WHEN 2 THEN event_type ELSE event_type || '!' END AS v FROM events)")
@@ -131,10 +130,12 @@ def regex_checks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", v.alias("v")).select("event_id", digits.alias("digits"), (~digits).alias("no_digits"), F.col("v").rlike(r"^-?[0-9]+(\.[0-9]+)?$").alias("number"), F.col("v").rlike("[^A-Za-z0-9 ]").alias("special"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS deep FROM events")
+@query("WITH e AS (SELECT event_id, json_object('a', json_object('b', json_object('c', event_type), 'k', json_extract(props, '$.k')), 'u', user_id) AS j FROM events) SELECT event_id, json_extract_string(j, '$.a.k') AS k, json_extract_string(j, '$.a.b.c') AS deep, json_extract_string(j, '$.a.x.c') AS nowhere FROM e")
 def json_paths(spark: SparkSession, d: str) -> DataFrame:
     """Fields of an entity by dotted path; a path that leads nowhere is null."""
-    return load(spark, d, "events").select("event_id", dotted("props", "k").alias("k"), dotted("props", "k.inner.x").alias("deep"))
+    k = F.get_json_object("props", "$.k").cast("long").alias("k")
+    nested = F.to_json(F.struct(F.struct(F.struct(F.col("event_type").alias("c")).alias("b"), k).alias("a"), F.col("user_id").alias("u")))
+    return load(spark, d, "events").select("event_id", nested.alias("j")).select("event_id", dotted("j", "a.k").alias("k"), dotted("j", "a.b.c").alias("deep"), dotted("j", "a.x.c").alias("nowhere"))
 
 
 def dotted(column: str, path: str) -> Column:
@@ -152,7 +153,7 @@ def exposure(text: Column, name: Column, keywords: dict[str, float], excluded: S
     return F.when(low.contains(F.lower(name)) & ~barred, F.least(total * recency, F.lit(most))).otherwise(0.0)
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), lower(lang)) AND NOT contains(lower(text), 'license') THEN least(round((CASE WHEN contains(lower(text), 'the') THEN 50 ELSE 0 END + CASE WHEN contains(lower(text), 'an') THEN 90 ELSE 0 END) * CASE WHEN doc_id % 500 <= 30 THEN 1.0 WHEN doc_id % 500 <= 90 THEN 0.8 WHEN doc_id % 500 <= 365 THEN 0.6 ELSE 0.4 END::DOUBLE, 4), 100.0)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents WHERE lang IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN contains(lower(text), coalesce(lower(lang), 'die')) AND NOT contains(lower(text), 'license') THEN least(round((CASE WHEN contains(lower(text), 'the') THEN 50 ELSE 0 END + CASE WHEN contains(lower(text), 'an') THEN 90 ELSE 0 END) * CASE WHEN n_chars <= 30 THEN 1.0 WHEN n_chars <= 90 THEN 0.8 WHEN n_chars <= 365 THEN 0.6 ELSE 0.4 END::DOUBLE, 4), 100.0)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
 def media_exposure(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").filter("lang is not null")
-    return docs.select("doc_id", F.round(exposure(F.col("text"), F.col("lang"), {"the": 50.0, "an": 90.0}, ["license"], F.col("doc_id") % 500), 4).alias("score"))
+    docs = load(spark, d, "documents")
+    return docs.select("doc_id", F.round(exposure(F.col("text"), F.coalesce("lang", F.lit("die")), {"the": 50.0, "an": 90.0}, ["license"], F.col("n_chars")), 4).alias("score"))

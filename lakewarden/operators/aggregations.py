@@ -149,11 +149,13 @@ def general_ledger_running(spark: SparkSession, d: str) -> DataFrame:
     x = F.when(F.col("kind") == "D", F.col("amount")).otherwise(-F.col("amount"))
     lines = transactions(spark, d).withColumn("x", x)
     early = F.col("date_created") < F.lit(FROM_DAY).cast("date")
-    opening = lines.filter(early).groupBy("account_id").agg(F.sum("x").alias("opening"))
     late = lines.filter(~early)
-    days = late.groupBy("account_id", "date_created").agg(F.sum("x").alias("day"))
-    before = F.sum("day").over(Window.partitionBy("account_id").orderBy("date_created").rowsBetween(Window.unboundedPreceding, -1))
-    starts = days.join(opening, "account_id", "left").select("account_id", "date_created", (F.coalesce("opening", F.lit(0)) + F.coalesce(before, F.lit(0))).alias("start"))
+    # one sum a day from then on, and one for all days before, of which the opening balance is the first of an account's running sums
+    since = F.when(~early, F.col("date_created"))
+    days = lines.groupBy("account_id", since.alias("date_created")).agg(F.sum("x").alias("day"))
+    before = F.sum("day").over(Window.partitionBy("account_id").orderBy(F.col("date_created").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = days.select("account_id", "date_created", "day", F.coalesce(before, F.lit(0)).alias("start"))
+    opening = days.filter("date_created is null").select("account_id", F.col("day").alias("opening"))
     inside = F.sum("x").over(Window.partitionBy("account_id", "date_created").orderBy("line", "part_id", "channel_id", "x").rowsBetween(Window.unboundedPreceding, 0))
     detail = late.withColumn("inside", inside).join(starts, ["account_id", "date_created"])
     rows = detail.select("account_id", "line", F.lit("line").alias("label"), (F.col("start") + F.col("inside")).cast("double").alias("balance"))

@@ -218,16 +218,6 @@ def log_level_hist(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").filter(day).groupBy(F.col("event_type").alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey FROM orders")
-def surrogate_row_number(spark: SparkSession, d: str) -> DataFrame:
-    """Row numbers by a total order, without one task for all rows: numbers within ranges of the key, plus the totals of earlier ranges."""
-    o = load(spark, d, "orders").select("o_orderkey", F.coalesce(F.expr("o_orderkey div 10000"), F.lit(-1)).alias("range"))
-    sizes = o.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("o_orderkey"))
-    return o.withColumn("i", inside).join(before, "range").select((F.col("before") + F.col("i")).alias("id"), "o_orderkey")
-
-
 @query(SQL + "SELECT account_id, line FROM txn WHERE (kind = 'D' AND amount < -50000) OR (kind = 'C' AND amount > 50000)")
 def ctr_threshold_filter(spark: SparkSession, d: str) -> DataFrame:
     """Currency transaction report: debits below minus the limit, or credits above it."""

@@ -172,3 +172,44 @@ def exact_then_trimmed(spark: SparkSession, d: str) -> DataFrame:
 def pending_age(spark: SparkSession, d: str) -> DataFrame:
     a = accounts(spark, d).filter("state = 'P'")
     return a.select("account_id", F.datediff(F.lit(AS_OF).cast("date"), "opened").alias("age")).filter("age > 0")
+
+
+def merge_matches(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """kept(customer_id, list, match_id, state, reviewed_by) after a run that found(customer_id, list, match_id): one active match for each customer and list.
+
+    A first match is pending; the same one again changes nothing; another takes its place, pending and unreviewed; one not found again stays. Of several
+    found in a run the last by match_id counts.
+    """
+    last = found.groupBy("customer_id", "list").agg(F.max("match_id").alias("_found"))
+    both = kept.join(last, ["customer_id", "list"], "full")
+    stays = F.col("_found").isNull() | F.coalesce(F.col("match_id") == F.col("_found"), F.lit(False))
+    return both.select("customer_id", "list", F.coalesce("_found", "match_id").alias("match_id"), F.when(stays, F.col("state")).otherwise("pending").alias("state"), F.when(stays, F.col("reviewed_by")).alias("reviewed_by"))
+
+
+_RUNS = ("score > 7000", "score > 4000 AND branch_id < 20", "score > 5000 AND branch_id > 3")
+_MATCH = ("customer_id", "customer_id + CASE WHEN customer_id % 2 = 0 THEN 0 ELSE 1 END", "customer_id + CASE WHEN customer_id % 4 < 2 THEN 0 ELSE 1 END")
+_REVIEW = "CASE WHEN state = 'pending' AND customer_id % 3 = 0 THEN 'confirmed' WHEN state = 'pending' AND customer_id % 3 = 1 THEN 'dismissed' ELSE state END"
+
+
+def _merge_sql() -> str:
+    run = lambda i: f"SELECT customer_id, sector AS list, {_MATCH[i]} AS m FROM cust WHERE {_RUNS[i]}"
+    ctes = [f"k0 AS (SELECT customer_id, list, m AS match_id, 'pending' AS state, NULL AS reviewed_by FROM ({run(0)}))"]
+    for i in (1, 2):
+        reviewed = f"SELECT customer_id, list, match_id, {_REVIEW} AS state, CASE WHEN state = 'pending' AND customer_id % 3 < 2 THEN 'officer {i}' ELSE reviewed_by END AS reviewed_by FROM k{i - 1}"
+        same = "f.m IS NULL OR f.m = k.match_id"
+        ctes.append(f"k{i} AS (SELECT coalesce(k.customer_id, f.customer_id) AS customer_id, coalesce(k.list, f.list) AS list, coalesce(f.m, k.match_id) AS match_id, CASE WHEN {same} THEN k.state ELSE 'pending' END AS state, CASE WHEN {same} THEN k.reviewed_by END AS reviewed_by FROM ({reviewed}) k FULL JOIN ({run(i)}) f ON k.customer_id = f.customer_id AND k.list = f.list)")
+    return ", ".join(ctes)
+
+
+@query(SQL + ", " + _merge_sql() + " SELECT * FROM k2")
+def screening_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs of customers against lists, with officers' reviews between them."""
+    c = customers(spark, d)
+    kept = spark.createDataFrame([], "customer_id long, list string, match_id long, state string, reviewed_by string")
+    for i, (on, match) in enumerate(zip(_RUNS, _MATCH)):
+        if i:
+            waiting = F.col("state") == "pending"
+            by = F.when(waiting & (F.col("customer_id") % 3 < 2), f"officer {i}").otherwise(F.col("reviewed_by"))
+            kept = kept.select("customer_id", "list", "match_id", F.expr(_REVIEW).alias("state"), by.alias("reviewed_by"))
+        kept = merge_matches(kept, c.filter(on).select("customer_id", F.col("sector").alias("list"), F.expr(match).alias("match_id")))
+    return kept

@@ -199,15 +199,6 @@ def key_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
     return ends.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "lo", step.alias("s")).select("part", (F.col("lo") + F.col("part") * F.col("s")).alias("lo"), (F.col("lo") + (F.col("part") + 1) * F.col("s")).alias("hi"))
 
 
-@query("""WITH e AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders), r AS (SELECT p AS part, a + p * ceil((b - a + 1) / 8)::BIGINT AS lo, a + (p + 1) * ceil((b - a + 1) / 8)::BIGINT AS hi FROM e, unnest(range(8)) t(p))
-SELECT part::INT AS part, lo, hi, count(o_orderkey) AS n FROM r LEFT JOIN orders ON o_orderkey >= lo AND o_orderkey < hi GROUP BY ALL""")
-def key_range_scan(spark: SparkSession, d: str) -> DataFrame:
-    """A table by eight ranges of its key, with the rows of each: the ranges are few, so they are told to all tasks."""
-    o = load(spark, d, "orders").select("o_orderkey")
-    r = key_ranges(o, "o_orderkey", 8)
-    return F.broadcast(r).join(o, (o["o_orderkey"] >= r["lo"]) & (o["o_orderkey"] < r["hi"]), "left").groupBy("part", "lo", "hi").agg(F.count("o_orderkey").alias("n"))
-
-
 def read_table(spark: SparkSession, url: str, table: str, key: str, ranges: Sequence[tuple[int, int]], **options: str) -> DataFrame:
     """A database table by JDBC, one partition per range of its key; names are quoted as the database's dialect does."""
     marks = {"mysql": "``", "sqlserver": "[]"}.get(url.split(":")[1] if ":" in url else "", '""')
