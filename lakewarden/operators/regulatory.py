@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lakewarden.operators.hierarchy import cut_lineage
 from lakewarden.registry import query
@@ -39,7 +39,7 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 def read_reports(spark: SparkSession, path: str, schema: StructType, xsd: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, what is no valid row as `record`) of written reports; each is checked by the XSD file, which goes to all tasks, if one is given."""
-    reader = spark.read.format("xml").option("rowTag", ROW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").schema(StructType(schema.fields).add("record", StringType()))
+    reader = spark.read.format("xml").option("rowTag", ROW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").schema(StructType([*schema.fields, StructField("record", StringType())]))
     if xsd:
         spark.sparkContext.addFile(xsd)
         reader = reader.option("rowValidationXSDPath", xsd.rsplit("/", 1)[-1])
