@@ -9,6 +9,7 @@ import lakewarden.operators.aggregations
 import lakewarden.operators.calendars
 import lakewarden.operators.hierarchy
 import lakewarden.operators.joins
+import lakewarden.operators.people
 import lakewarden.operators.ranges
 import lakewarden.operators.regulatory
 import lakewarden.operators.reports
@@ -17,6 +18,8 @@ import lakewarden.operators.screening
 import lakewarden.operators.statements
 import lakewarden.plans.drill
 import lakewarden.plans.etl
+import lakewarden.plans.imports
+import lakewarden.plans.journals
 import lakewarden.plans.loads
 import lakewarden.plans.predicates
 import lakewarden.plans.secure

@@ -58,7 +58,7 @@ def slugs_and_ids(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), slug(F.col("p_type")).alias("slug"), identifier(F.col("p_type"), F.lit(" ")).alias("ident"), F.left(F.col("p_name"), F.lit(10)).alias("short"))
 
 
-@query("SELECT event_id, upper(left(event_type, 1)) || lower(substr(event_type, 2)) || ' Of User' AS label FROM events")
+@query("SELECT event_id, array_to_string(list_transform(string_split(event_type || '_of_user', '_'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS label FROM events")
 def column_labels(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", label(F.concat("event_type", F.lit("_of_user"))).alias("label"))
 
@@ -72,13 +72,13 @@ def gender_norm(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), gender(raw).alias("gender"))
 
 
-@query("SELECT c_custkey AS id, '0' || c_custkey || ', +44 ' || c_nationkey AS phones FROM customer")
+@query("WITH r AS (SELECT c_custkey AS id, ', 0' || c_custkey || '^ ,^+44 ' || c_nationkey || ',' AS raw FROM customer) SELECT id, array_to_string(list_filter(list_transform(string_split(replace(raw, '^', ','), ','), lambda x: trim(x)), lambda x: x <> ''), ', ') AS phones FROM r")
 def phone_list(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit(", 0"), F.col("c_custkey").cast("string"), F.lit("^ ,^+44 "), F.col("c_nationkey").cast("string"), F.lit(","))
     return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), phones(raw).alias("phones"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 < 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN event_id % 4 = 2 THEN strftime(ts, '%Y-%m-%d 00:00:00') END AS at, CASE WHEN event_id % 4 < 3 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events")
+@query("WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d') ELSE 'no time' END AS raw FROM events) SELECT event_id, strftime(TRY_CAST(raw AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS at, strftime(TRY_CAST(raw AS TIMESTAMP), '%Y-%m-%d') AS day FROM r")
 def coerced_times(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 4
     raw = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).otherwise("no time")

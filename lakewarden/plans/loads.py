@@ -125,18 +125,18 @@ def bi_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every changed value between two versions: keys, field, old and new value as text, op (insert, update, delete)."""
+    """Every changed value between two versions: keys, field, old and new value as text, op (insert, update, delete). A row that comes or goes tells all its fields, null or not."""
     fields = [c for c in old.columns if c not in keys and c in new.columns]
     packed = lambda df, name: df.select(*keys, F.struct(*(F.col(c).cast("string").alias(c) for c in fields)).alias(name))
     both = packed(old, "_o").join(packed(new, "_n"), list(keys), "full")
     op = F.when(F.col("_o").isNull(), "insert").when(F.col("_n").isNull(), "delete").otherwise("update")
     each = F.array(*(F.struct(F.lit(c).alias("field"), F.col("_o")[c].alias("old_value"), F.col("_n")[c].alias("new_value")) for c in fields))
-    return both.select(*keys, op.alias("op"), F.inline(each)).filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    return both.select(*keys, op.alias("op"), F.inline(each)).filter((F.col("op") != "update") | ~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
 @query(_OLD + """, f AS (SELECT id, old.id IS NULL AS i, src.id IS NULL AS x, old.state AS s0, src.state AS s1, old.product AS p0, src.product AS p1 FROM old FULL JOIN src USING (id)),
 e AS (SELECT id, i, x, 'state' AS field, s0 AS old_value, s1 AS new_value FROM f UNION ALL SELECT id, i, x, 'product', p0, p1 FROM f)
-SELECT id, CASE WHEN i THEN 'insert' WHEN x THEN 'delete' ELSE 'update' END AS op, field, old_value, new_value FROM e WHERE old_value IS DISTINCT FROM new_value""")
+SELECT id, CASE WHEN i THEN 'insert' WHEN x THEN 'delete' ELSE 'update' END AS op, field, old_value, new_value FROM e WHERE i OR x OR old_value IS DISTINCT FROM new_value""")
 def audit_changes(spark: SparkSession, d: str) -> DataFrame:
     return audit(*_old_and_new(spark, d), ["id"])
 

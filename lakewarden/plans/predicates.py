@@ -187,7 +187,7 @@ def in_list(c: Column, email: str, negated: bool = False) -> Column:
     return ~found if negated else found
 
 
-@query("SELECT c_custkey AS id, c_mktsegment = 'BUILDING' OR c_nationkey = 3 AS told, NOT (c_mktsegment = 'BUILDING' OR c_nationkey = 3) AS untold FROM customer")
+@query("WITH r AS (SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN ' Ann@x.org, bob@x.org' END AS t, CASE WHEN c_nationkey = 3 THEN 'carl@x.org ,ann@X.org' ELSE 'joann@x.org' END AS c FROM customer), m AS (SELECT id, coalesce(list_contains(list_transform(string_split(lower(t), ','), lambda x: trim(x)), 'ann@x.org'), false) AS a, coalesce(list_contains(list_transform(string_split(lower(c), ','), lambda x: trim(x)), 'ann@x.org'), false) AS b FROM r) SELECT id, a OR b AS told, NOT a AND NOT b AS untold FROM m")
 def email_membership(spark: SparkSession, d: str) -> DataFrame:
     to = F.when(F.col("c_mktsegment") == "BUILDING", " Ann@x.org, bob@x.org")
     cc = F.when(F.col("c_nationkey") == 3, "carl@x.org ,ann@X.org").otherwise("joann@x.org")
@@ -249,7 +249,7 @@ def preview(df: DataFrame, size: int = 30) -> DataFrame:
     return rows.withColumn("truncated", n > size).orderBy("_i").limit(size).drop("_i")
 
 
-@query(SQL + "SELECT account_id, true AS truncated FROM acct ORDER BY account_id DESC LIMIT 30")
+@query(SQL + "SELECT account_id, (SELECT count(*) FROM (SELECT 1 FROM acct LIMIT 31)) > 30 AS truncated FROM acct ORDER BY account_id DESC LIMIT 30")
 def preview_rows(spark: SparkSession, d: str) -> DataFrame:
     return preview(accounts(spark, d).select("account_id").orderBy(F.desc("account_id")))
 
@@ -267,9 +267,9 @@ def exists_flag(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("customer_id").join(large, "customer_id", "left").select("customer_id", F.coalesce("has_large", F.lit(False)).alias("has_large"))
 
 
-@query(SQL + f"SELECT customer_id FROM cust WHERE score > 5000 EXCEPT SELECT customer_id FROM acct WHERE opened > DATE '{AS_OF}' - 2000")
+@query(SQL + f"SELECT customer_id FROM cust WHERE score > 5000 EXCEPT SELECT customer_id FROM acct WHERE opened > DATE '{AS_OF}' - 500")
 def recordset_difference(spark: SparkSession, d: str) -> DataFrame:
-    recent = accounts(spark, d).filter(F.col("opened") > F.date_sub(F.lit(AS_OF).cast("date"), 2000)).select("customer_id")
+    recent = accounts(spark, d).filter(F.col("opened") > F.date_sub(F.lit(AS_OF).cast("date"), 500)).select("customer_id")
     return customers(spark, d).filter("score > 5000").select("customer_id").subtract(recent)
 
 
