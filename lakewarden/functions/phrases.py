@@ -63,11 +63,13 @@ def highlighted(context: Column, phrase: Column, before: str = "<mark>", after:
     return F.regexp_replace(context, quoted, F.lit(f"{before}$1{after}"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_\x{80}-\x{10FFFF}]+|[^a-zA-Z0-9_\x{80}-\x{10FFFF}]+') AS p FROM documents),
-ph AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+( [A-Za-z]+)?')) AS phrase FROM documents), l AS (SELECT phrase, len(regexp_extract_all(phrase, ' ')) * 2 + 1 AS k FROM ph WHERE phrase <> ''),
-w AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t), c AS (SELECT doc_id, i, k, array_to_string(p[i:i + k - 1], '') AS s FROM w, (SELECT DISTINCT k FROM l) WHERE i + k - 1 <= len(p)),
-f AS (SELECT doc_id, phrase, count(*) AS n, min(i) AS i FROM c JOIN l ON c.k = l.k AND s = phrase GROUP BY ALL)
-SELECT doc_id, phrase, n, CAST(length(array_to_string(p[:i - 1], '')) + 1 AS INTEGER) AS position FROM f JOIN t USING (doc_id)""")
+_PARTS = r"regexp_extract_all(lower(text), '[a-zA-Z0-9_\x{80}-\x{10FFFF}]+|[^a-zA-Z0-9_\x{80}-\x{10FFFF}]+')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_PARTS}) AS w, generate_subscripts({_PARTS}, 1) AS i FROM documents), l AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+( [A-Za-z]+)?')) AS phrase FROM documents),
+x AS (SELECT doc_id, w, w || lead(w) OVER o || lead(w, 2) OVER o AS w3, 1 + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, position, w AS s FROM x UNION ALL SELECT doc_id, position, w3 FROM x WHERE w3 IS NOT NULL)
+SELECT doc_id, phrase, count(*) AS n, CAST(min(position) AS INTEGER) AS position FROM c JOIN l ON s = phrase WHERE phrase <> '' GROUP BY ALL""")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """The beginnings of all documents (a word or two, in Latin letters) as a list of phrases, looked up in all documents."""
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -38,10 +38,10 @@ def txn_by_currency_coalesce(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL + "SELECT branch, p_brand AS product, s_name AS supplier, CAST(sum(amount) AS DOUBLE) AS amount FROM txn JOIN acct USING (account_id) JOIN cust USING (customer_id) JOIN branch USING (branch_id) JOIN part ON part_id = p_partkey JOIN supplier ON channel_id = s_suppkey GROUP BY 1, 2, 3 ORDER BY amount DESC, branch, product, supplier LIMIT 10")
 def top_products_5way(spark: SparkSession, d: str) -> DataFrame:
-    """A star join over five dimensions: lines are summed by account, part and channel before they meet any, and again by branch before they meet the parts."""
+    """A star join over five dimensions: lines meet their accounts, the one shuffle of facts, and are summed by branch, part and channel before they meet anything else."""
     a = accounts(spark, d).select("account_id", "customer_id").join(customers(spark, d).select("customer_id", "branch_id"), "customer_id").select("account_id", "branch_id")
     part = load(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("product"))
-    lines = transactions(spark, d).groupBy("account_id", "part_id", "channel_id").agg(F.sum("amount").alias("amount"))
+    lines = transactions(spark, d).select("account_id", "part_id", "channel_id", "amount")
     by_part = lines.join(a, "account_id").groupBy("branch_id", "part_id", "channel_id").agg(F.sum("amount").alias("amount"))
     sums = by_part.join(part, "part_id").groupBy("branch_id", "product", "channel_id").agg(F.sum("amount").alias("amount"))
     named = sums.join(branches(spark, d), "branch_id").join(load(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("supplier")), "channel_id")

@@ -10,28 +10,82 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.operators.rules import RANK, Rule, hits, screen_names
-from lakewarden.plans.secure import check_query
+from lakewarden.plans.secure import _each, check_query
 from lakewarden.registry import query
-from lakewarden.sources.tables import AS_OF, SQL, accounts, customers, load, transactions
+from lakewarden.sources.tables import AS_OF, SQL, accounts, branches, customers, load, transactions
 
 #: Placeholders of a rule's SQL and the transaction's columns that they stand for.
 PLACEHOLDERS = {"#TRANSACTION_ID#": "id", "#AMOUNT#": "amount", "#ACCOUNT_ID#": "account_id", "#CUSTOMER_ID#": "customer_id", "#TRAN_DATE#": "date_created", "#BRANCH_ID#": "branch_id", "#CURRENCY_ID#": "currency_id"}
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _lookup(spark: SparkSession, sql: str) -> tuple[str, str, tuple[tuple[str, str], ...], str] | None:
+    """(table, alias, (its column, the row's column) pairs, the rest of the condition) of a rule that looks for a row of one table by equalities; None for any other.
+
+    All columns must be qualified, and the select list plain: an aggregate returns a row whatever it finds.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    if _kind(plan) != "Project" or _kind(plan.child()) != "Filter" or any(_kind(x) not in ("Literal", "UnresolvedAttribute", "UnresolvedStar", "UnresolvedAlias", "Alias") or _holds(x, ("UnresolvedFunction",)) for x in _each(plan.projectList())):
+        return None
+    below = plan.child().child()
+    if _kind(below) != "SubqueryAlias" or _kind(below.child()) != "UnresolvedRelation":
+        return None
+    alias, table = str(below.alias()), ".".join(str(x) for x in _each(below.child().multipartIdentifier()))
+    pairs, rest, waiting = [], [], [plan.child().condition()]
+    while waiting:
+        node = waiting.pop()
+        if _kind(node) == "And":
+            waiting += [node.right(), node.left()]
+            continue
+        if _holds(node, ("ScalarSubquery", "Exists", "InSubquery", "ListQuery")) or not _qualified(node):
+            return None
+        sides = [[str(x) for x in _each(n.nameParts())] if _kind(n) == "UnresolvedAttribute" else [] for n in _each(node.children())]
+        if _kind(node) == "EqualTo" and sorted(len(x) for x in sides) == [2, 2] and {sides[0][0], sides[1][0]} == {alias, "screened_row"}:
+            own, outer = sides if sides[0][0] == alias else sides[::-1]
+            pairs.append((own[1], outer[1]))
+        else:
+            rest.append(f"({node.sql()})")
+    return (table, alias, tuple(sorted(pairs)), " AND ".join(rest) or "true") if pairs else None
+
+
+def _holds(node, kinds: Sequence[str]) -> bool:
+    return _kind(node) in kinds or any(_holds(x, kinds) for x in _each(node.children()))
+
+
+def _qualified(node) -> bool:
+    return (_kind(node) != "UnresolvedAttribute" or len(_each(node.nameParts())) == 2) and all(map(_qualified, _each(node.children())))
+
+
 def template_hits(rows: DataFrame, rules: Sequence[Rule], tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """keys, rule, priority, level: the rules whose SQL (their condition, with placeholders for the row's values) returns any row. Each rule is one semi-join for
-    all rows, a placeholder being the outer row's column; its SQL is checked like a user's query."""
+    """keys, rule, priority, level: the rules whose SQL (their condition, with placeholders for the row's values) returns any row; keys tell rows apart.
+
+    A placeholder is the outer row's column, and a rule's SQL is checked like a user's query. Rules that look into one table by the same key are one join, whatever their number; any
+    other rule is a semi-join of its own.
+    """
     spark = rows.sparkSession
     own_names = {name: f"rule_{uuid.uuid4().hex}" for name in [*tables, "screened_rows"]}  # views of this call alone
     for name, df in {**tables, "screened_rows": rows}.items():
         df.createTempView(own_names[name])
     seen = ", ".join(f"`{name}` AS (TABLE {own_names[name]})" for name in tables)
-    found = []
+    found, alike = [], {}
+    told = lambda r: [F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.level).alias("level")]
     for r in rules:
         sql = reduce(lambda s, p: s.replace(p, f"screened_row.{PLACEHOLDERS[p]}"), PLACEHOLDERS, r.condition)
         check_query(spark, sql, list(tables))
-        own = spark.sql(f"WITH {seen} SELECT {', '.join(keys)} FROM {own_names['screened_rows']} AS screened_row WHERE EXISTS ({sql})")
-        found.append(own.select(*keys, F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.level).alias("level")))
+        if (shape := _lookup(spark, sql)) and shape[0] in tables:
+            alike.setdefault(shape[:3], []).append((r, shape[3]))
+        else:
+            own = spark.sql(f"WITH {seen} SELECT {', '.join(keys)} FROM {own_names['screened_rows']} AS screened_row WHERE EXISTS ({sql})")
+            found.append(own.select(*keys, *told(r)))
+    for (table, alias, pairs), group in alike.items():
+        on = reduce(lambda a, b: a & b, (F.col(f"{alias}.{c}") == F.col(f"screened_row.{o}") for c, o in pairs))
+        met = rows.alias("screened_row").join(tables[table].alias(alias), on)
+        flags = met.groupBy(*(F.col(f"screened_row.{k}").alias(k) for k in keys)).agg(*(F.bool_or(F.expr(rest)).alias(f"_h{i}") for i, (_, rest) in enumerate(group)))
+        each = F.array_compact(F.array(*(F.when(F.col(f"_h{i}"), F.struct(*told(r))) for i, (r, _) in enumerate(group))))
+        found.append(flags.select(*keys, F.inline(each)))
     for name in own_names.values():
         spark.catalog.dropTempView(name)
     return reduce(DataFrame.unionByName, found)
@@ -213,3 +267,54 @@ def screening_runs(spark: SparkSession, d: str) -> DataFrame:
             kept = kept.select("customer_id", "list", "match_id", F.expr(_REVIEW).alias("state"), by.alias("reviewed_by"))
         kept = merge_matches(kept, c.filter(on).select("customer_id", F.col("sector").alias("list"), F.expr(match).alias("match_id")))
     return kept
+
+
+_MANY = [Rule(i, i, "low", f"SELECT 1 FROM known_accounts a WHERE a.account_id = #ACCOUNT_ID# AND a.balance * {i} < #AMOUNT# * 10") for i in range(1, 41)] + [Rule(i, i, "high", f"SELECT 1 FROM known_customers c WHERE #CUSTOMER_ID# = c.customer_id AND c.score > {250 * (i - 40)} AND #AMOUNT# > 70000") for i in range(41, 51)]
+
+
+@query(SQL + ", b AS (SELECT t.account_id, line, part_id, channel_id, date_created, amount, balance, score FROM txn t JOIN acct USING (account_id) JOIN cust USING (customer_id)), h AS (SELECT *, " + " + ".join([f"(balance * {i} < amount * 10)::INT" for i in range(1, 41)] + [f"(score > {250 * (i - 40)} AND amount > 70000)::INT" for i in range(41, 51)]) + " AS n FROM b) SELECT n, count(*) AS rows FROM h WHERE n > 0 GROUP BY 1")
+def sql_rules_many(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty SQL rules over two tables, as two joins: how many transactions have how many hits."""
+    keys = ["account_id", "line", "part_id", "channel_id", "date_created"]
+    rows = transactions(spark, d).join(accounts(spark, d).select("account_id", "customer_id"), "account_id")
+    found = template_hits(rows, _MANY, {"known_accounts": accounts(spark, d), "known_customers": customers(spark, d)}, keys)
+    return found.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).groupBy("n").agg(F.count("*").alias("rows"))
+
+
+def plan_scores(people: DataFrame, lines: Sequence[tuple[str, str, str, float, float | None]], tables: dict[str, DataFrame]) -> DataFrame:
+    """customer_id, line, score of people(customer_id) for each plan line (name, sql, kind, score, rating) whose SQL, with %s for the customer, returns a row.
+
+    kind: static gives the line's score, dynamic the first column's value (the largest of several rows; a null counts as no score), risk_assessment the rating of the line's assessment, or
+    its score if there is none. Each line's SQL is checked like a user's query and is one join.
+    """
+    spark = people.sparkSession
+    own_names = {name: f"plan_{uuid.uuid4().hex}" for name in [*tables, "scored_people"]}
+    for name, df in {**tables, "scored_people": people}.items():
+        df.createTempView(own_names[name])
+    seen = ", ".join(f"`{name}` AS (TABLE {own_names[name]})" for name in tables)
+    found = []
+    for name, sql, kind, score, rating in lines:
+        text = sql.replace("%s", "scored_person.customer_id")
+        check_query(spark, text, list(tables))
+        met = spark.sql(f"WITH {seen} SELECT scored_person.customer_id AS _person, plan_row.* FROM {own_names['scored_people']} AS scored_person JOIN LATERAL ({text}) AS plan_row")
+        value = F.max(F.col(met.columns[1]).cast("double")) if kind == "dynamic" else F.lit(float(score if kind == "static" or rating is None else rating))
+        found.append(met.groupBy(F.col("_person").alias("customer_id")).agg(value.alias("score")).filter("score is not null").select("customer_id", F.lit(name).alias("line"), "score"))
+    for name in own_names.values():
+        spark.catalog.dropTempView(name)
+    return reduce(DataFrame.unionByName, found)
+
+
+_LINES = [
+    ("large", "SELECT a.balance / 100000 AS s FROM known_accounts a WHERE a.customer_id = %s AND a.state = 'P'", "dynamic", 1.0, None),
+    ("urgent", "SELECT a.account_id FROM known_accounts a WHERE a.customer_id = %s AND a.product = '1-URGENT' AND a.balance > 300000", "static", 4.5, 9.0),
+    ("assessed", "SELECT b.branch_id FROM known_branches b JOIN known_people p ON p.branch_id = b.branch_id WHERE p.customer_id = %s AND b.region_id = 2", "risk_assessment", 2.0, 7.25),
+    ("unassessed", "SELECT p.customer_id FROM known_people p WHERE p.customer_id = %s AND p.score < 0", "risk_assessment", 3.0, None),
+]
+
+
+@query(SQL + """, l AS (SELECT customer_id, 'large' AS line, CAST(max(balance / 100000) AS DOUBLE) AS score FROM acct WHERE state = 'P' GROUP BY 1 UNION ALL SELECT DISTINCT customer_id, 'urgent', 4.5 FROM acct WHERE product = '1-URGENT' AND balance > 300000
+UNION ALL SELECT customer_id, 'assessed', 7.25 FROM cust JOIN branch USING (branch_id) WHERE region_id = 2 UNION ALL SELECT customer_id, 'unassessed', 3.0 FROM cust WHERE score < 0)
+SELECT l.customer_id, line, round(l.score, 4) AS score FROM l JOIN cust USING (customer_id)""")
+def plan_line_scores(spark: SparkSession, d: str) -> DataFrame:
+    tables = {"known_accounts": accounts(spark, d), "known_people": customers(spark, d), "known_branches": branches(spark, d)}
+    return plan_scores(customers(spark, d).select("customer_id"), _LINES, tables).withColumn("score", F.round("score", 4))

@@ -107,16 +107,34 @@ def refresh_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return refreshed(stored, c.filter("branch_id < 10").groupBy("sector", "branch_id").agg(F.count("*").alias("n")), ["sector", "branch_id"])
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a stored view."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    made = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+    return sorted(v for v in made if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/_SUCCESS")))
+
+
+def stored_view(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of a stored view."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
+
+
 def user_view(spark: SparkSession, name: str, sql: str, views: dict[str, DataFrame], path: str | None = None) -> DataFrame:
-    """A view from a checked user query; with a path it is written there, and read again, until it is refreshed by another call."""
+    """A view from a checked user query. With a path it is stored: each call writes a new version beside the last one, which readers keep until the new one is whole; older ones go."""
     from lakewarden.plans.secure import run_user_query
 
     df = run_user_query(spark, sql, views)
     if path:
-        df.write.mode("overwrite").parquet(path)
-        df = spark.read.schema(df.schema).parquet(path)
+        before = versions(spark, path)
+        df.write.parquet(f"{path}/v={before[-1] + 1 if before else 0}")
+        df = stored_view(spark, path)
+        for v in before[:-1]:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     df.createOrReplaceTempView(name)
-    return spark.table(name)
+    return df
 
 
 @query(SQL + "SELECT sector, count(*) AS x_n, CAST(max(score) AS DOUBLE) AS x_top FROM cust GROUP BY 1")

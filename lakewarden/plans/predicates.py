@@ -292,3 +292,63 @@ def chart(df: DataFrame, x: str | None = None, y: str | None = None, id_: str |
     y = y or next((c for c in others if dict(df.dtypes)[c].startswith(numeric) and not c.endswith("id")), others[0] if others else x)
     id_ = id_ or next((c for c in df.columns if c.endswith("_id")), None)
     return df.select(F.col(x).cast("string").alias("label"), F.coalesce(F.col(y).try_cast("double"), F.lit(0.0)).alias("value"), (F.col(id_) if id_ else F.lit(None)).alias("id"))
+
+
+def column_of(field: str, columns: Sequence[str]) -> str | None:
+    """The column of a result that a configured field means: its last name, exactly, in any case, or as a part of a column's; without `_id` as a column or its beginning; `id` may be branch_id."""
+    name = field.split(".", 1)[-1]
+    low = name.lower()
+    base = low.removesuffix("_id") if low.endswith("_id") else None
+    tests = [lambda c: c == name, lambda c: c.lower() == low, lambda c: low in c.lower(), lambda c: base is not None and c.lower().startswith(base), lambda c: low == "id" and c == "branch_id"]
+    return next((c for t in tests for c in columns if t(c)), None)
+
+
+#: Parts of names of columns that hold a chart's measure.
+MEASURE_NAMES = ("count", "amount", "total", "sum", "value", "risk", "hit")
+
+
+def branch_column(columns: Sequence[str], wanted: str | None = None) -> str | None:
+    """The column by which a result is cut to branches: the wanted one in any case, else branch_id, id or branch, else any with branch in its name."""
+    name = (wanted or "").split(".")[-1]
+    tests = [lambda c: c == name, lambda c: c.lower() == name.lower(), *(lambda c, p=p: c == p for p in ("branch_id", "id", "branch")), lambda c: "branch" in c.lower()]
+    return next((c for t in tests for c in columns if t(c)), None)
+
+
+def sort_column(columns: Sequence[str], wanted: str | None = None) -> str | None:
+    """The column by which a chart is sorted: the wanted one in any case, else the first that is named like a measure."""
+    name = (wanted or "").split(".")[-1]
+    tests = [lambda c: c == name, lambda c: c.lower() == name.lower(), lambda c: any(m in c.lower() for m in MEASURE_NAMES)]
+    return next((c for t in tests for c in columns if t(c)), None)
+
+
+_LIMITS = (("C", 10_000, 60_000, "large credit"), ("D", 20_000, 70_000, "large debit"), ("D", 0, 1_000, "small debit"), ("X", 0, 1, "never"))
+
+
+@query(SQL + f", v(kind, lo, hi, label) AS (VALUES {', '.join(map(str, _LIMITS))}), s AS (SELECT unnest(['O', 'F']) AS state) SELECT label, s.state, count(t.account_id) AS n, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount FROM v CROSS JOIN s LEFT JOIN txn t ON t.kind = v.kind AND t.state = s.state AND amount >= lo AND amount < hi GROUP BY ALL")
+def inline_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits and states given with the call, as relations: each pair with what falls within, also nothing. Facts are tested once against all pairs and summed before the join."""
+    limits = spark.createDataFrame(_LIMITS, "kind string, lo int, hi int, label string")
+    states = F.explode(F.array(F.lit("O"), F.lit("F"))).alias("state")
+    hit = F.array_compact(F.array(*(F.when((F.col("kind") == k) & (F.col("amount") >= lo) & (F.col("amount") < hi), label) for k, lo, hi, label in _LIMITS)))
+    sums = transactions(spark, d).select("state", "amount", F.explode(hit).alias("label")).groupBy("label", "state").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
+    return limits.select("label", states).join(sums, ["label", "state"], "left").select("label", "state", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0)).cast("double").alias("amount"))
+
+
+def search_text(name: Column, aliases: Column, keywords: Column) -> Column:
+    """The query that a news search takes: ("name" OR "alias") AND ("word" OR "word"). aliases is a comma list, keywords an array; null without a name or without keywords."""
+    quoted = lambda a: F.transform(a, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    listed = F.filter(F.transform(F.split(F.coalesce(aliases, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    names = quoted(F.concat(F.array(name), listed))
+    either = F.when(F.size(names) > 1, F.concat(F.lit("("), F.array_join(names, " OR "), F.lit(")"))).otherwise(names[0])
+    return F.when((F.coalesce(name, F.lit("")) != "") & (F.size(F.coalesce(keywords, F.array().cast("array<string>"))) > 0), F.concat(either, F.lit(" AND ("), F.array_join(quoted(keywords), " OR "), F.lit(")")))
+
+
+@query(SQL + """, k AS (SELECT customer_id, list_sort(list_distinct(list(product))) AS words FROM acct WHERE state = 'P' GROUP BY 1), n AS (SELECT customer_id, name, CASE customer_id % 3 WHEN 0 THEN lower(name) || ', ,x' || customer_id WHEN 1 THEN ' ' END AS aliases, coalesce(words, []) AS words FROM cust LEFT JOIN k USING (customer_id)),
+a AS (SELECT *, list_filter(list_transform(string_split(coalesce(aliases, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM n)
+SELECT customer_id, CASE WHEN len(words) > 0 THEN CASE WHEN len(l) > 0 THEN '("' || array_to_string(list_prepend(name, l), '" OR "') || '")' ELSE '"' || name || '"' END || ' AND ("' || array_to_string(words, '" OR "') || '")' END AS search FROM a""")
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    """A news search for each customer, by name, aliases and the products of partial accounts as keywords."""
+    words = accounts(spark, d).filter("state = 'P'").groupBy("customer_id").agg(F.sort_array(F.collect_set("product")).alias("words"))  # products are few
+    n = F.col("customer_id")
+    aliases = F.when(n % 3 == 0, F.concat(F.lower("name"), F.lit(", ,x"), n.cast("string"))).when(n % 3 == 1, " ")
+    return customers(spark, d).join(words, "customer_id", "left").select("customer_id", search_text(F.col("name"), aliases, F.col("words")).alias("search"))

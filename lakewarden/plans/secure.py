@@ -228,3 +228,16 @@ def intersect_branches(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL + "SELECT customer_id FROM cust WHERE score > 9000 UNION SELECT customer_id FROM acct WHERE balance > 400000")
 def union_distinct_ids(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).filter("score > 9000").select("customer_id").union(accounts(spark, d).filter("balance > 400000").select("customer_id")).distinct()
+
+
+@query(SQL + """SELECT x.sector, count(*) AS n, CAST(sum(y.total) AS DOUBLE) AS total FROM (SELECT customer_id AS id, sector FROM cust WHERE branch_id IN (3, 5, 7) AND sector IN ('BUILDING', 'MACHINERY') AND score > 0) x
+JOIN (SELECT customer_id, sum(balance) AS total FROM acct JOIN (SELECT customer_id FROM cust WHERE branch_id IN (3, 5, 7)) USING (customer_id) GROUP BY 1) y ON x.id = y.customer_id GROUP BY 1""")
+def secured_derived(spark: SparkSession, d: str) -> DataFrame:
+    """A user's query that joins derived tables: the filters of origin and branches are in the views, so they reach each of them."""
+    from lakewarden.plans.predicates import of_origins
+
+    people = customers(spark, d).withColumn("origin", F.when(F.col("sector") == "BUILDING", "prod").when(F.col("sector") == "MACHINERY", "demo").otherwise("old"))
+    own = accounts(spark, d).join(customers(spark, d).select("customer_id", "branch_id"), "customer_id")
+    views = {"client": secured(of_origins(people), "branch_id", [3, 5, 7]), "deposit": secured(own, "branch_id", [3, 5, 7])}
+    sql = "SELECT x.sector, count(*) AS n, CAST(sum(y.total) AS DOUBLE) AS total FROM (SELECT customer_id AS id, sector FROM client WHERE score > 0) x JOIN (SELECT customer_id, sum(balance) AS total FROM deposit GROUP BY customer_id) y ON x.id = y.customer_id GROUP BY x.sector"
+    return run_user_query(spark, sql, views)

@@ -106,6 +106,12 @@ def write_report(df: DataFrame, path: str, root: str, row: str) -> None:
     df.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(path)
 
 
+def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
+    """df as CSV files with headers, quoted where needed. A text that a spreadsheet would take for a formula gets a quote before it; nulls are empty, times are in ISO form."""
+    safe = [F.when(F.col(f"`{c}`").rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
+    df.select(*safe).write.csv(path, header=True, sep=separator, escape='"', mode="overwrite", nullValue="", emptyValue='""')
+
+
 def html_table(df: DataFrame, rows: int = 100) -> DataFrame:
     """One row: an HTML table of a message's rows, of which the first `rows` in the order given are shown, with their texts escaped."""
     from lakewarden.functions.scalars import escape_html

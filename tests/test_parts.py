@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.functions import coercions, scalars
-from lakewarden.operators import hierarchy, rules, statements
+from lakewarden.operators import hierarchy, rules, screening, statements
 from lakewarden.plans import drill, etl, loads, predicates, secure
 from lakewarden.sources import files
 from lakewarden.streaming import alerts
@@ -299,6 +299,40 @@ def test_reports(spark, tmp_path):
     assert files.read_xml(spark, str(tmp_path / "r.xml") + "/part-*").count() == 2
 
 
+def test_csv_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b"), (2, '=1+1 "x"'), (3, None), (4, "two\nlines"), (5, "-5")], "id int, s string")
+    files.write_csv(df, str(tmp_path / "out"))
+    got = {r.id: r.s for r in files.read_csv(spark, str(tmp_path / "out") + "/part-*").collect()}
+    assert got == {"1": "a,b", "2": '\'=1+1 "x"', "3": "", "4": "two\nlines", "5": "'-5"}
+
+
+def test_stored_view(spark, tmp_path):
+    """Each refresh is a version of its own; one that is not whole is not read."""
+    path = str(tmp_path / "view")
+    for n in (3, 4, 5):
+        df = loads.user_view(spark, "stored_test", "SELECT count(*) AS n FROM v", {"v": spark.range(n)}, path)
+        assert df.first().n == n == spark.table("stored_test").first().n
+    assert loads.versions(spark, path) == [1, 2]
+    (tmp_path / "view/v=3").mkdir()
+    assert loads.stored_view(spark, path).first().n == 5
+
+
+def test_columns_of_results():
+    have = ["Branch", "customer_name", "branch_id", "Total_Hits"]
+    assert [predicates.column_of(f, have) for f in ("x.branch_id", "BRANCH", "name", "customer_id", "id", "zip")] == ["branch_id", "Branch", "customer_name", "customer_name", "branch_id", None]
+    assert [predicates.branch_column(c, w) for c, w in ((have, "t.BRANCH"), (have, None), (["id", "n"], None), (["sub_branch"], "x"), (["n"], None))] == ["Branch", "branch_id", "id", "sub_branch", None]
+    assert [predicates.sort_column(have, w) for w in ("total_hits", None, "q")] == ["Total_Hits"] * 3 and predicates.sort_column(["a"]) is None
+
+
+def test_rules_of_other_forms(spark):
+    """Rules that are no plain look-up are semi-joins of their own, with the same hits."""
+    rows, t = spark.createDataFrame([(1, 5, 10), (2, 6, 1)], "id int, account_id int, amount int"), spark.createDataFrame([(5, 7), (5, 8), (9, 1)], "account_id int, x int")
+    r = lambda i, sql: rules.Rule(i, i, "low", sql)
+    given = [r(1, "SELECT 1 FROM t a WHERE a.account_id = #ACCOUNT_ID# AND a.x < #AMOUNT#"), r(2, "SELECT 1 FROM t WHERE t.account_id = #ACCOUNT_ID#"), r(3, "SELECT count(*) FROM t a WHERE a.account_id = #ACCOUNT_ID#"), r(4, "SELECT 1 FROM t a WHERE a.x = 1 AND #AMOUNT# < 5"), r(5, "SELECT 1 FROM t a WHERE a.account_id = #ACCOUNT_ID# AND x > 7")]
+    got = sorted((h.id, h.rule) for h in screening.template_hits(rows, given, {"t": t}, ["id"]).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 5), (2, 3), (2, 4)]
+
+
 def test_log_tail(spark, tmp_path):
     src = tmp_path / "logs"
     src.mkdir()
