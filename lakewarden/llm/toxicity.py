@@ -94,7 +94,7 @@ def decode(token: str, model: list[float], spaced: bool = False) -> str:
     A run of one letter may stand for one or two; separators among letters may stand for nothing, and between single letters
     mostly do; a sign may be itself, a letter or nothing. Linear in the token's length.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # a written text is what was last written, after a text
     letters = [i for i, c in enumerate(token) if c.isalpha()] or [0]
     for m in _UNITS.finditer(token.lower()):
         run = m[0]
@@ -110,7 +110,7 @@ def decode(token: str, model: list[float], spaced: bool = False) -> str:
             keep = KEEP_COST[where] + 2.5 * (where == 2 and c in "$@€" or c.isdigit())
             options = [(c, keep), *((x, LEET_COST) for x in LEET.get(c, "")), ("", JOIN_COST if c == "*" and where == 1 else DROP_COST)]
         coded = [(written, extra, [symbol(x) for x in written]) for written, extra in options]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, text) in states.items():
             for written, extra, zs in coded:
                 x, y, total = a, b, cost + extra
@@ -119,9 +119,20 @@ def decode(token: str, model: list[float], spaced: bool = False) -> str:
                         total -= model[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + written)
+                    after[x, y] = (total, (text, written) if written else text)
         states = after
-    return min((cost - (model[(a * SYMBOLS + b) * SYMBOLS] if b else 0), text) for (a, b), (cost, text) in states.items())[1]
+    ends = [(cost - (model[(a * SYMBOLS + b) * SYMBOLS] if b else 0), text) for (a, b), (cost, text) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_written(text) for cost, text in ends if cost == least)
+
+
+def _written(text: tuple) -> str:
+    """The text of a chain of pieces, last first."""
+    pieces = []
+    while text:
+        text, piece = text
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 def undouble(token: str, model: list[float], memo: dict[str, str]) -> str:
@@ -184,12 +195,24 @@ def features(text: str) -> set[str]:
     return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in PREFIXES))
 
 
-def word_evidence(text: str, weight: dict[str, float]) -> list[float]:
-    """P(toxic | feature) of restored text's words that are evidence, each by the strongest of its features, strongest first."""
-    if not weight.keys() & features(text):
-        return []
-    best = (max(weight.get(w, 0.0), *(weight.get(w[:k] + "*", 0.0) for k in PREFIXES if len(w) >= k), 0.0) for w in set(_LETTERS.findall(text.lower())))
-    return sorted((p for p in best if p), reverse=True)
+class Evidence(dict):
+    """P(toxic | feature) of a word, by the strongest of itself and its beginnings (0 if none is evidence), looked up when first asked for; emptied when there are very many."""
+
+    def __init__(self, weight: dict[str, float]):
+        super().__init__()
+        self.weight = weight
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        found = max(self.weight.get(word, 0.0), *(self.weight.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) >= k), 0.0)
+        if len(word) <= 1_000:
+            self[word] = found
+        return found
+
+    def of(self, text: str) -> list[float]:
+        """That of restored text's words that are evidence, strongest first."""
+        return sorted(filter(None, map(self.__getitem__, set(_LETTERS.findall(text.lower())))), reverse=True)
 
 
 def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
@@ -237,14 +260,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("d
     floor = min(base, 0.5) / 2
 
     def start() -> Callable[[list], dict]:
-        weight = weights.value
+        weight = Evidence(weights.value)
         readings = Readings(shared.value.ravel().tolist())
 
         def step(texts: list[str | None]) -> dict:
             restored = [restore(t, readings) if t else "" for t in texts]
             scores, counts = [], []
             for text in restored:
-                hits = word_evidence(text, weight)
+                hits = weight.of(text)
                 scores.append(1 - float(np.prod([1 - p for p in hits])) if hits else floor)
                 counts.append(len(hits))
             return {"score": scores, "n_evidence": counts} | ({"restored": restored} if with_text else {})
