@@ -161,22 +161,34 @@ class Readings(dict):
 
     def __init__(self, model: list[float]):
         super().__init__()
-        self.model, self.near = model, {}
+        self.model, self.near, self.cores = model, {}, {}
 
     def __missing__(self, token: str) -> str:
         if len(self) > 500_000:
             self.clear()
             self.near.clear()
+            self.cores.clear()
         out = token
         if TOKEN.match(token):
-            runs = _DOUBLED.findall(token.lower()) if token.isalpha() and len(token.lower()) == len(token) else []
-            alone = len(runs) == 1 and len(_DOUBLED.search(token.lower())[0]) == 2
-            out = undouble(token, self.model, self.near) if alone else decode(token, self.model)
+            core = token.rstrip(TAIL)  # what ends a token is written as it is, at no cost, so tokens that differ in it alone are read once
+            out = self.read(core) + token[len(core) :] if any(map(str.isalpha, core)) else decode(token, self.model)
         if len(token) <= 1_000:
             self[token] = out
         return out
 
+    def read(self, token: str) -> str:
+        low = token.lower()
+        if low not in self.cores:
+            runs = _DOUBLED.findall(low) if token.isalpha() and len(low) == len(token) else []
+            alone = len(runs) == 1 and len(_DOUBLED.search(low)[0]) == 2
+            out = undouble(token, self.model, self.near) if alone else decode(token, self.model)
+            if len(token) > 1_000:
+                return out
+            self.cores[low] = out
+        return self.cores[low]
+
 
+TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)  #: signs that stand for nothing but themselves behind a word
 _PARTS = re.compile(r"(\s+)")
 
 
