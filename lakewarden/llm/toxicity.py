@@ -190,6 +190,14 @@ class Readings(dict):
 
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)  #: signs that stand for nothing but themselves behind a word
 _PARTS = re.compile(r"(\s+)")
+_LAST: list = []  #: the model of a worker's last task and its readings, which the next task goes on with
+
+
+def readings_of(model: np.ndarray) -> Readings:
+    """The readings under a model (as broadcast: a worker's tasks see one object), made in this or an earlier task of the worker."""
+    if not _LAST or _LAST[0] is not model:
+        _LAST[:] = [model, Readings(model.ravel().tolist())]
+    return _LAST[1]
 
 
 def restore(text: str, readings: Readings) -> str:
@@ -236,7 +244,7 @@ def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int =
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        readings = Readings(shared.value.ravel().tolist())
+        readings = readings_of(shared.value)
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"]):
                 seen[y].update(features(restore(text, readings)))
@@ -273,7 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("d
 
     def start() -> Callable[[list], dict]:
         weight = Evidence(weights.value)
-        readings = Readings(shared.value.ravel().tolist())
+        readings = readings_of(shared.value)
 
         def step(texts: list[str | None]) -> dict:
             restored = [restore(t, readings) if t else "" for t in texts]
