@@ -66,9 +66,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = rows.filter("_n > 0").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("lang", "n_chars")))
     same = rows["doc_id"].eqNullSafe(own["doc_id"]) & rows["source"].eqNullSafe(own["source"]) & (rows["text_hash"] == own["text_hash"]) & (rows["_i"] == own["_i"])
     words = rows.join(own, same).select(rows["doc_id"], "lang", rows["source"], F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("_words"), "_parts")
-    parts = F.transform("_parts", lambda p: F.array_join(F.slice("_words", (p["at"] + 1).cast("int"), p["words"].cast("int")), " "))
-    out = words.withColumn("text", F.array_join(parts, " ")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*COLUMNS)
+    joined = lambda w: F.array_join(F.transform("_parts", lambda p: F.array_join(F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int")), " ")), " ")
+    out = words.withColumn("text", F.transform(F.array("_words"), joined)[0])  # a variable of a lambda, so that a text is split once and not for each part
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
