@@ -156,6 +156,9 @@ def undouble(token: str, model: list[float], memo: dict[str, str]) -> str:
     return token.lower() if memo[key] == "2" else token[: m.start()].lower() + token[m.end() - 1 :].lower()
 
 
+KEPT = 100_000  #: words whose readings, or evidence, a worker keeps between texts: some 40 MB
+
+
 class Readings(dict):
     """The readings of tokens and of the white space between them, made when first asked for; emptied when there are very many."""
 
@@ -164,7 +167,7 @@ class Readings(dict):
         self.model, self.near, self.cores = model, {}, {}
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
             self.near.clear()
             self.cores.clear()
@@ -223,7 +226,7 @@ class Evidence(dict):
         self.weight = weight
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
         found = max(self.weight.get(word, 0.0), *(self.weight.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) >= k), 0.0)
         if len(word) <= 1_000:
