@@ -115,6 +115,9 @@ def running_total(df: DataFrame, group: str, bucket: str, amount: str, out: str)
     return sums.select(group, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).cast("long").alias(out))
 
 
+ROWS = 1_000  #: of a batch that map_column turns into Python objects at a time
+
+
 def map_column(df: DataFrame, keep: Sequence[str], column: str, start: Callable[[], Callable[[list], dict]], out: str) -> DataFrame:
     """The columns `keep` of df as they are, and those named in out: start() gives, once a task, the function from a batch's values of `column` to them."""
     made = StructType.fromDDL(out)
@@ -123,10 +126,12 @@ def map_column(df: DataFrame, keep: Sequence[str], column: str, start: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
-            found = step(batch.column(len(keep)).to_pylist())
-            new = [pa.array(found[f.name], f.type) for f in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, *kinds.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # a batch's values as Python objects take several times its memory
+                batch = whole.slice(at, ROWS)
+                found = step(batch.column(len(keep)).to_pylist())
+                new = [pa.array(found[f.name], f.type) for f in kinds]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, *kinds.names])
 
     return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, schema)
 

@@ -287,12 +287,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("d
         readings = readings_of(shared.value)
 
         def step(texts: list[str | None]) -> dict:
-            restored = [restore(t, readings) if t else "" for t in texts]
-            scores, counts = [], []
-            for text in restored:
+            restored, scores, counts = [], [], []
+            for t in texts:
+                text = restore(t, readings) if t else ""
                 hits = weight.of(text)
                 scores.append(1 - float(np.prod([1 - p for p in hits])) if hits else floor)
                 counts.append(len(hits))
+                if with_text:
+                    restored.append(text)
             return {"score": scores, "n_evidence": counts} | ({"restored": restored} if with_text else {})
 
         return step
