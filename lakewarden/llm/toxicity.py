@@ -156,7 +156,7 @@ def undouble(token: str, model: list[float], memo: dict[str, str]) -> str:
     return token.lower() if memo[key] == "2" else token[: m.start()].lower() + token[m.end() - 1 :].lower()
 
 
-KEPT = 100_000  #: words whose readings, or evidence, a worker keeps between texts: some 40 MB
+KEPT = 500_000  #: words whose readings, or evidence, a worker keeps between texts
 
 
 class Readings(dict):
