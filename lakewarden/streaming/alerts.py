@@ -49,11 +49,11 @@ def alert_last_run(spark: SparkSession, d: str) -> DataFrame:
     return new.select("user_id", "event_type")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-15'")
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15'")
 def except_rows(spark: SparkSession, d: str) -> DataFrame:
-    """What was not seen on the day before."""
+    """What was not seen on any day before."""
     e = load(spark, d, "events")
-    old = e.filter("ts >= timestamp_ntz '2024-01-14' and ts < timestamp_ntz '2024-01-15'").select("user_id", "event_type")
+    old = e.filter("ts < timestamp_ntz '2024-01-15'").select("user_id", "event_type")
     new = e.filter("ts >= timestamp_ntz '2024-01-15'").select("user_id", "event_type")
     seen = old.select(fingerprint(["user_id", "event_type"]).alias("fingerprint")).distinct()
     return unseen(new, seen, ["user_id", "event_type"]).select("user_id", "event_type")
