@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.registry import query
-from lakewarden.sources.tables import SQL, accounts, branches, customers, level, load, total, transactions
+from lakewarden.sources.tables import SQL, accounts, branches, customers, dealt, level, load, parts_for, total, transactions
 
 
 @query(SQL + "SELECT branch, count(*) AS n FROM acct JOIN cust USING (customer_id) JOIN branch USING (branch_id) GROUP BY branch, branch_id ORDER BY n DESC, branch LIMIT 10")
@@ -38,14 +38,16 @@ def txn_by_currency_coalesce(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL + "SELECT branch, p_brand AS product, s_name AS supplier, CAST(sum(amount) AS DOUBLE) AS amount FROM txn JOIN acct USING (account_id) JOIN cust USING (customer_id) JOIN branch USING (branch_id) JOIN part ON part_id = p_partkey JOIN supplier ON channel_id = s_suppkey GROUP BY 1, 2, 3 ORDER BY amount DESC, branch, product, supplier LIMIT 10")
 def top_products_5way(spark: SparkSession, d: str) -> DataFrame:
-    """A star join over five dimensions: lines meet their accounts, the one shuffle of facts, and are summed by branch, part and channel before they meet anything else."""
-    a = accounts(spark, d).select("account_id", "customer_id").join(customers(spark, d).select("customer_id", "branch_id"), "customer_id").select("account_id", "branch_id")
+    """A star join over five dimensions. Lines meet accounts, parts and suppliers dealt to tasks of a bounded number of rows; they are summed where their supplier's other lines are, as few
+    lines share branch, part and channel."""
+    parts, few = parts_for(load(spark, d, "lineitem")), parts_for(load(spark, d, "orders"))
+    a = dealt(accounts(spark, d).select("account_id", "customer_id"), few, "customer_id").join(customers(spark, d).select("customer_id", "branch_id"), "customer_id").select("account_id", "branch_id")
     part = load(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("product"))
-    lines = transactions(spark, d).select("account_id", "part_id", "channel_id", "amount")
-    by_part = lines.join(a, "account_id").groupBy("branch_id", "part_id", "channel_id").agg(F.sum("amount").alias("amount"))
-    sums = by_part.join(part, "part_id").groupBy("branch_id", "product", "channel_id").agg(F.sum("amount").alias("amount"))
-    named = sums.join(branches(spark, d), "branch_id").join(load(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("supplier")), "channel_id")
-    return named.groupBy("branch", "product", "supplier").agg(F.sum("amount").cast("double").alias("amount")).orderBy(F.desc("amount"), "branch", "product", "supplier").limit(10)
+    lines = dealt(transactions(spark, d).select("account_id", "part_id", "channel_id", "amount"), parts, "account_id").join(a, "account_id").select("branch_id", "part_id", "channel_id", "amount")
+    sold = dealt(dealt(lines, parts, "part_id").join(part, "part_id").select("branch_id", "product", "channel_id", "amount"), parts, "channel_id")
+    sums = sold.groupBy("branch_id", "product", "channel_id").agg(F.sum("amount").alias("amount"))
+    named = sums.join(load(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("supplier")), "channel_id").join(F.broadcast(branches(spark, d)), "branch_id")
+    return dealt(named, parts, "branch", "product", "supplier").groupBy("branch", "product", "supplier").agg(F.sum("amount").cast("double").alias("amount")).orderBy(F.desc("amount"), "branch", "product", "supplier").limit(10)
 
 
 @query(SQL + "SELECT count(*) AS n, CAST(sum(score) AS DOUBLE) AS score FROM cust WHERE NOT EXISTS (SELECT 1 FROM acct WHERE acct.customer_id = cust.customer_id)")

@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 AS_OF = "2001-11-05"  #: "today" of orders and lineitem
 EVENTS_AS_OF = "2024-01-31"
+ROWS_IN_TASK = 500_000  #: of a large table that a task joins or groups at a time
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_for(table: DataFrame) -> int:
+    """How many tasks a table's rows are to be dealt to, so that a task's rows do not grow with the table; 0 where Spark's own number is enough. The count reads file footers alone."""
+    parts = -(-table.count() // ROWS_IN_TASK)
+    return parts if parts > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def dealt(df: DataFrame, parts: int, *by: str) -> DataFrame:
+    """df with its rows dealt to so many tasks by columns; df itself for 0."""
+    return df.repartition(parts, *by) if parts else df
+
+
 def money(c) -> F.Column:
     return F.col(c).cast("decimal(18,2)") if isinstance(c, str) else c.cast("decimal(18,2)")
 
