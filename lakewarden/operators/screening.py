@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakewarden.operators.rules import RANK, Rule, hits, screen_names
 from lakewarden.plans.secure import _each, check_query
 from lakewarden.registry import query
-from lakewarden.sources.tables import AS_OF, SQL, accounts, branches, customers, load, transactions
+from lakewarden.sources.tables import AS_OF, SQL, accounts, branches, customers, dealt, load, parts_for, transactions
 
 #: Placeholders of a rule's SQL and the transaction's columns that they stand for.
 PLACEHOLDERS = {"#TRANSACTION_ID#": "id", "#AMOUNT#": "amount", "#ACCOUNT_ID#": "account_id", "#CUSTOMER_ID#": "customer_id", "#TRAN_DATE#": "date_created", "#BRANCH_ID#": "branch_id", "#CURRENCY_ID#": "currency_id"}
@@ -59,36 +59,58 @@ def _qualified(node) -> bool:
     return (_kind(node) != "UnresolvedAttribute" or len(_each(node.nameParts())) == 2) and all(map(_qualified, _each(node.children())))
 
 
-def template_hits(rows: DataFrame, rules: Sequence[Rule], tables: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """keys, rule, priority, level: the rules whose SQL (their condition, with placeholders for the row's values) returns any row; keys tell rows apart.
+BITS = 10  #: rules whose hits are the bits of one number; with more, generated code would be too long to be compiled
+
+
+def hit_lists(rows: DataFrame, rules: Sequence[Rule], tables: dict[str, DataFrame], keys: Sequence[str], parts: int = 0) -> DataFrame:
+    """keys, hits: for rows with any, the rules (rule, priority, level) whose SQL (their condition, with placeholders for the row's values) returns any row; keys tell rows apart.
 
     A placeholder is the outer row's column, and a rule's SQL is checked like a user's query. Rules that look into one table by the same key are one join, whatever their number; any
-    other rule is a semi-join of its own.
+    other rule is a semi-join of its own. Hits are bits until the end, and only rows with any are grouped; parts: tasks that rows are dealt to for each look-up and the grouping, if not Spark's number.
     """
     spark = rows.sparkSession
     own_names = {name: f"rule_{uuid.uuid4().hex}" for name in [*tables, "screened_rows"]}  # views of this call alone
     for name, df in {**tables, "screened_rows": rows}.items():
         df.createTempView(own_names[name])
     seen = ", ".join(f"`{name}` AS (TABLE {own_names[name]})" for name in tables)
+    words = [f"_m{w}" for w in range(-(-len(rules) // BITS))]
+    none, bit = F.lit(0).cast("long"), lambda i: F.lit(1 << i % BITS).cast("long")
+    mask = lambda m, on: reduce(Column.bitwiseOR, (F.when(c, bit(i)).otherwise(none) for i, c in on if words[i // BITS] == m), none).alias(m)
     found, alike = [], {}
-    told = lambda r: [F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.level).alias("level")]
-    for r in rules:
+    for i, r in enumerate(rules):
         sql = reduce(lambda s, p: s.replace(p, f"screened_row.{PLACEHOLDERS[p]}"), PLACEHOLDERS, r.condition)
         check_query(spark, sql, list(tables))
         if (shape := _lookup(spark, sql)) and shape[0] in tables:
-            alike.setdefault(shape[:3], []).append((r, shape[3]))
+            alike.setdefault(shape[:3], []).append((i, shape[3]))
         else:
             own = spark.sql(f"WITH {seen} SELECT {', '.join(keys)} FROM {own_names['screened_rows']} AS screened_row WHERE EXISTS ({sql})")
-            found.append(own.select(*keys, *told(r)))
+            found.append(own.select(*keys, *(mask(m, [(i, F.lit(True))]) for m in words)))
     for (table, alias, pairs), group in alike.items():
         on = reduce(lambda a, b: a & b, (F.col(f"{alias}.{c}") == F.col(f"screened_row.{o}") for c, o in pairs))
-        met = rows.alias("screened_row").join(tables[table].alias(alias), on)
-        flags = met.groupBy(*(F.col(f"screened_row.{k}").alias(k) for k in keys)).agg(*(F.bool_or(F.expr(rest)).alias(f"_h{i}") for i, (_, rest) in enumerate(group)))
-        each = F.array_compact(F.array(*(F.when(F.col(f"_h{i}"), F.struct(*told(r))) for i, (r, _) in enumerate(group))))
-        found.append(flags.select(*keys, F.inline(each)))
+        by = list(dict.fromkeys(o for _, o in pairs))
+        met, tests = dealt(rows, parts, *by).alias("screened_row").join(tables[table].alias(alias), on), [(i, F.expr(rest)) for i, rest in group]
+        if len(tests) <= BITS:
+            met = met.filter(reduce(Column.__or__, (c for _, c in tests)))
+        own = list(dict.fromkeys(words[i // BITS] for i, _ in tests))
+        if parts and not set(by) <= set(keys):
+            met = met.select(*(F.col(f"screened_row.{k}").alias(k) for k in keys), *(mask(m, tests) for m in own))
+            flags = dealt(met, parts, *keys).groupBy(*keys).agg(*(F.bit_or(m).alias(m) for m in own))
+        else:
+            flags = met.groupBy(*(F.col(f"screened_row.{k}").alias(k) for k in keys)).agg(*(F.bit_or(mask(m, tests)).alias(m) for m in own))
+        found.append(flags.filter(" or ".join(f"{m} != 0" for m in own)).select(*keys, *(F.col(m) if m in own else none.alias(m) for m in words)))
     for name in own_names.values():
         spark.catalog.dropTempView(name)
-    return reduce(DataFrame.unionByName, found)
+    every = found[0]
+    if len(found) > 1 or not alike:
+        every = dealt(reduce(DataFrame.unionByName, found), parts, *keys).groupBy(*keys).agg(*(F.bit_or(m).alias(m) for m in words))
+    told = lambda r: F.struct(F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.level).alias("level"))
+    each = F.array_compact(F.array(*(F.when(F.col(words[i // BITS]).bitwiseAND(bit(i)) != 0, told(r)) for i, r in enumerate(rules))))
+    return every.select(*keys, each.alias("hits"))
+
+
+def template_hits(rows: DataFrame, rules: Sequence[Rule], tables: dict[str, DataFrame], keys: Sequence[str], parts: int = 0) -> DataFrame:
+    """keys, rule, priority, level: a row for each hit of hit_lists."""
+    return hit_lists(rows, rules, tables, keys, parts).select(*keys, F.inline("hits"))
 
 
 SQL_RULES = [
@@ -103,9 +125,12 @@ SELECT account_id, line, part_id, channel_id, date_created, CASE WHEN h3 THEN 3
 def sql_rule_hits(spark: SparkSession, d: str) -> DataFrame:
     """Transactions with a hit of a SQL rule: the last by priority, the highest level, and how many there are."""
     keys = ["account_id", "line", "part_id", "channel_id", "date_created"]  # lines have no id of their own
-    found = template_hits(transactions(spark, d), SQL_RULES, {"known_accounts": accounts(spark, d)}, keys)
-    rank = F.element_at(F.create_map(*(x for k, v in RANK.items() for x in (F.lit(k), F.lit(v)))), F.col("level"))
-    return found.groupBy(*keys).agg(F.max_by("rule", F.struct("priority", "rule")).alias("rule_id"), F.max_by("level", rank).alias("level"), F.count("*").cast("int").alias("n_hits"))
+    parts = parts_for(load(spark, d, "lineitem"))
+    found = hit_lists(transactions(spark, d), SQL_RULES, {"known_accounts": accounts(spark, d)}, keys, parts)
+    rank = F.create_map(*(x for k, v in RANK.items() for x in (F.lit(k), F.lit(v))))
+    last = F.array_max(F.transform("hits", lambda h: F.struct(h["priority"].alias("priority"), h["rule"].alias("rule"))))["rule"]
+    highest = F.array_max(F.transform("hits", lambda h: F.struct(F.element_at(rank, h["level"]).alias("rank"), h["level"].alias("level"))))["level"]
+    return found.select(*keys, last.alias("rule_id"), highest.alias("level"), F.size("hits").alias("n_hits"))
 
 
 def pay_lines(rows: DataFrame, rules: Sequence[tuple[str, str, str, Column, Column | None]]) -> DataFrame:
@@ -276,9 +301,10 @@ _MANY = [Rule(i, i, "low", f"SELECT 1 FROM known_accounts a WHERE a.account_id =
 def sql_rules_many(spark: SparkSession, d: str) -> DataFrame:
     """Fifty SQL rules over two tables, as two joins: how many transactions have how many hits."""
     keys = ["account_id", "line", "part_id", "channel_id", "date_created"]
-    rows = transactions(spark, d).join(accounts(spark, d).select("account_id", "customer_id"), "account_id")
-    found = template_hits(rows, _MANY, {"known_accounts": accounts(spark, d), "known_customers": customers(spark, d)}, keys)
-    return found.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).groupBy("n").agg(F.count("*").alias("rows"))
+    parts = parts_for(load(spark, d, "lineitem"))
+    rows = dealt(transactions(spark, d), parts, "account_id").join(accounts(spark, d).select("account_id", "customer_id"), "account_id")
+    found = hit_lists(rows, _MANY, {"known_accounts": accounts(spark, d), "known_customers": customers(spark, d)}, keys, parts)
+    return found.groupBy(F.size("hits").alias("n")).agg(F.count("*").alias("rows"))
 
 
 def plan_scores(people: DataFrame, lines: Sequence[tuple[str, str, str, float, float | None]], tables: dict[str, DataFrame]) -> DataFrame:
