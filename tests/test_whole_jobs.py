@@ -2,7 +2,12 @@
 
 import datetime
 
+import pytest
+
 from lakewarden import catalog
+from lakewarden.sources import tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_except_rows_looks_at_all_days_before(spark, tmp_path):
@@ -12,3 +17,13 @@ def test_except_rows_looks_at_all_days_before(spark, tmp_path):
     spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in catalog.queries()["except_rows"](spark, str(tmp_path)).collect()] == [(3, "click")]
     assert "2024-01-14" not in catalog.oracle_sql()["except_rows"]
+
+
+@pytest.mark.parametrize("name", ["sql_rules_many", "sql_rule_hits", "top_products_5way"])
+def test_rows_are_dealt_to_bounded_tasks(spark, monkeypatch, name):
+    """Tables of more rows than a task should hold are dealt to more tasks, with the same result."""
+    few = sorted(map(tuple, catalog.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(tables, "ROWS_IN_TASK", 500)
+    df = catalog.queries()[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    assert sorted(map(tuple, df.collect())) == few
