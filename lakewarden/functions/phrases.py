@@ -1,11 +1,16 @@
-"""Large lists of phrases over texts in one pass: runs of words with what stands between them meet the list by their hash.
+"""Large lists of phrases over texts in one pass: runs of words with what stands between them are told by a filter of the list's hashes, then meet the list itself.
 
 A text is words and gaps in turn. A phrase of n words is found where n words and the gaps between them are its own, in any case; that is a match with
 word boundaries at both ends. The list's phrases are grouped by their number of words, so each place of a text asks once for each length, not once for each phrase.
+Hashes of runs are differences of a sum over a text's bytes; hits are added up within a text, so what is shuffled is a row for each text and phrase.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +19,10 @@ from lakewarden.sources.tables import load
 
 AROUND = 100  #: characters of context on either side
 BROADCAST = 200_000  #: phrases that are broadcast; a longer list is joined by a shuffle
-BLOCK = 64  #: words and gaps of a text between two places whose distance from the beginning is known
+ROWS = 200  #: texts looked through at a time
+FILTER_BITS = 1 << 26  #: of the list's filter: 8 MB for any list; a fuller one lets more pass, which the join removes
 MOST_WORDS = 12  #: of a phrase; one of more is an error
+_P, _BYTE = 0x2545F4914F6CDD1D, np.random.default_rng(7).integers(1, 2**64, 256, np.uint64)
 
 
 def parts_of(text: Column) -> Column:
@@ -24,37 +31,103 @@ def parts_of(text: Column) -> Column:
     return F.when(text.rlike(r"(?U)^\W"), F.concat(F.array(F.lit("")), found)).otherwise(found)
 
 
-def find_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """texts(id, text) and phrases(phrase) -> id, phrase, n (hits), position (of the first, from 1) and context: the first hit with AROUND characters on either side.
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings in a row, and where each begins (and the last ends)."""
+    if not len(strings):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = strings.buffers()
+    at = np.frombuffer(at, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over data up to each place, and what their differences are multiplied by so that equal runs are alike."""
+    power, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(data), x, np.uint64)))) for x in (_P, pow(_P, -1, 2**64)))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:-1]))), back
+
+
+def _places(sums: np.ndarray, back: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The filter's bits for runs of bytes."""
+    h = (sums[last] - sums[first]) * back[first]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _list_filter(listed: DataFrame) -> np.ndarray:
+    """listed(low) as FILTER_BITS bits in bytes; the driver gets FILTER_BITS / 64 words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = _bytes(b.column(0))
+            yield pa.record_batch({"place": _places(*_hashes(data), at[:-1], at[1:])})
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    got = listed.select("low").mapInArrow(run, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def find_phrases(texts: DataFrame, phrases: DataFrame, with_context: bool = True) -> DataFrame:
+    """texts(id, text) and phrases(phrase) -> id, phrase, n (hits), position (of the first, from 1) and context: the first hit with AROUND characters on either side (null if not asked for).
 
     Case does not count. A phrase begins and ends with a word character; blank ones and repeated ones are left out, any other is an error. Hits of one phrase
     may overlap. Rows of one id are one text each, but their hits are added up: ids should be unique. Null texts have no hits.
     """
     spark = texts.sparkSession
     asked = phrases.select(F.trim("phrase").alias("phrase")).filter("phrase <> ''").distinct().withColumn("_parts", F.transform(parts_of(F.col("phrase")), lambda p: F.lower(p)))
-    bad = (F.size("_parts") % 2 == 0) | (F.size("_parts") >= 2 * MOST_WORDS) | (F.col("_parts")[0] == "")
-    listed = asked.withColumn("_parts", F.when(bad, F.raise_error(F.concat(F.lit("no phrase of words: "), F.col("phrase")))).otherwise(F.col("_parts"))).withColumn("_key", F.xxhash64("_parts"))
-    sizes = sorted(r[0] for r in listed.select(F.size("_parts")).distinct().collect())  # MOST_WORDS values at most
+    bad = (F.col("phrase") != "") & ((F.size("_parts") % 2 == 0) | (F.size("_parts") >= 2 * MOST_WORDS) | (F.get("_parts", F.lit(0)) == ""))  # a join may ask before blank ones are left out
+    listed = asked.withColumn("_parts", F.when(bad, F.raise_error(F.concat(F.lit("no phrase of words: "), F.col("phrase")))).otherwise(F.col("_parts")))
+    listed = listed.select("phrase", F.size("_parts").alias("parts"), F.array_join("_parts", "").alias("low"))
+    sizes = sorted(r[0] for r in listed.select("parts").distinct().collect())  # MOST_WORDS values at most
     if not sizes:
         return spark.createDataFrame([], f"id {texts.schema['id'].dataType.simpleString()}, phrase string, n long, position int, context string")
     small = listed.limit(BROADCAST + 1).count() <= BROADCAST
-    own = texts.select("id", "text", parts_of(F.col("text")).alias("_all")).withColumn("_low", F.transform("_all", lambda p: F.lower(p)))
-    lengths_ = F.transform(F.sequence(F.lit(0), (F.size("_all") / BLOCK).cast("int")), lambda b: F.length(F.array_join(F.slice("_all", b * BLOCK + 1, BLOCK), "")))
-    own = own.withColumn("_bases", F.aggregate(lengths_, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))))
-    at = own.select("*", F.posexplode("_low").alias("_i", "_word")).filter("_i % 2 = 0 and _word <> ''")
-    keys = F.array(*(F.when(F.col("_i") + n <= F.size("_low"), F.xxhash64(F.slice("_low", F.col("_i") + 1, n))) for n in sizes))
-    asking = at.select("*", F.posexplode(keys).alias("_k", "_key")).filter("_key is not null")
-    if small:  # few places pass, and only these cost more
-        asking = asking.join(F.broadcast(listed.select("_key").distinct()), "_key", "left_semi")
-    lengths = F.array(*map(F.lit, sizes))
-    rest = F.col("_i") % BLOCK
-    before = F.get("_bases", (F.col("_i") / BLOCK).cast("int")) + F.length(F.array_join(F.slice("_all", F.col("_i") - rest + 1, rest), "")) + 1
-    near = asking.select("id", "_key", F.slice("_low", F.col("_i") + 1, F.get(lengths, F.col("_k"))).alias("_own"), before.alias("position"), "text")
-    near = near.withColumn("_length", F.length(F.array_join("_own", "")))
-    start = F.greatest(F.col("position") - AROUND, F.lit(1))
-    near = near.select("id", "_key", "_own", "position", F.substring("text", start, F.col("position") + F.col("_length") + AROUND - start).alias("context"))
-    found = near.join(F.broadcast(listed) if small else listed, "_key").filter("_own = _parts")
-    return found.groupBy("id", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("position", "context")).alias("_f")).select("id", "phrase", "n", "_f.position", "_f.context")
+    shared = spark.sparkContext.broadcast(_list_filter(listed))
+
+    def look(b: pa.RecordBatch) -> pa.RecordBatch:
+        bits, low = shared.value, b.column(1)
+        data, at = _bytes(low.flatten())
+        count = low.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(of)) - begin[of]  # of a part in its text
+        length = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(length) - length
+        position = before - before[begin[of]] + 1 if len(of) else before
+        word = (place % 2 == 0) & (at[1:] > at[:-1])
+        sums, back = _hashes(data)
+        raw, found = data.tobytes(), {}
+        for n in sizes:
+            start = np.flatnonzero(word & (place + n <= count[of]))
+            first, last = at[start], at[start + n]
+            bit = _places(sums, back, first, last)
+            hit = np.flatnonzero((bits[bit >> 6] >> (bit & 63)) & 1)
+            for doc, lo, hi, p in zip(of[start[hit]].tolist(), first[hit].tolist(), last[hit].tolist(), position[start[hit]].tolist()):
+                key = (doc, n, raw[lo:hi])
+                if key in found:
+                    found[key][0] += 1
+                else:
+                    found[key] = [1, p]
+        docs, parts, lows = zip(*found) if found else ((), (), ())
+        hits, at_ = zip(*found.values()) if found else ((), ())
+        lows, around = [x.decode() for x in lows], [None] * len(docs)
+        if with_context:
+            texts_ = b.column(3).to_pylist()
+            around = [texts_[d][max(p - 1 - AROUND, 0) : p - 1 + len(x) + AROUND] for d, p, x in zip(docs, at_, lows)]
+        own = [b.column(0).take(pa.array(docs, pa.int64())), pa.array(lows, pa.string()), pa.array(parts, pa.int32()), pa.array(hits, pa.int64()), pa.array(at_, pa.int32()), pa.array(around, pa.string())]
+        return pa.RecordBatch.from_arrays(own, ["id", "low", "parts", "n", "position", "context"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                yield look(whole.slice(i, ROWS))
+
+    own = texts.select("id", "text", parts_of(F.col("text")).alias("_all"))
+    own = own.select("id", F.transform("_all", lambda p: F.lower(p)).alias("_low"), F.transform("_all", lambda p: F.length(p)).alias("_length"), *["text"] * with_context)
+    near = own.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, low string, parts int, n long, position int, context string")
+    found = near.join(F.broadcast(listed) if small else listed, ["low", "parts"])
+    return found.groupBy("id", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("position", "context")).alias("_f")).select("id", "phrase", "n", "_f.position", "_f.context")
 
 
 def highlighted(context: Column, phrase: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
@@ -74,4 +147,4 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """The beginnings of all documents (a word or two, in Latin letters) as a list of phrases, looked up in all documents."""
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     listed = docs.select(F.lower(F.regexp_extract("text", "^[A-Za-z]+( [A-Za-z]+)?", 0)).alias("phrase")).filter("phrase <> ''").distinct()
-    return find_phrases(docs, listed).select(F.col("id").alias("doc_id"), "phrase", "n", "position")
+    return find_phrases(docs, listed, with_context=False).select(F.col("id").alias("doc_id"), "phrase", "n", "position")

@@ -2,9 +2,11 @@
 
 import datetime
 
+import numpy as np
 import pytest
 
 from lakewarden import catalog
+from lakewarden.functions import phrases
 from lakewarden.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,12 @@ def test_rows_are_dealt_to_bounded_tasks(spark, monkeypatch, name):
     df = catalog.queries()[name](spark, SF)
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
     assert sorted(map(tuple, df.collect())) == few
+
+
+def test_phrases_send_a_row_for_each_text_and_phrase(spark, monkeypatch):
+    """No row is made for a place of a text; a filter that lets everything pass changes nothing; texts of one id are added up."""
+    monkeypatch.setattr(phrases, "_list_filter", lambda listed: np.full(phrases.FILTER_BITS // 64, -1))
+    texts = spark.createDataFrame([(1, "Ab cd, ab CD " * 5_000), (1, "ab cd"), (2, "İ ab  cd é"), (None, "é é")], "id int, text string")
+    df = phrases.find_phrases(texts, spark.createDataFrame([("AB cd",), ("é",), ("ab",)], "phrase string"))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((tuple(r)[:4] for r in df.collect()), key=repr) == sorted([(None, "é", 2, 1), (1, "AB cd", 10_001, 1), (1, "ab", 10_001, 1), (2, "ab", 1, 3), (2, "é", 1, 10)], key=repr)
