@@ -196,10 +196,15 @@ def join_keys(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray | None = None
     return _texts(docs).mapInPandas(run, "band int, key long, s0 long, s1 long, n long").select("band", "key", _sid(), "n")
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, h (the set), sketches (by band) of the classes in wanted(sid)."""
+def candidate_sets(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
+    """sid, n, h (the set), sketches (by band) of the classes in wanted(sid). Only texts that may be of one of them (the least by hash, by first(th, sid, met)) are cut again."""
+    texts = first.filter("met = 0").join(broadcast_if_small(wanted, BROADCAST), "sid", "left_semi").groupBy("sid").agg(F.min("th").alias("th"))
+    shared = docs.sparkSession.sparkContext.broadcast(membership(texts, "th"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        bits = shared.value
+        for whole in batches:
+            pdf = whole[may_hold(bits, whole["th"].to_numpy(np.int64).view(np.uint64))]
             for _, sets in _sets(pdf):
                 own = [h for h in sets if len(h)]
                 if not own:
@@ -207,7 +212,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 s0, s1 = zip(*map(fingerprint, own))
                 yield pd.DataFrame({"s0": s0, "s1": s1, "n": [len(h) for h in own], "h": [h.view(np.int64) for h in own], "sketches": [{b: sketch(h, b) for b in bands(len(h))} for h in own]})
 
-    sets = _texts(docs).mapInPandas(run, "s0 long, s1 long, n long, h array<bigint>, sketches map<int,array<bigint>>")
+    sets = docs.select(text_hash(F.col("text")).alias("th"), "text").mapInPandas(run, "s0 long, s1 long, n long, h array<bigint>, sketches map<int,array<bigint>>")
     return sets.select(_sid(), "n", "h", "sketches").join(broadcast_if_small(wanted, BROADCAST), "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "h", "sketches")))
 
 
@@ -221,12 +226,8 @@ def _hamming_fits(s1: str, s2: str, n1: str, n2: str) -> Column:
     return distance * (100 + PERCENT) <= (F.col(n1) + F.col(n2)) * (100 - PERCENT)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs(a, b, band), the distinct (a, b) that are similar."""
-    one, two = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketches").alias(f"k_{s}")) for s in "ab")
-    first = pairs.join(one, "a").join(two, "b").withColumn("s_a", F.col("k_a")[F.col("band")]).withColumn("s_b", F.col("k_b")[F.col("band")])
-    close = stash(first.filter(_near(F.col("n_a"), F.col("n_b")) & _hamming_fits("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct(), "close")
-    # few sets of all are in close pairs, and those alone are shuffled
+def _similar(close: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs(a, b), those that are similar. Few sets of all are in pairs, and those alone are shuffled."""
     wanted = broadcast_if_small(close.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), BROADCAST)
     own = sets.select("sid", "n", "h").join(wanted, "sid", "left_semi")
     one, two = (own.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("h").alias(f"h_{s}")) for s in "ab")
@@ -234,6 +235,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return close.join(one, "a").join(two, "b").filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select("a", "b")
 
 
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs(a, b, band), distinct (a, b) that are similar, enough of them to connect all that the similar ones connect.
+
+    Each set is tried against the least of its partners first. What that puts under one set, within four steps, is connected; only the other pairs are tried after it.
+    """
+    one, two = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketches").alias(f"k_{s}")) for s in "ab")
+    near = pairs.join(one, "a").join(two, "b").withColumn("s_a", F.col("k_a")[F.col("band")]).withColumn("s_b", F.col("k_b")[F.col("band")])
+    close = stash(near.filter(_near(F.col("n_a"), F.col("n_b")) & _hamming_fits("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct(), "close")
+    tried = stash(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
+    first = stash(_similar(tried, sets), "linked")
+    step = lambda t, up: t.join(up.select(F.col("b").alias("a"), F.col("a").alias("_up")), "a", "left").select("b", F.coalesce("_up", "a").alias("a"))
+    twice = stash(step(first, first), "under")
+    under = stash(step(twice, twice), "under")
+    rest = close
+    for c in "ab":
+        rest = rest.join(under.select(F.col("b").alias(c), F.col("a").alias(f"_{c}")), c, "left")
+    rest = stash(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).join(tried, ["a", "b"], "left_anti").select("a", "b"), "others")
+    return first.unionByName(_similar(rest, sets))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> node, comp: the smallest node that each can reach, by large-star and small-star steps until all are stars."""
     now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
@@ -257,21 +278,22 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "band").distinct()
 
 
-def component_of_classes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """node, comp: for each class that is similar to another, the smallest class that it can reach. hot: common keys, which come last.
+def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """node, comp: for each class that is similar to another, the smallest class that it can reach. first: that of first_pass.
 
     A key's leaders are tried against all its members, which settles small groups and those of near copies. What is left of a key, where it is of
     several components, is joined with itself, less pairs of one component, of unfit sizes or of distant sketches.
     """
+    hot = common_keys(first)
     pairs = join_keys(docs, hot).select("key", F.col("sid.s0").alias("s"))
     shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
     rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
-    sets = stash(candidate_sets(docs, rows.select("sid").distinct()), "sets")
+    sets = stash(candidate_sets(docs, rows.select("sid").distinct(), first), "sets")
     chosen = F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(BIG_LEADERS)))
     leaders = rows.groupBy("key").agg(F.count("*").alias("m"), chosen.alias("all")).select("key", F.array_distinct(F.when(F.col("m") > BIG, F.col("all")).otherwise(F.slice("all", 1, LEADERS))).alias("leaders"))
     led = stash(rows.join(leaders, "key"), "led")
     star = led.select("sid", "n", "band", F.explode("leaders").alias("l")).filter((F.col("sid") != F.col("l.sid")) & _near(F.col("n"), F.col("l.n")))
-    comp = stash(components(verified(_pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band")), sets)), "comp")
+    comp = stash(components(linked(_pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band")), sets)), "comp")
     followers = led.filter(~F.exists("leaders", lambda x: x["sid"] == F.col("sid"))).select("key", "band", "sid", "n")
     placed = followers.join(comp, followers["sid"] == comp["node"], "left").select("key", "band", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
     open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
@@ -281,7 +303,7 @@ def component_of_classes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "s"))) for t in "xy")
     fits = (F.col("comp_x") < F.col("comp_y")) & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y")
     cross = one.join(two.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"), F.col("band_x").alias("band"))
-    late = verified(_pairs(cross), sets)
+    late = linked(_pairs(cross), sets)
     for c in "ab":  # between components, so the second graph is small
         late = late.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(c, F.coalesce(f"c_{c}", c)).drop(f"c_{c}")
     more = components(late).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
@@ -298,7 +320,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     place = mark()
     first = stash(first_pass(docs), "setids")
     ids = first.filter("met = 0").select("doc_id", "th", "n", "sid")
-    comp = component_of_classes(docs, common_keys(first))
+    comp = component_of_classes(docs, first)
     least = ids.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least")).join(comp, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("comp", "sid").alias("comp"))
     least = stash(least, "classes")
     drop_since(place, first, least)
