@@ -15,9 +15,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts_for(table: DataFrame) -> int:
-    """How many tasks a table's rows are to be dealt to, so that a task's rows do not grow with the table; 0 where Spark's own number is enough. The count reads file footers alone."""
+    """How many tasks a table's rows are to be dealt to, so that a task's rows do not grow with the table; 0 where one task may hold them all. The count reads file footers alone.
+
+    Spark's own number is no measure: with a fixed one a task's rows grow with the table until they are too many.
+    """
     parts = -(-table.count() // ROWS_IN_TASK)
-    return parts if parts > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    return max(parts, table.sparkSession.sparkContext.defaultParallelism) if parts > 1 else 0
 
 
 def dealt(df: DataFrame, parts: int, *by: str) -> DataFrame:

@@ -31,6 +31,21 @@ def test_rows_are_dealt_to_bounded_tasks(spark, monkeypatch, name):
     assert sorted(map(tuple, df.collect())) == few
 
 
+def test_rows_are_dealt_below_sparks_own_number(spark, monkeypatch):
+    """What a task holds does not hang on Spark's number of shuffle partitions, whether that is above or below the tasks that rows are dealt to."""
+    lines = tables.load(spark, SF, "lineitem")
+    monkeypatch.setattr(tables, "ROWS_IN_TASK", -(-lines.count() // 12))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for own in ("4", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+        try:
+            assert tables.parts_for(lines) == 12
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    monkeypatch.setattr(tables, "ROWS_IN_TASK", lines.count())
+    assert tables.parts_for(lines) == 0
+
+
 def test_phrases_send_a_row_for_each_text_and_phrase(spark, monkeypatch):
     """No row is made for a place of a text; a filter that lets everything pass changes nothing; texts of one id are added up."""
     monkeypatch.setattr(phrases, "_list_filter", lambda listed: np.full(phrases.FILTER_BITS // 64, -1))
