@@ -96,6 +96,16 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         _made().remove(p)
 
 
+_HELD: dict[str, list] = {}  #: what this worker keeps between tasks, by step
+
+
+def held(step: str) -> list:
+    """What a worker keeps between tasks of a step. A task of another step lets go of it, for workers outlive steps and share an executor's memory."""
+    for other in [k for k in _HELD if k != step]:
+        del _HELD[other]
+    return _HELD.setdefault(step, [])
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if it has at most so many rows; else leave the join to a shuffle. df should be cheap to count (a stashed table)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import map_column, stash
+from lakewarden.llm.common import held, map_column, stash
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -88,13 +88,13 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def decode(token: str, model: list[float], spaced: bool = False) -> str:
+def decode(token: str, model: list[float], spaced: bool = False, before: tuple[int, int] = (0, 0)) -> str:
     """The likeliest reading of a token under the model (flat): a Viterbi pass over (two last symbols, written text) states, all of which are kept.
 
     A run of one letter may stand for one or two; separators among letters may stand for nothing, and between single letters
-    mostly do; a sign may be itself, a letter or nothing. Linear in the token's length.
+    mostly do; a sign may be itself, a letter or nothing. Linear in the token's length. before: the symbols of the two letters in front, of a tail of signs.
     """
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # a written text is what was last written, after a text
+    states: dict[tuple[int, int], tuple[float, tuple]] = {before: (0.0, ())}  # a written text is what was last written, after a text
     letters = [i for i, c in enumerate(token) if c.isalpha()] or [0]
     for m in _UNITS.finditer(token.lower()):
         run = m[0]
@@ -160,56 +160,88 @@ KEPT = 500_000  #: words whose readings, or evidence, a worker keeps between tex
 
 
 class Readings(dict):
-    """The readings of tokens and of the white space between them, made when first asked for; emptied when there are very many."""
+    """The readings of tokens and of the white space between them, made when first asked for; emptied when there are very many, and apart from it those of tokens' cores."""
 
     def __init__(self, model: list[float]):
         super().__init__()
-        self.model, self.near, self.cores = model, {}, {}
+        self.model, self.near, self.cores, self.tails = model, {}, {}, {}
 
     def __missing__(self, token: str) -> str:
         if len(self) > KEPT:
             self.clear()
-            self.near.clear()
-            self.cores.clear()
-        out = token
-        if TOKEN.match(token):
-            core = token.rstrip(TAIL)  # what ends a token is written as it is, at no cost, so tokens that differ in it alone are read once
-            out = self.read(core) + token[len(core) :] if any(map(str.isalpha, core)) else decode(token, self.model)
+        out = self.made(token)
         if len(token) <= 1_000:
             self[token] = out
         return out
 
+    def made(self, token: str) -> str:
+        if not TOKEN.match(token):
+            return token
+        core = token.rstrip(TAIL)  # what ends a token is written as it is, at no cost, so tokens that differ in it alone are read once
+        return self.read(core) + token[len(core) :] if any(map(str.isalpha, core)) else decode(token, self.model)
+
     def read(self, token: str) -> str:
         low = token.lower()
         if low not in self.cores:
+            if len(self.cores) + len(self.near) + len(self.tails) > KEPT:
+                self.cores.clear()
+                self.near.clear()
+                self.tails.clear()
             runs = _DOUBLED.findall(low) if token.isalpha() and len(low) == len(token) else []
             alone = len(runs) == 1 and len(_DOUBLED.search(low)[0]) == 2
-            out = undouble(token, self.model, self.near) if alone else decode(token, self.model)
+            out = undouble(token, self.model, self.near) if alone else self.tailed(low) if len(low) == len(token) else decode(token, self.model)
             if len(token) > 1_000:
                 return out
             self.cores[low] = out
         return self.cores[low]
 
+    def tailed(self, low: str) -> str:
+        """decode for a token in lower case; letters that have one reading alone leave the signs behind them a matter of the last two letters."""
+        n = len(low)
+        while n and not low[n - 1].isalpha():
+            n -= 1
+        head, tail = low[:n], low[n:]
+        if n < 2 or not tail or not head.isalpha() or _DOUBLED.search(head):
+            return decode(low, self.model)
+        key = (tail, symbol(head[-2]), symbol(head[-1]))
+        if key not in self.tails:
+            self.tails[key] = decode(tail, self.model, before=key[1:])
+        return head + self.tails[key]
+
 
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)  #: signs that stand for nothing but themselves behind a word
 _PARTS = re.compile(r"(\s+)")
-_LAST: list = []  #: the model of a worker's last task and its readings, which the next task goes on with
 
 
 def readings_of(model: np.ndarray) -> Readings:
     """The readings under a model (as broadcast: a worker's tasks see one object), made in this or an earlier task of the worker."""
-    if not _LAST or _LAST[0] is not model:
-        _LAST[:] = [model, Readings(model.ravel().tolist())]
-    return _LAST[1]
+    last = held("toxicity")  # the model of the last task and its readings; then the evidence of that task and its verdicts
+    if not last or last[0] is not model:
+        last[:] = [model, Readings(model.ravel().tolist())]
+    return last[1]
 
 
-def restore(text: str, readings: Readings) -> str:
-    """text with its suspicious tokens read by decode."""
+def verdicts_of(readings: Readings, weight: dict[str, float]) -> Verdicts:
+    """The verdicts by some evidence (as broadcast) on what readings_of gave, made in this or an earlier task of the worker."""
+    last = held("toxicity")
+    if len(last) < 4 or last[2] is not weight:
+        readings.clear()  # those of whole tokens; what is made of them is kept from here on
+        last[2:] = [weight, Verdicts(readings, weight)]
+    return last[3]
+
+
+def joined(text: str, readings: Readings) -> str:
+    """text with its spaced single letters read by decode."""
 
     def join(m: re.Match) -> str:
         return decode(m[0], readings.model, True) if any(c.isalpha() for c in m[0]) else m[0]
 
-    return "".join(map(readings.__getitem__, _PARTS.split(SPACED.sub(join, text))))
+    return SPACED.sub(join, text)
+
+
+def restore(text: str, readings: Readings) -> str:
+    """text with its suspicious tokens read by decode."""
+    return "".join(map(readings.__getitem__, _PARTS.split(joined(text, readings))))
 
 
 def features(text: str) -> set[str]:
@@ -233,9 +265,30 @@ class Evidence(dict):
             self[word] = found
         return found
 
+    def of(self, text: str) -> tuple[tuple[str, float], ...]:
+        """The words of restored text that are evidence, with theirs."""
+        return tuple((word, found) for word in set(_LETTERS.findall(text.lower())) if (found := self[word]))
+
+
+class Verdicts(dict):
+    """The evidence among the words of tokens, once they are read; looked up when first asked for, emptied when there are very many."""
+
+    def __init__(self, readings: Readings, weight: dict[str, float]):
+        super().__init__()
+        self.readings, self.evidence = readings, Evidence(weight)
+
+    def __missing__(self, token: str) -> tuple[tuple[str, float], ...]:
+        if len(self) > KEPT:
+            self.clear()
+        found = self.evidence.of(self.readings.made(token))
+        if len(token) <= 1_000:
+            self[token] = found
+        return found
+
     def of(self, text: str) -> list[float]:
-        """That of restored text's words that are evidence, strongest first."""
-        return sorted(filter(None, map(self.__getitem__, set(_LETTERS.findall(text.lower())))), reverse=True)
+        """The evidence of a text's words, each once, strongest first. A word ends where its token does, so no text is put together again."""
+        found = set(map(self.__getitem__, set(joined(text, self.readings).split())))
+        return sorted({word: p for each in found for word, p in each}.values(), reverse=True)
 
 
 def evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
@@ -283,18 +336,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("d
     floor = min(base, 0.5) / 2
 
     def start() -> Callable[[list], dict]:
-        weight = Evidence(weights.value)
         readings = readings_of(shared.value)
+        verdicts = verdicts_of(readings, weights.value)
 
         def step(texts: list[str | None]) -> dict:
             restored, scores, counts = [], [], []
             for t in texts:
-                text = restore(t, readings) if t else ""
-                hits = weight.of(text)
+                hits = verdicts.of(t) if t else []
                 scores.append(1 - float(np.prod([1 - p for p in hits])) if hits else floor)
                 counts.append(len(hits))
                 if with_text:
-                    restored.append(text)
+                    restored.append(restore(t, readings) if t else "")
             return {"score": scores, "n_evidence": counts} | ({"restored": restored} if with_text else {})
 
         return step
