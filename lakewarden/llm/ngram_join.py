@@ -6,19 +6,20 @@ documents agree on the others. A block's key is the XOR of its shingles' hashes.
 blocks in one global order (common keys last), of which two similar ones must share one; a passage that two other documents share seldom
 fills a block. Size, Hamming distance and then the sets themselves verify.
 Documents with equal sets are one class throughout, named by a 128-bit hash. Every member of a key's group is tried against the group's
-few leaders first; of the others, only members that are in different components after that are tried against each other.
+few leaders first, in large groups against a few and against more where that leaves them apart; of the others, only members that are in different
+components after that are tried against each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import broadcast_if_small, drop, drop_since, mark, may_hold, membership, stash, text_hash
+from lakewarden.llm.common import broadcast_if_small, drop, drop_since, held, mark, may_hold, membership, stash, text_hash
 
 SHINGLE = 5
 PERCENT = 80  #: least Jaccard similarity, in hundredths
@@ -158,6 +159,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: list[np.ndarray] = []
+        held("ngram_join")
         for pdf in batches:
             for part, sets in _sets(pdf):
                 met += [prefix(h, band, np.empty(0, np.uint64)) for h in sets if len(h) for band in bands(len(h))]
@@ -292,8 +294,10 @@ def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
     chosen = F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(BIG_LEADERS)))
     leaders = rows.groupBy("key").agg(F.count("*").alias("m"), chosen.alias("all")).select("key", F.array_distinct(F.when(F.col("m") > BIG, F.col("all")).otherwise(F.slice("all", 1, LEADERS))).alias("leaders"))
     led = stash(rows.join(leaders, "key"), "led")
-    star = led.select("sid", "n", "band", F.explode("leaders").alias("l")).filter((F.col("sid") != F.col("l.sid")) & _near(F.col("n"), F.col("l.n")))
-    comp = stash(components(linked(_pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band")), sets)), "comp")
+    near = lambda l: (F.col("sid") != l["sid"]) & _near(F.col("n"), l["n"])
+    star = led.select("sid", "n", "band", F.explode(F.slice("leaders", 1, LEADERS)).alias("l")).filter(near(F.col("l")))
+    comp = stash(components(linked(_ends(star), sets)), "comp")
+    comp = _with_more(comp, led, near, sets)
     followers = led.filter(~F.exists("leaders", lambda x: x["sid"] == F.col("sid"))).select("key", "band", "sid", "n")
     placed = followers.join(comp, followers["sid"] == comp["node"], "left").select("key", "band", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
     open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
@@ -303,8 +307,29 @@ def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
     one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "s"))) for t in "xy")
     fits = (F.col("comp_x") < F.col("comp_y")) & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y")
     cross = one.join(two.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"), F.col("band_x").alias("band"))
-    late = linked(_pairs(cross), sets)
-    for c in "ab":  # between components, so the second graph is small
+    return _with_edges(comp, linked(_pairs(cross), sets))
+
+
+def _ends(star: DataFrame) -> DataFrame:
+    """The pairs of members and leaders (sid, band, l)."""
+    return _pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band"))
+
+
+def _with_more(comp: DataFrame, led: DataFrame, near: Callable[[Column], Column], sets: DataFrame) -> DataFrame:
+    """The components once members of large groups are tried against those leaders past the first few that they are not connected with."""
+    big = led.filter(F.size("leaders") > LEADERS)
+    where = F.coalesce("comp", "sid").alias("comp")
+    more = big.groupBy("key").agg(F.first("leaders").alias("leaders")).select("key", F.explode(F.slice("leaders", LEADERS + 1, BIG_LEADERS)).alias("l")).select("key", "l.sid", "l.n")
+    more = more.join(comp, F.col("sid") == F.col("node"), "left").groupBy("key").agg(F.collect_list(F.struct("sid", "n", where)).alias("more"))
+    own = big.select("key", "band", "sid", "n").join(comp, F.col("sid") == F.col("node"), "left").select("key", "band", "sid", "n", where)
+    open_ = own.join(more, "key").select("sid", "n", "band", F.explode(F.filter("more", lambda l: (l["comp"] != F.col("comp")) & near(l))).alias("l"))
+    pairs = stash(_ends(open_), "more")
+    return comp if pairs.isEmpty() else stash(_with_edges(comp, linked(pairs, sets)), "comp")
+
+
+def _with_edges(comp: DataFrame, late: DataFrame) -> DataFrame:
+    """The components (node, comp) once late(a, b) are connected too. Those are between components, so the second graph is small."""
+    for c in "ab":
         late = late.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}")), c, "left").withColumn(c, F.coalesce(f"c_{c}", c)).drop(f"c_{c}")
     more = components(late).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     moved = comp.join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))

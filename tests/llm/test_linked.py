@@ -15,3 +15,32 @@ def test_pairs_already_connected_are_not_tried(spark):
     got = lambda pairs: sorted((r.a.s0, r.b.s0) for r in ngram_join.linked(pairs, sets).collect())
     assert got(every) == [(0, k) for k in range(1, 8)]
     assert got(every.filter("b.s0 = 3 and a.s0 < 3 or a.s0 = 4 and b.s0 = 7")) == [(0, 3), (1, 3), (2, 3), (4, 7)]
+
+
+def test_more_leaders_are_tried_where_the_first_leave_members_apart(spark, monkeypatch):
+    """Of a large group of near copies only the first leaders' pairs are tried; two kinds of texts that share keys are still told apart, and each connected."""
+    tried = []
+    whole = ngram_join.linked
+
+    def counted(pairs, sets):
+        tried.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "linked", counted)
+    near = [" ".join(f"w{i if i != 7 + k % 190 else f'x{k}'}" for i in range(200)) for k in range(120)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(near)], "doc_id long, text string")
+    got = ngram_join.similar_documents(docs).select("doc_id", "component_id").collect()
+    assert len(got) == 120 and {r.component_id for r in got} == {0}
+    few = sum(tried)
+    tried.clear()
+    monkeypatch.setattr(ngram_join, "LEADERS", ngram_join.BIG_LEADERS)
+    assert {r.component_id for r in ngram_join.similar_documents(docs).collect()} == {0}
+    assert few < 0.6 * sum(tried)
+
+
+def test_workers_let_go_of_other_steps(spark):
+    from lakewarden.llm import common
+
+    common.held("toxicity").append("kept")
+    assert common.held("toxicity") == ["kept"]
+    assert common.held("ngram_join") == [] and common.held("toxicity") == []
