@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import drop, drop_since, map_column, mark, may_hold, membership, stash, text_hash
+from lakewarden.llm.common import drop, drop_since, held, map_column, mark, may_hold, membership, stash, text_hash
 
 LENGTH = 100
 ANCHOR = 32
@@ -146,6 +146,7 @@ def anchor_rows(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("suffix_dedup")
         for pdf in batches:
             d, th = pdf["d"].to_numpy(), pdf["th"].to_numpy()
 
