@@ -12,7 +12,7 @@ components after that are tried against each other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -222,10 +222,11 @@ def _near(n1: Column, n2: Column) -> Column:
     return (n1 * 100 >= n2 * PERCENT) & (n2 * 100 >= n1 * PERCENT)
 
 
-def _hamming_fits(s1: str, s2: str, n1: str, n2: str) -> Column:
+def _hamming_fits(s1: str | Column, s2: str | Column, n1: str | Column, n2: str | Column) -> Column:
     """Whether the sketches' distance leaves room for the similarity: |A ^ B| <= (|A| + |B|) / 9."""
     distance = F.aggregate(F.zip_with(s1, s2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return distance * (100 + PERCENT) <= (F.col(n1) + F.col(n2)) * (100 - PERCENT)
+    n1, n2 = (F.col(n) if isinstance(n, str) else n for n in (n1, n2))
+    return distance * (100 + PERCENT) <= (n1 + n2) * (100 - PERCENT)
 
 
 def _similar(close: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
     """node, comp: for each class that is similar to another, the smallest class that it can reach. first: that of first_pass.
 
     A key's leaders are tried against all its members, which settles small groups and those of near copies. What is left of a key, where it is of
-    several components, is joined with itself, less pairs of one component, of unfit sizes or of distant sketches.
+    several components, is joined: members outside its largest component with all, less pairs of one component, of unfit sizes or of distant sketches.
     """
     hot = common_keys(first)
     pairs = join_keys(docs, hot).select("key", F.col("sid.s0").alias("s"))
@@ -297,33 +298,50 @@ def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
     near = lambda l: (F.col("sid") != l["sid"]) & _near(F.col("n"), l["n"])
     star = led.select("sid", "n", "band", F.explode(F.slice("leaders", 1, LEADERS)).alias("l")).filter(near(F.col("l")))
     comp = stash(components(linked(_ends(star), sets)), "comp")
-    comp = _with_more(comp, led, near, sets)
-    followers = led.filter(~F.exists("leaders", lambda x: x["sid"] == F.col("sid"))).select("key", "band", "sid", "n")
-    placed = followers.join(comp, followers["sid"] == comp["node"], "left").select("key", "band", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
-    own = placed.join(open_, "key").join(sets.select("sid", "sketches"), "sid").select("key", "band", "sid", "n", "comp", F.col("sketches")[F.col("band")].alias("s"))
-    rest = stash(own, "rest")
+    tried = F.col("leaders")
+    places = led.filter(~_among(F.slice(tried, 1, LEADERS))).select("key", "band", "sid", "n", (F.size(tried) > LEADERS).alias("big"), _among(tried).alias("leads"))
+    open_ = stash(_open(places, comp).drop("top"), "apart")
+    open_ = stash(_sketched(open_, sets), "open")
     drop(rows, led)
-    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "s"))) for t in "xy")
-    fits = (F.col("comp_x") < F.col("comp_y")) & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y")
-    cross = one.join(two.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"), F.col("band_x").alias("band"))
+    comp = _with_more(comp, open_, sets)
+    rest = stash(_open(open_.filter("NOT leads").select("key", "band", "sid", "n", "s"), comp), "rest")
+    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "top", "s"))) for t in "xy")
+    once = (F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("top_y")) | (F.col("comp_x") < F.col("comp_y")))
+    fits = once & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y")
+    cross = one.filter("comp_x != top_x").join(two.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"), F.col("band_x").alias("band"))
     return _with_edges(comp, linked(_pairs(cross), sets))
 
 
+def _among(leaders: Column) -> Column:
+    return F.exists(leaders, lambda x: x["sid"] == F.col("sid"))
+
+
+def _open(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows(key, sid, ...) of keys whose members are in several components, with comp, a member's component, and top, that of most members of the key."""
+    placed = rows.join(comp, F.col("sid") == F.col("node"), "left").select(*rows.columns, F.coalesce("comp", "sid").alias("comp"))
+    counted = placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps"))
+    return placed.join(counted.filter("comps > 1").select("key", F.col("most.comp").alias("top")), "key")
+
+
+def _sketched(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(sid, band, ...) with s, the sketch of sid in the band. Few sets of all are in rows, and those alone are shuffled."""
+    wanted = broadcast_if_small(rows.select("sid").distinct(), BROADCAST)
+    own = sets.select("sid", "sketches").join(wanted, "sid", "left_semi")
+    return rows.join(own, "sid").select(*rows.columns, F.col("sketches")[F.col("band")].alias("s"))
+
+
 def _ends(star: DataFrame) -> DataFrame:
     """The pairs of members and leaders (sid, band, l)."""
     return _pairs(star.select(F.col("sid").alias("x"), F.col("l.sid").alias("y"), "band"))
 
 
-def _with_more(comp: DataFrame, led: DataFrame, near: Callable[[Column], Column], sets: DataFrame) -> DataFrame:
-    """The components once members of large groups are tried against those leaders past the first few that they are not connected with."""
-    big = led.filter(F.size("leaders") > LEADERS)
-    where = F.coalesce("comp", "sid").alias("comp")
-    more = big.groupBy("key").agg(F.first("leaders").alias("leaders")).select("key", F.explode(F.slice("leaders", LEADERS + 1, BIG_LEADERS)).alias("l")).select("key", "l.sid", "l.n")
-    more = more.join(comp, F.col("sid") == F.col("node"), "left").groupBy("key").agg(F.collect_list(F.struct("sid", "n", where)).alias("more"))
-    own = big.select("key", "band", "sid", "n").join(comp, F.col("sid") == F.col("node"), "left").select("key", "band", "sid", "n", where)
-    open_ = own.join(more, "key").select("sid", "n", "band", F.explode(F.filter("more", lambda l: (l["comp"] != F.col("comp")) & near(l))).alias("l"))
-    pairs = stash(_ends(open_), "more")
+def _with_more(comp: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components once members of large groups are tried against those leaders past the first few that they are not connected with. Only pairs whose sketches are near become rows."""
+    big = open_.filter("big")
+    leaders = big.filter("leads").groupBy("key").agg(F.collect_list(F.struct("sid", "n", "comp", "s")).alias("more"))
+    fits = lambda l: (l["comp"] != F.col("comp")) & _near(F.col("n"), l["n"]) & _hamming_fits(F.col("s"), l["s"], F.col("n"), l["n"])
+    star = big.join(leaders, "key").select("sid", "band", F.explode(F.filter("more", fits)).alias("l"))
+    pairs = stash(_ends(star.select("sid", "band", F.struct("l.sid").alias("l"))), "more")
     return comp if pairs.isEmpty() else stash(_with_edges(comp, linked(pairs, sets)), "comp")
 
 

@@ -38,6 +38,26 @@ def test_more_leaders_are_tried_where_the_first_leave_members_apart(spark, monke
     assert few < 0.6 * sum(tried)
 
 
+def test_a_shared_passage_makes_no_pairs_with_more_leaders(spark, monkeypatch):
+    """Texts of a large group that share a passage and are not alike: the further leaders' pairs are told from their sketches, and none is tried."""
+    tried = []
+    whole = ngram_join.linked
+
+    def counted(pairs, sets):
+        tried.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "linked", counted)
+    monkeypatch.setattr(ngram_join, "BIG", 16)
+    passage = " ".join(f"w{i}" for i in range(150))
+    texts = [passage + " " + " ".join(f"x{k}-{i}" for i in range(50)) for k in range(100)]
+    texts += [t.replace("x7-0", "y") for t in texts[7:8]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).select("doc_id", "component_id").collect()}
+    assert got == {k: k for k in range(100)} | {100: 7}
+    assert tried[0] > 300 and sum(tried[1:]) < 10, tried
+
+
 def test_workers_let_go_of_other_steps(spark):
     from lakewarden.llm import common
 
