@@ -11,13 +11,15 @@ import functools
 import hashlib
 import io
 import wave
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import map_column, stash
+from lakewarden.llm.common import map_column, may_hold, membership, stash
+from lakewarden.llm.ngram_join import paired
 
 FRAME, HOP = 2048, 512  #: samples
 RATE = 8000  #: of raw samples; WAV files name their own
@@ -32,6 +34,7 @@ FILTERS = [(("pitch", "time", "cross", "mid")[k % 4], 5 * k % 12, (4, 6, 12, 6)[
 TIMES = [0, 1, 2, 3, 4, 6, 8]  #: frames at which filters begin, turn or end
 MIN_VOTES, MIN_ALIGNED, MAX_ERROR = 2, 8, 0.15
 BLOCK = 64  #: frames transformed at a time
+CELLS = 1 << 20  #: pairs of a recording's votes made at a time
 
 
 def samples_of(audio: bytes | None, encoding: str) -> tuple[np.ndarray, int]:
@@ -142,6 +145,50 @@ def fingerprint(recordings: DataFrame, key: str, audio: str, encoding: str = "wa
     return map_column(recordings, [key], audio, start, "print string, codes array<bigint>")
 
 
+def vote_pairs(classes: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """classes(class_id, codes) -> class_id, pos, both, gap, h: every two votes of a recording (where the first is, both codes, frames between them, a hash of codes and gap), less what a membership filter says no query has."""
+    shared = classes.sparkSession.sparkContext.broadcast(wanted)
+    kind = classes.schema["class_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for pdf in batches:
+            for name, codes in zip(pdf["class_id"], pdf["codes"]):
+                code = np.asarray(codes, np.uint64)
+                at = np.flatnonzero((code != 0) & np.concatenate(([True], code[1:] != code[:-1])))
+                step = max(1, CELLS // max(len(at), 1))
+                for lo in range(0, len(at), step):
+                    i, j = np.triu_indices(min(step, len(at) - lo), 1, len(at) - lo)
+                    i, j = at[i + lo], at[j + lo]
+                    both = code[i] << np.uint64(32) | code[j]
+                    h = paired(both, (j - i).astype(np.uint64))
+                    own = slice(None) if bits is None else may_hold(bits, h)
+                    if len(i := i[own]):
+                        yield pd.DataFrame({"class_id": name, "pos": i.astype(np.int32), "both": both[own].view(np.int64), "gap": (j[own] - i).astype(np.int32), "h": h[own].view(np.int64)})
+
+    return classes.select("class_id", "codes").mapInPandas(run, f"class_id {kind}, pos int, both long, gap int, h long")
+
+
+def votes_of(classes: DataFrame, min_votes: int) -> DataFrame:
+    """classes(class_id, codes, _query) -> id (a query), class_id, offset, votes: offsets of min_votes equal codes or more.
+
+    Two votes at one offset are two codes and a gap that both recordings have, so those are joined, and n votes are n (n - 1) / 2 such pairs; single
+    equal codes, which any two recordings may share, become no rows. With a min_votes of 1 they are votes and are joined by themselves.
+    """
+    offset = (F.col("pos") - F.col("_at")).alias("offset")
+    if min_votes < 2:
+        seed = "filter(transform(codes, (c, i) -> struct(i AS pos, c AS code)), s -> s.code != 0 AND (s.pos = 0 OR get(codes, s.pos - 1) != s.code))"
+        seeds = classes.select("class_id", "_query", F.explode(F.expr(seed)).alias("s")).select("class_id", "_query", "s.pos", "s.code")
+        asked = seeds.filter("_query").select(F.col("class_id").alias("id"), F.col("pos").alias("_at"), "code")
+        hits = asked.join(seeds.select("class_id", "pos", "code"), "code").filter("id != class_id")
+        return hits.groupBy("id", "class_id", offset).agg(F.count("*").alias("votes"))
+    asked = stash(vote_pairs(classes.filter("_query")), "asked")
+    told = vote_pairs(classes, membership(asked, "h")).drop("h")
+    hits = asked.select(F.col("class_id").alias("id"), F.col("pos").alias("_at"), "both", "gap").join(told, ["both", "gap"]).filter("id != class_id")
+    votes = F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long")
+    return hits.groupBy("id", "class_id", offset).agg(votes.alias("votes")).filter(F.col("votes") >= min_votes)
+
+
 def search(recordings: DataFrame, key: str, is_query, audio: str, encoding: str = "wav", min_votes: int = MIN_VOTES, min_aligned: int = MIN_ALIGNED, max_error: float = MAX_ERROR) -> DataFrame:
     """Align every recording for which the condition is_query on key holds with all others.
 
@@ -157,11 +204,7 @@ def search(recordings: DataFrame, key: str, is_query, audio: str, encoding: str
     named = prints.filter("size(codes) > 0")
     classes = named.groupBy("print").agg(F.min(key).alias("class_id"), F.first("codes").alias("codes"), F.max(is_query).alias("_query"))
     classes = stash(classes, "print-classes")
-    seed = "filter(transform(codes, (c, i) -> struct(i AS pos, c AS code)), s -> s.code != 0 AND (s.pos = 0 OR get(codes, s.pos - 1) != s.code))"
-    seeds = classes.filter(F.size("codes") >= min_aligned).select("class_id", "_query", F.explode(F.expr(seed)).alias("s")).select("class_id", "_query", "s.pos", "s.code")
-    asked = seeds.filter("_query").select(F.col("class_id").alias("id"), F.col("pos").alias("_at"), "code")
-    hits = asked.join(seeds.select("class_id", "pos", "code"), "code").filter("id != class_id")
-    votes = hits.groupBy("id", "class_id", (F.col("pos") - F.col("_at")).alias("offset")).agg(F.count("*").alias("votes"))
+    votes = votes_of(classes.filter(F.size("codes") >= min_aligned), min_votes)
     best = F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("b")
     pairs = votes.groupBy("id", "class_id").agg(best).filter(F.col("b.votes") >= min_votes)
     pairs = pairs.select("id", "class_id", (-F.col("b.low")).alias("offset"), F.col("b.votes").alias("votes"))
