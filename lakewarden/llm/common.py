@@ -133,17 +133,19 @@ def map_column(df: DataFrame, keep: Sequence[str], column: str, start: Callable[
     made = StructType.fromDDL(out)
     schema = StructType([df.schema[c] for c in keep] + made.fields)
     kinds = to_arrow_schema(made)
+    sent = [F.col(c) for c in keep] + ([] if column in keep else [F.col(column).alias("_in")])  # a column that is kept anyway is sent once
+    at_column = [*keep, column].index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):  # a batch's values as Python objects take several times its memory
                 batch = whole.slice(at, ROWS)
-                found = step(batch.column(len(keep)).to_pylist())
+                found = step(batch.column(at_column).to_pylist())
                 new = [pa.array(found[f.name], f.type) for f in kinds]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, *kinds.names])
 
-    return df.select(*keep, F.col(column).alias("_in")).mapInArrow(run, schema)
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 FILTER_BITS = 1 << 26  #: of a membership filter: 8 MB at any input size; a fuller one lets more pass, which an exact join removes

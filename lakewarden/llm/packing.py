@@ -16,13 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import buckets_for, running_total, stash
+from lakewarden.llm.common import buckets_for, held, running_total, stash
 
 WINDOW = 2048
 UNIT = 8
 DEPTH = 3
 CACHE_WORDS = 700_000  #: token ids of words kept by a Python worker
-_ENCODERS: dict[str, tuple] = {}
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -30,9 +29,10 @@ def encoder(path: str):
     """A function from a list of texts to their token ids as arrays; words between white space are encoded once while in the cache."""
     from tokenizers import Tokenizer
 
-    if path not in _ENCODERS:
-        _ENCODERS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _ENCODERS[path]
+    last = held("packing")  # the path of the last task's tokenizer, the tokenizer and the ids of words
+    if not last or last[0] != path:
+        last[:] = [path, Tokenizer.from_file(path), {}]
+    _, tokenizer, cache = last
     mark = next((t.content for t in tokenizer.get_added_tokens_decoder().values()), None)
     mark_id = tokenizer.token_to_id(mark) if mark else None
 

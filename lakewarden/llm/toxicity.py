@@ -60,6 +60,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SYMBOLS**3, np.int64)
+        held("toxicity").clear()  # what an earlier model gave
         for pdf in batches:
             texts = [t for t in pdf["text"] if t]
             for i in range(0, len(texts), 200):
@@ -156,24 +157,41 @@ def undouble(token: str, model: list[float], memo: dict[str, str]) -> str:
     return token.lower() if memo[key] == "2" else token[: m.start()].lower() + token[m.end() - 1 :].lower()
 
 
-KEPT = 500_000  #: words whose readings, or evidence, a worker keeps between texts
+KEPT = 150_000  #: words whose readings, or evidence, a worker keeps between texts, and as many of the time before; most words of large inputs are met once
+CORES = 400_000  #: tokens without the signs around them, whose readings take longest to make
 
 
-class Readings(dict):
-    """The readings of tokens and of the white space between them, made when first asked for; emptied when there are very many, and apart from it those of tokens' cores."""
+class Kept(dict):
+    """What was made of words when first asked for; when there are KEPT of them, those not asked for until there are as many again are let go of."""
 
-    def __init__(self, model: list[float]):
+    def __init__(self):
         super().__init__()
-        self.model, self.near, self.cores, self.tails = model, {}, {}, {}
+        self.before: dict = {}
 
-    def __missing__(self, token: str) -> str:
-        if len(self) > KEPT:
+    def made(self, word: str):
+        raise NotImplementedError
+
+    def __missing__(self, word: str):
+        if len(self) >= KEPT:
+            self.before = dict(self)
             self.clear()
-        out = self.made(token)
-        if len(token) <= 1_000:
-            self[token] = out
+        out = self.before[word] if word in self.before else self.made(word)
+        if len(word) <= 1_000:
+            self[word] = out
         return out
 
+    def let_go(self) -> None:
+        self.clear()
+        self.before = {}
+
+
+class Readings(Kept):
+    """The readings of tokens and of the white space between them; apart from it, those of tokens' cores, emptied when there are very many."""
+
+    def __init__(self, model: list[float]):
+        super().__init__()
+        self.model, self.near, self.cores, self.tails = model, {}, {}, {}
+
     def made(self, token: str) -> str:
         if not TOKEN.match(token):
             return token
@@ -183,7 +201,7 @@ class Readings(dict):
     def read(self, token: str) -> str:
         low = token.lower()
         if low not in self.cores:
-            if len(self.cores) + len(self.near) + len(self.tails) > KEPT:
+            if len(self.cores) + len(self.near) + len(self.tails) > CORES:
                 self.cores.clear()
                 self.near.clear()
                 self.tails.clear()
@@ -225,7 +243,7 @@ def verdicts_of(readings: Readings, weight: dict[str, float]) -> Verdicts:
     """The verdicts by some evidence (as broadcast) on what readings_of gave, made in this or an earlier task of the worker."""
     last = held("toxicity")
     if len(last) < 4 or last[2] is not weight:
-        readings.clear()  # those of whole tokens; what is made of them is kept from here on
+        readings.let_go()  # those of whole tokens; what is made of them is kept from here on
         last[2:] = [weight, Verdicts(readings, weight)]
     return last[3]
 
@@ -250,40 +268,30 @@ def features(text: str) -> set[str]:
     return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in PREFIXES))
 
 
-class Evidence(dict):
-    """P(toxic | feature) of a word, by the strongest of itself and its beginnings (0 if none is evidence), looked up when first asked for; emptied when there are very many."""
+class Evidence(Kept):
+    """P(toxic | feature) of a word, by the strongest of itself and its beginnings (0 if none is evidence)."""
 
     def __init__(self, weight: dict[str, float]):
         super().__init__()
         self.weight = weight
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > KEPT:
-            self.clear()
-        found = max(self.weight.get(word, 0.0), *(self.weight.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) >= k), 0.0)
-        if len(word) <= 1_000:
-            self[word] = found
-        return found
+    def made(self, word: str) -> float:
+        return max(self.weight.get(word, 0.0), *(self.weight.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) >= k), 0.0)
 
     def of(self, text: str) -> tuple[tuple[str, float], ...]:
         """The words of restored text that are evidence, with theirs."""
         return tuple((word, found) for word in set(_LETTERS.findall(text.lower())) if (found := self[word]))
 
 
-class Verdicts(dict):
-    """The evidence among the words of tokens, once they are read; looked up when first asked for, emptied when there are very many."""
+class Verdicts(Kept):
+    """The evidence among the words of tokens, once they are read."""
 
     def __init__(self, readings: Readings, weight: dict[str, float]):
         super().__init__()
         self.readings, self.evidence = readings, Evidence(weight)
 
-    def __missing__(self, token: str) -> tuple[tuple[str, float], ...]:
-        if len(self) > KEPT:
-            self.clear()
-        found = self.evidence.of(self.readings.made(token))
-        if len(token) <= 1_000:
-            self[token] = found
-        return found
+    def made(self, token: str) -> tuple[tuple[str, float], ...]:
+        return self.evidence.of(self.readings.made(token))
 
     def of(self, text: str) -> list[float]:
         """The evidence of a text's words, each once, strongest first. A word ends where its token does, so no text is put together again."""
