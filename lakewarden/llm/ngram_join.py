@@ -29,6 +29,7 @@ LOAD = 3  #: shingles that a block holds on average at a band's upper end; over
 HOT = 64  #: classes with a key from which it comes last in the global order
 HOT_KEYS = 200_000  #: hot keys told to all tasks; further ones keep their place, which changes speed alone
 LEADERS, BIG, BIG_LEADERS = 4, 64, 16  #: members of a key's group at most that all its others are tried against first; and in a group of more than BIG
+LESS = 32  #: keys of a set that are told to its other keys, which changes speed alone
 BROADCAST = 250_000  #: classes told to all tasks at most; more are joined by a shuffle
 _MIX, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _BYTE = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64)
@@ -179,7 +180,23 @@ def common_keys(first: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()], np.int64).view(np.uint64))
 
 
-def join_keys(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+def all_keys(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """key, s: what each document is joined on, with half of its class's hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot = shared.value
+        for pdf in batches:
+            for _, sets in _sets(pdf):
+                own = [h for h in sets if len(h)]
+                if own:
+                    keys = [np.concatenate([prefix(h, band, hot) for band in bands(len(h))]) for h in own]
+                    yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "s": np.repeat([fingerprint(h)[0] for h in own], [len(k) for k in keys])})
+
+    return _texts(docs).mapInPandas(run, "key long, s long")
+
+
+def join_keys(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray) -> DataFrame:
     """band, key, sid, n: what each document is joined on, less what a membership filter says no other document has."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, wanted))
 
@@ -187,9 +204,8 @@ def join_keys(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray | None = None
         hot, wanted = shared.value
         for pdf in batches:
             for _, sets in _sets(pdf):
-                out = [(band, fingerprint(h), len(h), prefix(h, band, hot)) for h in sets if len(h) for band in bands(len(h))]
-                if wanted is not None:
-                    out = [(band, sid, n, k) for band, sid, n, keys in out if len(k := keys[may_hold(wanted, keys)])]
+                out = [(band, h, keys[may_hold(wanted, keys)]) for h in sets if len(h) for band in bands(len(h)) for keys in [prefix(h, band, hot)]]
+                out = [(band, fingerprint(h), len(h), keys) for band, h, keys in out if len(keys)]
                 if out:
                     many = [len(k) for *_, k in out]
                     band, s0, s1, n = (np.repeat(x, many) for x in zip(*((band, *sid, n) for band, sid, n, _ in out)))
@@ -285,16 +301,14 @@ def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
     """node, comp: for each class that is similar to another, the smallest class that it can reach. first: that of first_pass.
 
     A key's leaders are tried against all its members, which settles small groups and those of near copies. What is left of a key, where it is of
-    several components, is joined: members outside its largest component with all, less pairs of one component, of unfit sizes or of distant sketches.
+    several components, is joined: members outside its largest component with all, less pairs of one component, of unfit sizes or of distant sketches,
+    and mostly a pair at the least key alone that both have there, for near copies share most of their keys.
     """
     hot = common_keys(first)
-    pairs = join_keys(docs, hot).select("key", F.col("sid.s0").alias("s"))
-    shared = stash(pairs.groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
+    shared = stash(all_keys(docs, hot).groupBy("key").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 != s1").select("key"), "shared")
     rows = stash(join_keys(docs, hot, membership(shared, "key")).join(shared, "key").distinct(), "candidates")
     sets = stash(candidate_sets(docs, rows.select("sid").distinct(), first), "sets")
-    chosen = F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(BIG_LEADERS)))
-    leaders = rows.groupBy("key").agg(F.count("*").alias("m"), chosen.alias("all")).select("key", F.array_distinct(F.when(F.col("m") > BIG, F.col("all")).otherwise(F.slice("all", 1, LEADERS))).alias("leaders"))
-    led = stash(rows.join(leaders, "key"), "led")
+    led = stash(rows.join(_leaders(rows), "key"), "led")
     near = lambda l: (F.col("sid") != l["sid"]) & _near(F.col("n"), l["n"])
     star = led.select("sid", "n", "band", F.explode(F.slice("leaders", 1, LEADERS)).alias("l")).filter(near(F.col("l")))
     comp = stash(components(linked(_ends(star), sets)), "comp")
@@ -304,14 +318,32 @@ def component_of_classes(docs: DataFrame, first: DataFrame) -> DataFrame:
     open_ = stash(_sketched(open_, sets), "open")
     drop(rows, led)
     comp = _with_more(comp, open_, sets)
-    rest = stash(_open(open_.filter("NOT leads").select("key", "band", "sid", "n", "s"), comp), "rest")
-    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "top", "s"))) for t in "xy")
+    rest = _once(stash(_open(open_.filter("NOT leads").select("key", "band", "sid", "n", "s"), comp), "rest"))
+    one, two = (rest.select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("band", "sid", "n", "comp", "top", "s", "less"))) for t in "xy")
     once = (F.col("comp_x") != F.col("comp_y")) & ((F.col("comp_y") == F.col("top_y")) | (F.col("comp_x") < F.col("comp_y")))
-    fits = once & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y")
+    fits = once & _near(F.col("n_x"), F.col("n_y")) & _hamming_fits("s_x", "s_y", "n_x", "n_y") & ~F.arrays_overlap("less_x", "less_y")
     cross = one.filter("comp_x != top_x").join(two.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & fits).select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y"), F.col("band_x").alias("band"))
     return _with_edges(comp, linked(_pairs(cross), sets))
 
 
+def _leaders(rows: DataFrame) -> DataFrame:
+    """key, leaders: a few members of each key (sid, n), those of the least hashes; more of keys of many members, which few keys are."""
+
+    def led(own: DataFrame, n: int) -> DataFrame:
+        chosen = F.array(*(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(i))) for i in range(n)))
+        return own.groupBy("key").agg(F.array_distinct(chosen).alias("leaders"))
+
+    big = stash(rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > BIG).select("key"), "big")
+    big = broadcast_if_small(big, BROADCAST)
+    return led(rows.join(big, "key", "left_anti"), LEADERS).unionByName(led(rows.join(big, "key", "left_semi"), BIG_LEADERS))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """rows(key, band, sid, ...) with less, the LESS least keys of a sid in the band as far as they are below the row's: members that have one of them in common meet at a lesser key already."""
+    own = rows.groupBy("sid", "band").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LESS).alias("keys"))
+    return rows.join(own, ["sid", "band"]).select(*rows.columns, F.filter("keys", lambda k: k < F.col("key")).alias("less"))
+
+
 def _among(leaders: Column) -> Column:
     return F.exists(leaders, lambda x: x["sid"] == F.col("sid"))
 

@@ -58,6 +58,27 @@ def test_a_shared_passage_makes_no_pairs_with_more_leaders(spark, monkeypatch):
     assert tried[0] > 300 and sum(tried[1:]) < 10, tried
 
 
+def test_a_pair_of_many_common_keys_is_made_about_once(spark, monkeypatch):
+    """Texts that are almost alike enough share many keys of a large group; what is left apart makes a row a pair, not one for each key."""
+    made = []
+    whole = ngram_join._pairs
+
+    def counted(found):
+        out = whole(found)
+        made.append((found.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_pairs", counted)
+    passage = " ".join(f"w{i}" for i in range(175))
+    texts = [passage + " " + " ".join(f"x{k}-{i}" for i in range(25)) for k in range(40)]
+    texts += [texts[30].replace("x30-24", "y")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).select("doc_id", "component_id").collect()}
+    assert got == {k: k for k in range(40)} | {40: 30}
+    rows, pairs = made[-1]
+    assert pairs > 300 and rows < 2 * pairs, made
+
+
 def test_workers_let_go_of_other_steps(spark):
     from lakewarden.llm import common
 
